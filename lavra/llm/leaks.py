@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ WINDOW, RADIUS, SHINGLE = 13, 3, 5
 #: Item windows that may be collected and broadcast (about 120 bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = regex.compile(r"\p{M}+")
 
 
 def words(text: str | None) -> list[str]:
@@ -32,28 +34,23 @@ def words(text: str | None) -> list[str]:
         return []
     text = text.casefold()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c)[0] != "M").casefold()
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).casefold()
     return _WORD.findall(text)
 
 
-class WordHashes:
+class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound and begun anew beyond it."""
 
-    def __init__(self, most: int = 500_000) -> None:
-        self.known: dict[str, int] = {}
-        self.most = most
+    most = 500_000
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
 
     def __call__(self, tokens: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        out = np.empty(len(tokens), np.uint64)
-        for i, w in enumerate(tokens):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            out[i] = h
-        return out
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def simhashes(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
