@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lavra.session import table
 
-from . import leaks
+from . import emails, leaks
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return emails.new_lines(table(spark, sf, "paginas"), table(spark, sf, "arquivos"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -16,7 +20,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found}
+    return {"p5_found": p5_found, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
