@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lavra.session import table
 
-from . import emails, leaks
+from . import emails, leaks, scans
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.find_damage(table(spark, sf, "paginas"))
+
+
+def p1_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.repair_pages(table(spark, sf, "paginas"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,7 +28,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p5_found": p5_found, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
