@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lavra.session import table
 
-from . import emails, leaks, scans
+from . import emails, leaks, scans, sentences
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,8 +27,12 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "itens_teste")).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.find_sentences(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p5_found": p5_found, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p5_found": p5_found, "p7_found": p7_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
