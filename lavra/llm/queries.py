@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lavra.session import table
 
-from . import emails, leaks, scans, sentences
+from . import emails, leaks, pieces, scans, sentences
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,6 +23,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return emails.new_lines(table(spark, sf, "paginas"), table(spark, sf, "arquivos"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.classify(table(spark, sf, "passagens"))
+
+
+def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.split_passages(table(spark, sf, "passagens"), table(spark, sf, "paginas"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "itens_teste")).select("doc_id", "item_id")
 
@@ -32,7 +40,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p5_found": p5_found, "p7_found": p7_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,10 +24,16 @@ from lavra.session import materialize
 #: Token types kept are at least this share of all events (so at most 1 / share of them); rarer ones use their class.
 SHARE = 1 / 200_000
 ROUNDS = 8
+#: Types that end paragraphs at this part of the usual rate already count as ends of sentences.
+CAUTION = 0.6
+#: Types seen less often speak through their class.
+LEAST_SEEN = 20
 #: Events that the class of a type counts as, beside the type's own.
 WEIGHT = 20
 #: A token rare at beginnings speaks no louder than this (log) against a boundary: any name may begin a sentence.
 LEAST = -3.0
+#: Marks that end sentences by themselves wherever no small letter follows.
+PLAIN = {"!", "?", "।", "॥", "؟", "۔", "。", "！", "？", "｡"}
 PARAGRAPH, INSIDE = "¶", "·"
 
 _CLOSERS = "\"'”’»)\\]」』）〉》“›"
@@ -158,7 +164,7 @@ class Model:
         self.known_left: set[str] = set()
         self.known_right: set[str] = set()
         self.starts = self.insides = 1.0
-        self.rate = 0.2
+        self.rate = [0.2, 0.2]
         self.cache: dict[tuple[str, str, str, str], float] = {}
 
     def odds(self, left: str, left_class: str, right: str, right_class: str) -> float:
@@ -170,10 +176,11 @@ class Model:
         found = self.cache.get(key)
         if found is None:
             # Blank lines show a share `rate` of all boundaries, so ends seen there tell how many there are.
+            rate = self.rate[left_class.startswith("CJK")]
             ends, inner = self.left.get(f"#{left_class}", (0.0, 0.0))
-            prior = min(0.98, (ends / self.rate + 2.0) / (inner + 3.0))
+            prior = min(0.98, (ends / rate + 2.0) / (inner + 3.0))
             ends, inner = self.left.get(left, (0.0, 0.0))
-            p = min(1 - 0.5 / (inner + WEIGHT), (ends / self.rate + WEIGHT * prior) / (inner + WEIGHT))
+            p = 0.98 if left in PLAIN else min(1 - 0.5 / (inner + WEIGHT), (ends / rate + WEIGHT * prior) / (inner + WEIGHT))
             r = right if right in self.known_right else f"#{right_class}"
             s = (self.start.get(r, 0.0) + 0.2) / (self.starts + 10)
             o = (self.inside.get(r, 0.0) + 0.2) / (self.insides + 10)
@@ -195,9 +202,9 @@ def train(rows: list[tuple[str, str, str, str, float]]) -> Model:
         total += n
     model = Model()
     for turn in range(ROUNDS):
-        new, sure = Model(), [0.0, 0.0]
-        new.known_left = {k for k, n in lefts.items() if n >= max(2, total * SHARE) and k[0] not in "?"}
-        new.known_right = {k for k, n in rights.items() if n >= max(2, total * SHARE) and k[0] != "?"}
+        new, sure = Model(), [[0.0, 0.0], [0.0, 0.0]]
+        new.known_left = {k for k, n in lefts.items() if n >= max(LEAST_SEEN, total * SHARE) and k[0] not in "?"}
+        new.known_right = {k for k, n in rights.items() if n >= max(LEAST_SEEN, total * SHARE) and k[0] != "?"}
         for left, lc, right, rc, n in rows:
             r = right if right in new.known_right else f"#{rc}"
             if left == PARAGRAPH:  # how sentences begin is seen at the beginnings of paragraphs
@@ -218,14 +225,14 @@ def train(rows: list[tuple[str, str, str, str, float]]) -> Model:
                 q = None if turn == 0 else 1 / (1 + math.exp(-max(-30.0, min(30.0, model.odds(left, lc, right, rc)))))
             key = left if left in new.known_left else f"#{lc}"  # a class speaks for its rare types only
             new.left[key][0 if rc == PARAGRAPH else 1] += n
-            if lc in ("!", "?", "CJK。"):  # marks that end sentences almost always
-                sure[rc != PARAGRAPH] += n * (rc == PARAGRAPH or rc != "cjk")
+            if left in PLAIN:
+                sure[lc.startswith("CJK")][rc != PARAGRAPH] += n
             if rc != PARAGRAPH and q is not None:
                 new.start[r] += n * q
                 new.starts += n * q
                 new.inside[r] += n * (1 - q)
                 new.insides += n * (1 - q)
-        new.rate = min(1.0, max(0.02, (sure[0] + 1) / (sure[1] + 5)))
+        new.rate = [CAUTION * min(1.0, max(0.005, (a + 1) / (b + 5))) for a, b in sure]
         model = new
     model.left, model.start, model.inside = dict(model.left), dict(model.start), dict(model.inside)
     model.cache = {}
