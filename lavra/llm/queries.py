@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lavra.session import table
 
-from . import emails, leaks, pieces, scans, sentences
+from . import emails, leaks, mixtures, neighbors, pieces, scans, sentences
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,6 +19,10 @@ def p1_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return scans.repair_pages(table(spark, sf, "paginas"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbors.similar_pairs(table(spark, sf, "passagens"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return emails.new_lines(table(spark, sf, "paginas"), table(spark, sf, "arquivos"))
 
@@ -35,12 +39,20 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "itens_teste")).select("doc_id", "item_id")
 
 
+def p8_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return mixtures.select_mixture(table(spark, sf, "documents"), table(spark, sf, "misturas"))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixtures.mixture_shares(table(spark, sf, "documents"), table(spark, sf, "misturas"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.find_sentences(table(spark, sf, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
