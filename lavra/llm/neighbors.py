@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from lavra.session import materialize
 
-#: Vectors sampled per index to fit the planes, and those a cell should hold.
-SAMPLE, CELL = 40_000, 4096
+#: Vectors sampled to fit the planes: so many for each cell, within these bounds; and those a cell should hold.
+PER_CELL, SAMPLE_LEAST, SAMPLE_MOST, CELL = 32, 5_000, 200_000, 4096
 #: Trees at most, probability of missing a partner at the least similarity, least probability of a visited cell.
 TREES, MISS, FAINT = 24, 0.03, 0.12
 #: Distinct (modelo, dimension) indexes whose planes the driver may hold at once.
@@ -173,7 +173,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cos, pa.float64())], names=["a", "b", "cosseno"])
 
 
-def class_pairs(classes: DataFrame, k: int, least: float, cell: int = CELL, sample: int = SAMPLE, miss: float = MISS, trees: int = TREES) -> DataFrame:
+def class_pairs(classes: DataFrame, k: int, least: float, cell: int = CELL, miss: float = MISS, trees: int = TREES) -> DataFrame:
     """Pairs (a, b, cosseno; a < b) of distinct vectors (rep, modelo, dim, v) at or above `least`, holding the
     `k` most similar of each but for a share of about `miss` at the least similarity, fewer above it."""
     sizes = classes.groupBy("modelo", "dim").count().limit(INDEXES + 1).collect()
@@ -182,8 +182,9 @@ def class_pairs(classes: DataFrame, k: int, least: float, cell: int = CELL, samp
     distance = math.sqrt(2 - 2 * least)
     total = sum(r["count"] for r in sizes)
     picked: dict[tuple[str, int], list[bytes]] = {}
-    share = min(1.0, 2 * sample / max(1, total))
-    drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) < int(1_000_003 * share)).select("modelo", "dim", "v").limit(2 * sample)
+    sample = min(SAMPLE_MOST, max(SAMPLE_LEAST, PER_CELL * total // cell))
+    share = min(1.0, 1.2 * sample / max(1, total))
+    drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) < int(1_000_003 * share)).select("modelo", "dim", "v").limit(sample)
     for r in drawn.collect():
         picked.setdefault((r["modelo"], r["dim"]), []).append(r["v"])
     forests = {}

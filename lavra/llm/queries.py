@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lavra.session import table
 
-from . import emails, leaks, mixtures, neighbors, pieces, scans, sentences
+from . import emails, leaks, mixtures, neighbors, pieces, scans, sentences, spellings
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p1_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return scans.repair_pages(table(spark, sf, "paginas"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spellings.same_names(table(spark, sf, "achados"), table(spark, sf, "comunicacoes"))
+
+
+def p2_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return spellings.attribute(table(spark, sf, "achados"), table(spark, sf, "comunicacoes"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.similar_pairs(table(spark, sf, "passagens"))
 
@@ -52,7 +60,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p2_entities": p2_entities, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
