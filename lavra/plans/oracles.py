@@ -1,7 +1,172 @@
-"""DuckDB counterparts of the core's queries."""
+"""DuckDB counterparts of the core's queries. Where SQL can't say what a query does (checks with lookaround, places of
+matches, similarity of quotes, parsing of messages and dates), there is none, and tests hold it against brute force."""
 
 from __future__ import annotations
 
+from lavra.functions.identifiers import EMAIL, GENERIC_DOMAINS
+from lavra.functions.text import ACCENTED, PLAIN, STOPWORDS
+from lavra.operators.headers import CHAT
+from lavra.operators.lexicon import MOST_PER_TERM, TERMS
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def fold(c: str) -> str:
+    return f"lower(translate({c}, '{ACCENTED}', '{PLAIN}'))"
+
+
+def tokens(c: str) -> str:
+    return rf"regexp_extract_all({fold(c)}, '[\p{{L}}\p{{N}}]+')"
+
+
+def unhyphenate(c: str) -> str:
+    return rf"regexp_replace({c}, '([\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])-[ \t]*\n(?:[ \t]*\n)?[ \t]*([\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])', '\1\2', 'g')"
+
+
+def name_key(c: str) -> str:
+    return rf"array_to_string(regexp_extract_all(regexp_replace({fold(c)}, '\bs\s*[./]?\s*a\b\.?', ' sa ', 'g'), '[a-z0-9]+'), ' ')"
+
+
+def words(c: str) -> str:
+    return rf"list_filter(regexp_split_to_array({c}, '\s+'), lambda w: w <> '')"
+
+
+LEXICON = "lexico(categoria, padrao, peso) AS (VALUES " + ", ".join(f"({_q(c)}, {_q(p)}, {w})" for c, all_ in TERMS.items() for p, w in all_) + ")"
+COUNTS = f"""dobrado AS (SELECT doc_id, {fold("text")} AS d FROM documents WHERE text IS NOT NULL),
+achados_ AS (SELECT doc_id, categoria, padrao, peso, len(regexp_extract_all(d, padrao)) AS n FROM dobrado, lexico),
+termos AS (SELECT doc_id, categoria, padrao, n, least(n, {MOST_PER_TERM}) * peso AS pontos FROM achados_ WHERE n > 0)"""
+PAGES = "paginas_ AS (SELECT * FROM paginas WHERE pagina_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pagina_id ORDER BY extraido_em) = 1)"
+FILES = "arquivos_ AS (SELECT * FROM arquivos WHERE documento_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY documento_id ORDER BY extraido_em DESC) = 1)"
+FINDINGS = "achados_ AS (SELECT * FROM achados WHERE achado_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY achado_id ORDER BY criado_em, documento_id) = 1)"
+
+
+def _values() -> str:
+    parts = " UNION ALL ".join(f"SELECT documento_id, '{k}' AS tipo, unnest({k}) AS x FROM entidades_" for k in ("cnpjs", "cpfs", "emails", "valores"))
+    return f"""entidades_ AS (SELECT * FROM entidades WHERE documento_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entidade_id ORDER BY extraido_em) = 1),
+itens AS ({parts}), paginas_x AS (SELECT documento_id, tipo, x.valor AS valor, unnest(CASE WHEN len(x.paginas) > 0 THEN x.paginas ELSE [NULL] END) AS p FROM itens WHERE x.valor IS NOT NULL),
+valores_ AS (SELECT documento_id, tipo, valor, list_sort(list(DISTINCT p) FILTER (p IS NOT NULL)) AS paginas FROM paginas_x GROUP BY ALL)"""
+
+
+def _bm25(limit: int) -> str:
+    return f"""palavras AS (SELECT doc_id, {tokens(unhyphenate("text"))} AS w FROM documents WHERE text IS NOT NULL),
+estat AS (SELECT count(*) AS textos, avg(len(w)) AS media FROM palavras),
+hits AS (SELECT doc_id, len(w) AS tamanho, t.termo, len(list_filter(w, lambda x: x = t.termo)) AS tf FROM palavras, (VALUES ('fianca'), ('vistoria'), ('cronograma')) t(termo)),
+df AS (SELECT termo, count(*) AS df FROM hits WHERE tf > 0 GROUP BY termo),
+melhores AS (SELECT doc_id, sum(greatest(ln((textos - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tamanho / media))) AS pontos
+ FROM hits JOIN df USING (termo), estat WHERE tf > 0 GROUP BY doc_id ORDER BY pontos DESC, doc_id LIMIT {limit})"""
+
+
+def _vectors() -> str:
+    asked = "[" + ", ".join("1.0" if i % 3 else "-0.5" for i in range(64)) + "]::DOUBLE[]"
+    dot = lambda a, b: f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i]))"
+    return f"""asked AS (SELECT {asked} AS q), vetores AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+perto AS (SELECT vec_id, {dot("e", "q")} / (sqrt({dot("e", "e")}) * sqrt({dot("q", "q")})) AS s FROM vetores, asked ORDER BY s DESC, vec_id LIMIT 50)"""
+
+
+def _network() -> str:
+    generic = ", ".join(_q(d) for d in GENERIC_DOMAINS)
+    return f"""m AS (SELECT * FROM mensagens WHERE mensagem_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mensagem_id ORDER BY recebido_em) = 1),
+men AS (SELECT mensagem_id, 'de' AS papel, de.nome AS nome, lower(de.endereco) AS endereco FROM m
+ UNION ALL SELECT mensagem_id, 'para', p.nome, lower(p.endereco) FROM (SELECT mensagem_id, unnest(para) AS p FROM m)
+ UNION ALL SELECT mensagem_id, 'cc', p.nome, lower(p.endereco) FROM (SELECT mensagem_id, unnest(cc) AS p FROM m)),
+mk AS (SELECT *, {name_key("coalesce(nome, '')")} AS chave FROM men), mkf AS (SELECT * FROM mk WHERE chave <> '' OR endereco <> ''),
+visto AS (SELECT chave, arg_min(endereco, (mensagem_id, endereco)) AS achado FROM mkf WHERE endereco <> '' AND chave <> '' GROUP BY chave),
+ident AS (SELECT mkf.*, coalesce(CASE WHEN endereco <> '' THEN endereco END, achado, chave) AS pessoa FROM mkf LEFT JOIN visto USING (chave)),
+env AS (SELECT DISTINCT mensagem_id, pessoa AS de_ FROM ident WHERE papel = 'de'),
+pes AS (SELECT pessoa, list_sort(list(DISTINCT nome) FILTER (trim(nome) <> '')) AS nomes,
+ max(CASE WHEN split_part(endereco, '@', 2) <> '' AND split_part(endereco, '@', 2) NOT IN ({generic}) THEN split_part(endereco, '@', 2) END) AS organizacao FROM ident GROUP BY pessoa),
+rec AS (SELECT i.pessoa, count(DISTINCT mensagem_id) AS recebidas FROM (SELECT DISTINCT mensagem_id, pessoa FROM ident WHERE papel <> 'de') i LEFT JOIN env USING (mensagem_id) WHERE de_ IS NULL OR de_ <> i.pessoa GROUP BY 1),
+para_ AS (SELECT mensagem_id, pessoa, min(CASE WHEN papel = 'cc' THEN 1 ELSE 0 END) = 1 AS copia FROM ident WHERE papel <> 'de' GROUP BY ALL),
+elos AS (SELECT mensagem_id, least(de_, pessoa) AS a, greatest(de_, pessoa) AS b, copia FROM para_ JOIN env USING (mensagem_id) WHERE de_ <> pessoa),
+pares AS (SELECT a, b, count(*) AS total, count(*) FILTER (copia) AS copias, min(CASE WHEN data <> '' THEN data END) AS primeira, max(CASE WHEN data <> '' THEN data END) AS ultima,
+ count(DISTINCT documento_id) AS documentos FROM elos JOIN m USING (mensagem_id) GROUP BY a, b),
+cruz AS (SELECT pares.*, x.organizacao AS org_a, y.organizacao AS org_b, coalesce(x.organizacao <> y.organizacao, false) AS cruzada FROM pares LEFT JOIN pes x ON a = x.pessoa LEFT JOIN pes y ON b = y.pessoa)"""
+
+
+def _digits(kind: str) -> str:
+    """Whether the check digits of `valor` hold."""
+    if kind == "cpf":
+        d = r"regexp_replace(valor, '\D', '', 'g')"
+        digit = lambda n: f"((list_sum(list_transform(range(1, {n + 1}), lambda i: ({n + 2} - i) * CAST(substr({d}, i, 1) AS INT))) * 10) % 11) % 10 = CAST(substr({d}, {n + 1}, 1) AS INT)"
+        return f"(length({d}) = 11 AND {d} <> repeat(substr({d}, 1, 1), 11) AND {digit(9)} AND {digit(10)})"
+    s = "regexp_replace(upper(valor), '[./-]', '', 'g')"
+
+    def digit(weights: list[int]) -> str:
+        n = len(weights)
+        total = f"(list_sum(list_transform(range(1, {n + 1}), lambda i: ({weights})[i] * (ord(substr({s}, i, 1)) - 48))) % 11)"
+        return f"(CASE WHEN {total} < 2 THEN 0 ELSE 11 - {total} END) = CAST(substr({s}, {n + 1}, 1) AS INT)"
+
+    first = [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
+    return rf"(CASE WHEN regexp_full_match({s}, '[0-9A-Z]{{12}}\d{{2}}') AND {s} <> repeat(substr({s}, 1, 1), 14) THEN {digit(first)} AND {digit([6, *first])} ELSE false END)"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    stop = ", ".join(_q(w) for w in STOPWORDS)
+    email = EMAIL.replace("'", "''")
+    chat = _q(CHAT)
+    group = lambda k: f"regexp_extract(l, {chat}, {k})"
+    chat_rows = rf"""linhas AS (SELECT documento_id, n, unnest(list_zip(range(1, len(string_split(texto, chr(10))) + 1), string_split(texto, chr(10)))) AS z FROM paginas_ WHERE texto IS NOT NULL),
+falas AS (SELECT documento_id, n, CAST(z[1] AS INT) AS linha, trim(z[2]) AS l FROM linhas)"""
+    return {
+        "triage_lexicon_rank": f"WITH {LEXICON}, {COUNTS}, p AS (SELECT doc_id, sum(pontos) AS s FROM termos GROUP BY doc_id) SELECT doc_id, CAST(coalesce(s, 0) AS BIGINT) AS pontos, CAST(row_number() OVER (ORDER BY coalesce(s, 0) DESC, doc_id) AS INT) AS posicao FROM documents LEFT JOIN p USING (doc_id)",
+        "triage_density": f"WITH {LEXICON}, {COUNTS}, p AS (SELECT doc_id, sum(pontos) AS s FROM termos GROUP BY doc_id), w AS (SELECT doc_id, len({words("coalesce(text, '')")}) AS palavras FROM documents) SELECT doc_id, palavras, CAST(round(CAST(coalesce(s, 0) AS DOUBLE) * 1000.0 / greatest(palavras, 1), 1) AS DOUBLE) AS densidade FROM w LEFT JOIN p USING (doc_id)",
+        "triage_category_totals": f"WITH {LEXICON}, {COUNTS} SELECT categoria, count(DISTINCT doc_id) AS textos, CAST(sum(pontos) AS BIGINT) AS pontos FROM termos GROUP BY categoria",
+        "text_fold": f"SELECT doc_id, length({fold('text')}) AS tamanho, md5({fold('text')}) AS resumo FROM documents",
+        "text_clean_breaks": rf"WITH {PAGES} SELECT pagina_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(texto, chr(0), ''), '\r\n?', chr(10), 'g'), '[ \t\x{{00A0}}]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\x{{00A0}}\x{{0085}}\v]+|[\s\x{{00A0}}\x{{0085}}\v]+$', '', 'g')) AS resumo FROM paginas_",
+        "text_unhyphenate": f"WITH {PAGES} SELECT pagina_id, md5({unhyphenate('texto')}) AS resumo FROM paginas_",
+        "text_tokens": f"SELECT termo, count(*) AS n FROM (SELECT unnest({tokens('text')}) AS termo FROM documents) GROUP BY termo",
+        "name_keys": f"SELECT DISTINCT nome, {name_key('nome')} AS chave FROM achados WHERE nome IS NOT NULL",
+        "question_keywords": rf"SELECT DISTINCT assunto, array_to_string(list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] END), lambda x: x IS NOT NULL), ' OU ') AS consulta FROM (SELECT assunto, list_filter(regexp_extract_all(assunto, '[\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 4 AND {fold('x')} NOT IN ({stop})) AS w FROM mensagens WHERE assunto IS NOT NULL)",
+        "entity_emails": f"SELECT doc_id, email, count(*) AS n FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{email}'))) AS email FROM documents) GROUP BY ALL",
+        "entity_amounts": rf"""WITH {PAGES}, v AS (SELECT pagina_id, unnest(regexp_extract_all(texto, '(?i)R\$\s?(?:\d{{1,3}}(?:\.\d{{3}})+|\d+)(?:,\d{{1,2}})?(?:\s*(?:mil|milh[aã]o|milh[oõ]es|bilh[aã]o|bilh[oõ]es|mi|bi)\b)?')) AS r FROM paginas_),
+ p AS (SELECT pagina_id, CAST(replace(regexp_extract(r, '(?i)R\$\s?(\d{{1,3}}(?:\.\d{{3}})+|\d+)', 1), '.', '') AS DECIMAL(30,2)) + CAST(rpad(regexp_extract(r, ',(\d{{1,2}})', 1), 2, '0') AS DECIMAL(30,2)) / 100 AS x, lower(regexp_extract(r, '(?i)\s*(mil|milh[aã]o|milh[oõ]es|bilh[aã]o|bilh[oõ]es|mi|bi)$', 1)) AS u FROM v)
+ SELECT pagina_id, count(*) AS n, CAST(sum(x * CASE WHEN u LIKE 'bi%' THEN 1000000000 WHEN u = 'mil' THEN 1000 WHEN u LIKE 'mi%' THEN 1000000 ELSE 1 END) AS DOUBLE) AS total FROM p GROUP BY pagina_id""",
+        "entity_ids_validated": f"WITH {_values()} SELECT DISTINCT tipo, valor, CASE WHEN tipo = 'cpfs' THEN {_digits('cpf')} ELSE {_digits('cnpj')} END AS valido FROM valores_ WHERE tipo IN ('cpfs', 'cnpjs')",
+        "entity_values": f"WITH {_values()} SELECT documento_id, tipo, valor, coalesce(array_to_string(paginas, ','), '') AS paginas FROM valores_",
+        "entity_directory": f"WITH {_values()} SELECT tipo, valor, count(DISTINCT documento_id) AS documentos, array_to_string(list_slice(list_sort(list(DISTINCT documento_id)), 1, 8), ', ') AS lugares FROM valores_ GROUP BY tipo, valor",
+        "mail_domains": f"WITH c AS (SELECT DISTINCT ON (pessoa_id) * FROM comunicacoes WHERE endereco IS NOT NULL), d AS (SELECT lower(split_part(endereco, '@', 2)) AS d FROM c) SELECT CASE WHEN d <> '' AND d NOT IN ({', '.join(_q(x) for x in GENERIC_DOMAINS)}) THEN d END AS organizacao, count(*) AS pessoas FROM d GROUP BY 1",
+        "ocr_policy": f"WITH {PAGES} SELECT pagina_id, CASE WHEN coalesce(caracteres, 0) < 200 THEN 'pouco texto digital' WHEN cobertura_imagem >= 0.5 AND caracteres < 1500 THEN 'imagem cobre a página' END AS motivo FROM paginas_",
+        "export_coverage": f"WITH {PAGES}, c AS (SELECT documento_id, count(*) AS paginas, count(*) FILTER (metodo IN ('texto_digital', 'html', 'texto')) AS digitais, count(*) FILTER (metodo = 'ocr') AS ocr FROM paginas_ WHERE documento_id IS NOT NULL GROUP BY 1) SELECT documento_id, paginas, digitais, ocr, round((digitais + ocr) / paginas::DOUBLE, 4) AS cobertura, paginas - digitais - ocr AS invisiveis FROM c",
+        "export_doubtful": f"WITH {PAGES} SELECT pagina_id, documento_id, n, confianca_media, ocr_palavras FROM paginas_ WHERE metodo = 'ocr' AND (confianca_media < 70 OR ocr_palavras < 20)",
+        "page_alerts": f"""WITH {PAGES}, c AS (SELECT documento_id, count(*) AS paginas, count(*) FILTER (metodo = 'ocr') AS paginas_ocr, min(CASE WHEN metodo = 'ocr' THEN confianca_media END) AS confianca_minima,
+ count(*) FILTER (metodo = 'ocr' AND confianca_media < 70) AS baixa, count(*) FILTER (metodo = 'ocr' AND coalesce(caracteres, 0) < 20) AS vazias, count(*) FILTER (metodo = 'erro') AS erro FROM paginas_ WHERE documento_id IS NOT NULL GROUP BY 1)
+ SELECT documento_id, paginas, paginas_ocr, confianca_minima, vazias, concat_ws('; ', CASE WHEN baixa > 0 THEN baixa || ' páginas com confiança baixa' END, CASE WHEN vazias > 0 THEN vazias || ' páginas de OCR quase vazias' END, CASE WHEN erro > 0 THEN erro || ' páginas com erro' END) AS alertas,
+ CASE WHEN erro = paginas THEN 'erro' WHEN erro > 0 THEN 'parcial' ELSE 'ok' END AS situacao FROM c""",
+        "text_file_pages": r"WITH t AS (SELECT doc_id, len(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS k FROM documents WHERE text <> ''), p AS (SELECT doc_id, k, unnest(range(1, CAST(ceil(k / 10.0) AS INT) + 1)) AS n FROM t) SELECT doc_id, CAST(n AS INT) AS n, CAST((n - 1) * 10 + 1 AS INT) AS primeira, CAST(least(n * 10, k) AS INT) AS ultima FROM p",
+        "passages_windows": f"WITH t AS (SELECT doc_id, len({words('text')}) AS k FROM documents), p AS (SELECT doc_id, k, unnest(range(0, greatest(CAST(ceil((k - 50) / 42.0) AS INT), 0) + 1)) AS i FROM t WHERE k > 0) SELECT doc_id, CAST(i + 1 AS INT) AS n, CAST(least(50, k - i * 42) AS INT) AS palavras FROM p",
+        "bm25_search_topk": f"WITH {_bm25(200)} SELECT doc_id, round(pontos, 6) AS pontos FROM melhores",
+        "boolean_phrase_prefix_search": f"WITH p AS (SELECT doc_id, ' ' || array_to_string({tokens(unhyphenate('text'))}, ' ') || ' ' AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id FROM p WHERE (contains(w, ' carta de fianca ') AND contains(w, ' atestad')) OR contains(w, ' tabela de descontos ')",
+        "substring_search": "SELECT doc_id FROM documents WHERE contains(text, 'carta de fiança')",
+        "search_statistics": f"SELECT count(*) AS textos, round(avg(len({tokens(unhyphenate('text'))})), 6) AS media FROM documents WHERE text IS NOT NULL",
+        "vector_topk": f"WITH {_vectors()} SELECT vec_id, round(s, 6) AS similaridade FROM perto",
+        "hybrid_rrf": f"WITH {_bm25(50)}, {_vectors()}, l AS (SELECT doc_id, row_number() OVER (ORDER BY pontos DESC, doc_id) AS k, 'palavra' AS o FROM melhores UNION ALL SELECT vec_id, row_number() OVER (ORDER BY s DESC, vec_id), 'significado' FROM perto), f AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + k)) AS pontos, array_to_string(list_sort(list(DISTINCT o)), '+') AS origens FROM l GROUP BY doc_id ORDER BY pontos DESC, doc_id LIMIT 20) SELECT doc_id, round(pontos, 9) AS pontos, origens FROM f",
+        "vector_status": "SELECT count(DISTINCT documento_id) AS documentos, count(*) AS passagens FROM (SELECT DISTINCT ON (passagem_id) * FROM passagens WHERE vetor IS NOT NULL)",
+        "vector_stale": "SELECT passagem_id FROM (SELECT DISTINCT ON (passagem_id) * FROM passagens) p WHERE NOT EXISTS (SELECT 1 FROM entidades e WHERE e.documento_id = p.documento_id)",
+        "vector_pending": "WITH p AS (SELECT DISTINCT ON (passagem_id) * FROM passagens) SELECT passagem_id FROM p WHERE passagem_id NOT IN (SELECT passagem_id FROM p WHERE vetor IS NOT NULL AND modelo = 'vetor-b')",
+        "network_people": f"WITH {_network()} SELECT pessoa, coalesce(list_sort(list_transform(nomes, lambda x: {{'l': -length(x), 'n': x}}))[1].n, pessoa) AS rotulo, organizacao, coalesce(e.enviadas, 0) AS enviadas, coalesce(recebidas, 0) AS recebidas, CAST(coalesce(len(nomes), 0) AS INT) AS nomes FROM pes LEFT JOIN (SELECT de_ AS pessoa, count(*) AS enviadas FROM env GROUP BY 1) e USING (pessoa) LEFT JOIN rec USING (pessoa)",
+        "network_pairs": f"WITH {_network()} SELECT a, b, total, copias, primeira, ultima, documentos, cruzada FROM cruz",
+        "network_organisations": f"WITH {_network()} SELECT least(org_a, org_b) AS org_a, greatest(org_a, org_b) AS org_b, CAST(sum(total) AS BIGINT) AS mensagens, count(*) AS pares FROM cruz WHERE cruzada GROUP BY 1, 2",
+        "chat_lines": rf"""WITH {PAGES}, {chat_rows} SELECT documento_id, n, linha, trim({group(6)}) AS autor, (CASE WHEN length({group(3)}) = 2 THEN '20' || {group(3)} ELSE lpad({group(3)}, 4, '0') END) || '-' || lpad({group(2)}, 2, '0') || '-' || lpad({group(1)}, 2, '0') || 'T' || lpad({group(4)}, 2, '0') || ':' || {group(5)} AS data FROM falas WHERE regexp_matches(l, {chat})""",
+        "findings_first": f"WITH {FINDINGS} SELECT achado_id, caso_id, nome, criado_em FROM achados_",
+        "findings_reviewed": f"WITH {FINDINGS}, r AS (SELECT achado_id, arg_max(situacao, criado_em) AS s FROM achados WHERE situacao IN ('validado', 'rejeitado', 'pendente') GROUP BY 1) SELECT tipo, coalesce(s, 'pendente') AS revisao, count(*) AS n FROM achados_ LEFT JOIN r USING (achado_id) GROUP BY ALL",
+        "dramatis_personae": f"""WITH {FINDINGS}, k AS (SELECT *, {name_key('nome')} AS chave FROM achados_ WHERE tipo = 'pessoas' AND trim(nome) <> '' AND coalesce(situacao, 'pendente') = 'validado'),
+ s AS (SELECT chave, nome, count(*) AS n FROM k WHERE chave <> '' GROUP BY ALL), d AS (SELECT chave, count(DISTINCT documento_id) AS documentos FROM k GROUP BY 1)
+ SELECT chave, arg_min(nome, (-n, nome)) AS nome, CAST(count(*) AS INT) AS grafias, CAST(sum(n) AS BIGINT) AS achados, any_value(documentos) AS documentos FROM s JOIN d USING (chave) GROUP BY chave""",
+        "firms_consolidated": f"WITH {FINDINGS} SELECT {name_key('nome')} AS chave, CAST(NULL AS VARCHAR) AS cnpj, CAST(count(DISTINCT nome) AS INT) AS grafias FROM achados_ WHERE tipo = 'empresas' AND trim(nome) <> '' AND {name_key('nome')} <> '' GROUP BY 1",
+        "findings_timeline": f"WITH {FINDINGS} SELECT achado_id, strftime(criado_em, '%Y-%m-%d') AS data, localizador FROM achados_ WHERE tipo = 'eventos'",
+        "status_rollups": "SELECT tipo, coalesce(situacao, 'pendente') AS situacao, count(*) AS n FROM achados GROUP BY ALL",
+        "latest_overlay": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
+        "dedup_by_content_hash": "WITH h AS (SELECT sha256(coalesce(text, '')) AS sha256, CAST(doc_id AS VARCHAR) AS caminho FROM documents) SELECT sha256, substr(sha256, 1, 16) AS documento_id, min(caminho) AS caminho, count(*) AS copias FROM h GROUP BY sha256",
+        "incremental_pending": "SELECT DISTINCT sha256 FROM arquivos WHERE sha256 IS NOT NULL AND sha256 NOT IN (SELECT sha256 FROM arquivos WHERE versao_extrator = '1.2' AND coalesce(situacao, '') <> 'erro' AND sha256 IS NOT NULL)",
+        "orphan_archive": "SELECT DISTINCT documento_id FROM arquivos a WHERE NOT EXISTS (SELECT 1 FROM entidades e WHERE e.documento_id = a.documento_id)",
+        "manifest_full_outer": f"""WITH {PAGES}, e AS (SELECT documento_id AS caminho, count(*) AS x FROM paginas_ WHERE documento_id IS NOT NULL GROUP BY 1), v AS (SELECT documento_id AS caminho, count(*) AS y FROM (SELECT DISTINCT ON (passagem_id) * FROM passagens) WHERE documento_id IS NOT NULL GROUP BY 1),
+ j AS (SELECT caminho, x, y FROM e FULL JOIN v USING (caminho)) SELECT caminho, CASE WHEN y IS NULL THEN 'original ausente' WHEN x IS NULL THEN 'arquivo novo' ELSE 'extração alterada' END AS problema FROM j WHERE x IS NULL OR y IS NULL OR x <> y""",
+        "import_plan": rf"""WITH {FILES}, s AS (SELECT nome AS caminho, min(sha256) AS sha256 FROM arquivos_ WHERE sha256 IS NOT NULL GROUP BY 1), t AS (SELECT nome AS caminho, max(sha256) AS t FROM arquivos_ WHERE sha256 IS NOT NULL AND tipo = 'pdf' GROUP BY 1),
+ j AS (SELECT caminho, sha256, CASE WHEN starts_with(lower(caminho), '~$') OR starts_with(caminho, '.') OR lower(caminho) IN ('thumbs.db', 'desktop.ini') THEN 'ignorar' WHEN t IS NULL THEN 'copiar' WHEN t = sha256 THEN 'identico' ELSE 'renomear' END AS acao FROM s LEFT JOIN t USING (caminho))
+ SELECT caminho, sha256, acao, CASE acao WHEN 'renomear' THEN regexp_replace(caminho, '(\.[^./]*)?$', ' (2)\1') WHEN 'copiar' THEN caminho END AS destino FROM j""",
+        "run_summary": f"WITH {FILES} SELECT coalesce(situacao, 'desconhecida') AS situacao, count(*) AS documentos FROM arquivos_ GROUP BY 1",
+        "report_overview": "SELECT (SELECT count(DISTINCT documento_id) FROM arquivos) AS documentos, p.paginas, p.paginas_ocr, m.mensagens, m.sem_data FROM (SELECT count(*) AS paginas, count(*) FILTER (metodo = 'ocr') AS paginas_ocr FROM (SELECT DISTINCT ON (pagina_id) * FROM paginas)) p, (SELECT count(*) AS mensagens, count(*) FILTER (coalesce(trim(data), '') = '') AS sem_data FROM (SELECT DISTINCT ON (mensagem_id) * FROM mensagens)) m",
+        "model_duration": f"SELECT count(*) AS trechos, round(coalesce(sum(len({words('text')})), 0) * 1.9 / 50.0 + count(*) * 400 / 5.0, 1) AS segundos FROM documents",
+    }

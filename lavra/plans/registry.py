@@ -7,15 +7,552 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lavra.operators import timestamps
+from lavra.functions import dates, identifiers, people, text
+from lavra.operators import citations, custody, findings, headers, lexicon, network, passages, reports, search, timestamps, vectors
 from lavra.session import shared_dir, table
+from lavra.sources import files
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 
+#: What the search queries ask for.
+WORDS, BOOLEAN, QUESTION = "fianca OU vistoria OU cronograma", '"carta de fianca" atestad* OU "tabela de descontos"', "Quem recebeu a carta de fiança do fornecedor?"
+#: The vector that the vector queries ask for, of the dimension of the table embeddings.
+ASKED = [1.0 if i % 3 else -0.5 for i in range(64)]
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+@query
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     path = os.path.join(shared_dir(spark), "lavra", f"datas-{uuid.uuid4().hex}")
     return timestamps.message_and_entity_dates(table(spark, sf, "mensagens"), table(spark, sf, "entidades"), table(spark, sf, "arquivos"), path)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "paginas").where("pagina_id is not null").dropDuplicates(["pagina_id"])
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per file, of its last delivery."""
+    return findings.latest(table(spark, sf, "arquivos").where("documento_id is not null"), ["documento_id"], ["extraido_em"])
+
+
+# --- triage
+
+
+@query
+def triage_lexicon_rank(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    points = lexicon.term_counts(docs, "doc_id", "text").groupBy("doc_id").agg(F.sum("pontos").alias("pontos"))
+    scored = docs.select("doc_id").join(points, "doc_id", "left").select("doc_id", F.coalesce("pontos", F.lit(0)).alias("pontos"))
+    return lexicon.rank(scored, F.desc("pontos"), F.asc("doc_id"))
+
+
+@query
+def triage_full(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.triage(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query
+def triage_density(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    points = lexicon.term_counts(docs, "doc_id", "text").groupBy("doc_id").agg(F.sum("pontos").alias("p"))
+    joined = docs.select("doc_id", words.alias("palavras")).join(points, "doc_id", "left")
+    return joined.select("doc_id", "palavras", F.round(F.coalesce("p", F.lit(0)) * 1000.0 / F.greatest("palavras", F.lit(1)), 1).alias("densidade"))
+
+
+@query
+def triage_category_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.category_totals(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query
+def triage_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.snippets(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query
+def triage_spaced_excerpts(spark: SparkSession, sf: str) -> DataFrame:
+    found = lexicon.snippets(table(spark, sf, "documents"), "doc_id", "text", most=20).withColumn("pagina", F.lit(1))
+    return reports.spaced_excerpts(found, "doc_id", "pagina")
+
+
+@query
+def reading_priorities(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "achados").where("tipo = 'pessoas'")
+    return lexicon.priorities(table(spark, sf, "documents"), "doc_id", "text", first_names=people.learn_first_names(names, "nome"))
+
+
+@query
+def communication_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _pages(spark, sf).where("documento_id is not null and n <= 2").groupBy("documento_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("texto", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("texto"))
+    blocks = headers.headers(pages, "documento_id", "texto").groupBy("documento_id").agg(F.count("*").alias("cabecalhos"))
+    chats = headers.chat_pairs(headers.chat_lines(pages.withColumn("n", F.lit(1)), "documento_id", "n", "texto"), "documento_id", "n").groupBy("documento_id").agg(F.count("*").alias("trocas"))
+    joined = pages.join(blocks, "documento_id", "left").join(chats, "documento_id", "left").na.fill(0, ["cabecalhos", "trocas"])
+    return joined.select("documento_id", lexicon.communication_kind(F.col("texto"), F.col("cabecalhos"), F.col("trocas")).alias("tipo"), lexicon.is_contract(F.col("texto"), F.col("texto")).alias("contrato"))
+
+
+@query
+def lexicon_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.lexicon_hash(lexicon.terms(spark))
+
+
+# --- text
+
+
+@query
+def text_fold(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    folded = text.fold(F.col("text"))
+    return docs.select("doc_id", F.length(folded).cast("long").alias("tamanho"), F.md5(folded.cast("binary")).alias("resumo"))
+
+
+@query
+def text_clean_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    return _pages(spark, sf).select("pagina_id", F.md5(text.clean_breaks(F.col("texto")).cast("binary")).alias("resumo"))
+
+
+@query
+def text_unhyphenate(spark: SparkSession, sf: str) -> DataFrame:
+    return _pages(spark, sf).select("pagina_id", F.md5(text.unhyphenate(F.col("texto")).cast("binary")).alias("resumo"))
+
+
+@query
+def text_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    words = table(spark, sf, "documents").select(F.explode(text.tokens(F.col("text"))).alias("termo"))
+    return words.groupBy("termo").agg(F.count("*").alias("n"))
+
+
+@query
+def name_keys(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "achados").where("nome is not null").select("nome").distinct()
+    return names.select("nome", text.name_key(F.col("nome")).alias("chave"))
+
+
+@query
+def locators(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _pages(spark, sf).where("documento_id is not null").groupBy("documento_id").agg(F.array_sort(F.collect_set("n")).alias("ns"))
+    rows = _files(spark, sf).join(pages, "documento_id")
+    none = F.lit(None).cast("string")
+    where = text.locator(none, F.col("nome"), none.cast("int"), none, F.col("ns"))
+    return rows.select("documento_id", where.alias("localizador"), text.locator_document(where).alias("documento"), text.safe_name(F.col("nome")).alias("nome_seguro"))
+
+
+@query
+def links_and_paths(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _files(spark, sf).select("documento_id", F.try_element_at("caminhos", F.lit(1)).alias("caminho"))
+    return rows.select("documento_id", text.safe_path(F.col("caminho")).alias("seguro"), text.link(F.col("caminho")).alias("ligacao"))
+
+
+@query
+def question_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "mensagens").where("assunto is not null").select("assunto").distinct()
+    return rows.select("assunto", text.question_terms(F.col("assunto")).alias("consulta"))
+
+
+# --- identifiers and entities
+
+
+@query
+def entity_emails(spark: SparkSession, sf: str) -> DataFrame:
+    found = table(spark, sf, "documents").select("doc_id", F.explode(identifiers.emails(F.col("text"))).alias("email"))
+    return found.groupBy("doc_id", "email").agg(F.count("*").alias("n"))
+
+
+@query
+def entity_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    found = _pages(spark, sf).select("pagina_id", F.explode(identifiers.amounts(F.col("texto"))).alias("v"))
+    return found.groupBy("pagina_id").agg(F.count("*").alias("n"), F.sum("v.valor").cast("double").alias("total"))
+
+
+@query
+def entity_ids_validated(spark: SparkSession, sf: str) -> DataFrame:
+    values = reports.entity_values(table(spark, sf, "entidades"))
+    kinds = values.where("tipo in ('cpfs', 'cnpjs')").select("tipo", "valor").distinct()
+    return kinds.select("tipo", "valor", F.when(F.col("tipo") == "cpfs", identifiers.cpf_ok(F.col("valor"))).otherwise(identifiers.cnpj_ok(F.col("valor"))).alias("valido"))
+
+
+@query
+def entity_ids_in_text(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _pages(spark, sf).select("pagina_id", identifiers.cpfs(F.col("texto")).alias("cpfs"), identifiers.cnpjs(F.col("texto")).alias("cnpjs"))
+    return rows.where("size(cpfs) > 0 or size(cnpjs) > 0")
+
+
+@query
+def entity_values(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.entity_values(table(spark, sf, "entidades")).select("documento_id", "tipo", "valor", F.array_join("paginas", ",").alias("paginas"))
+
+
+@query
+def entity_directory(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.entity_directory(reports.entity_values(table(spark, sf, "entidades")))
+
+
+@query
+def dates_positional(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.explode(dates.dates(F.col("text"))).alias("d")).select("doc_id", "d.*")
+
+
+@query
+def dates_near_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.dates_near_terms(table(spark, sf, "documents"), ["doc_id"], "text")
+
+
+@query
+def firms_and_people(spark: SparkSession, sf: str) -> DataFrame:
+    names = people.learn_first_names(table(spark, sf, "achados").where("tipo = 'pessoas'"), "nome")
+    return table(spark, sf, "documents").select("doc_id", people.firms(F.col("text")).alias("empresas"), people.people(F.col("text"), names).alias("pessoas"))
+
+
+@query
+def file_identities(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _files(spark, sf).select("documento_id", F.explode("caminhos").alias("caminho"))
+    ext = F.regexp_extract("caminho", r"(\.[^./]+)$", 1)
+    return rows.select("documento_id", "caminho", identifiers.file_identity(F.col("caminho"), ext, F.lit("")).alias("i")).where("i is not null").select("documento_id", "caminho", "i.*")
+
+
+@query
+def mail_domains(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "comunicacoes").where("endereco is not null").dropDuplicates(["pessoa_id"])
+    return rows.groupBy(identifiers.domain(F.col("endereco")).alias("organizacao")).agg(F.count("*").alias("pessoas"))
+
+
+# --- pages
+
+
+@query
+def ocr_policy(spark: SparkSession, sf: str) -> DataFrame:
+    return _pages(spark, sf).select("pagina_id", identifiers.ocr_reason(F.col("caracteres"), F.col("cobertura_imagem"), F.lit(False)).alias("motivo"))
+
+
+@query
+def page_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return custody.page_alerts(table(spark, sf, "paginas")).select("documento_id", "paginas", "paginas_ocr", "confianca_minima", "vazias", F.array_join("alertas", "; ").alias("alertas"), "situacao")
+
+
+@query
+def export_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.export_coverage(table(spark, sf, "paginas"))
+
+
+@query
+def export_doubtful(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.doubtful_pages(table(spark, sf, "paginas"))
+
+
+@query
+def export_texts(spark: SparkSession, sf: str) -> DataFrame:
+    targets = _files(spark, sf).select("documento_id", F.regexp_replace("nome", r"\.[^.]*$", "").alias("alvo"))
+    return reports.export_texts(table(spark, sf, "paginas"), targets).select("alvo", "documentos", F.md5(F.col("texto").cast("binary")).alias("resumo"))
+
+
+@query
+def text_file_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return files.text_pages(table(spark, sf, "documents"), "doc_id", "text", lines=10).select("doc_id", "n", "primeira", "ultima")
+
+
+@query
+def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _pages(spark, sf).where("metodo = 'html' and texto is not null")
+    body = F.concat(F.lit("<html><head><title>Página</title><script>x()</script></head><body><p>"), F.replace(F.replace("texto", F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("<br>")), F.lit("</p></body></html>"))
+    return files.html_pages(pages.select("pagina_id", body.alias("html")), "pagina_id", "html")
+
+
+@query
+def passages_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.passages(table(spark, sf, "documents"), ["doc_id"], "text", words=50, step=42).select("doc_id", "n", "palavras")
+
+
+@query
+def passages_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.passage_offsets(_pages(spark, sf).where("texto is not null"), ["pagina_id"], "texto", words=50, step=42)
+
+
+@query
+def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.chunks(_pages(spark, sf).where("documento_id is not null and n is not null"), "documento_id", "n", "texto", most=200)
+
+
+# --- search
+
+
+@query
+def bm25_search_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(table(spark, sf, "documents"), "doc_id", "text", WORDS).select("doc_id", F.round("pontos", 6).alias("pontos"))
+
+
+@query
+def boolean_phrase_prefix_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(table(spark, sf, "documents"), "doc_id", "text", BOOLEAN, limit=None).select("doc_id")
+
+
+@query
+def search_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = search.search(docs, "doc_id", "text", WORDS)
+    return search.snippet_of(docs.join(found, "doc_id"), "text", WORDS).select("doc_id", "posicao", "trecho", text.highlight(F.col("trecho")).alias("html"))
+
+
+@query
+def substring_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.contains_search(table(spark, sf, "documents"), "doc_id", "text", "carta de fiança")
+
+
+@query
+def search_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return search.corpus_statistics(table(spark, sf, "documents"), "text").select("textos", F.round("media", 6).alias("media"))
+
+
+@query
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.top_k(table(spark, sf, "embeddings"), "vec_id", "embedding", ASKED).select("vec_id", F.round("similaridade", 6).alias("similaridade"))
+
+
+@query
+def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
+    words = search.search(table(spark, sf, "documents"), "doc_id", "text", WORDS, limit=vectors.LISTED).select("doc_id", "posicao")
+    near = vectors.top_k(table(spark, sf, "embeddings"), "vec_id", "embedding", ASKED).select(F.col("vec_id").alias("doc_id"), "posicao")
+    fused = vectors.fuse(words, near, ["doc_id"])
+    return fused.select("doc_id", F.round("pontos", 9).alias("pontos"), F.array_join("origens", "+").alias("origens"))
+
+
+@query
+def question_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", text.window_around(F.col("text"), F.lit(QUESTION), 40).alias("janela"))
+
+
+@query
+def vector_status(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.status(table(spark, sf, "passagens").where("vetor is not null").dropDuplicates(["passagem_id"]), "documento_id")
+
+
+@query
+def vector_stale(spark: SparkSession, sf: str) -> DataFrame:
+    stored = table(spark, sf, "passagens").dropDuplicates(["passagem_id"])
+    return vectors.stale(stored, table(spark, sf, "entidades"), "documento_id").select("passagem_id")
+
+
+@query
+def vector_pending(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "passagens").dropDuplicates(["passagem_id"]).select("passagem_id", "modelo", "vetor")
+    return vectors.pending(rows.withColumn("modelo", F.lit("vetor-b")).select("passagem_id", "modelo"), rows.where("vetor is not null"), "passagem_id", "modelo").select("passagem_id")
+
+
+# --- network
+
+
+def _network(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    messages = table(spark, sf, "mensagens")
+    return messages, network.identities(network.mentions(messages))
+
+
+@query
+def network_people(spark: SparkSession, sf: str) -> DataFrame:
+    _, known = _network(spark, sf)
+    return network.people(known).select("pessoa", "rotulo", "organizacao", "enviadas", "recebidas", F.size("nomes").alias("nomes"))
+
+
+@query
+def network_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    messages, known = _network(spark, sf)
+    return network.pairs(network.edges(known), messages, network.people(known)).select("a", "b", "total", "copias", "primeira", "ultima", "documentos", "cruzada")
+
+
+@query
+def network_organisations(spark: SparkSession, sf: str) -> DataFrame:
+    messages, known = _network(spark, sf)
+    return network.organisations(network.pairs(network.edges(known), messages, network.people(known)))
+
+
+@query
+def network_dot(spark: SparkSession, sf: str) -> DataFrame:
+    messages, known = _network(spark, sf)
+    persons = network.people(known)
+    return network.dot_graph(network.pairs(network.edges(known), messages, persons), persons)
+
+
+@query
+def mail_headers(spark: SparkSession, sf: str) -> DataFrame:
+    return headers.headers(_pages(spark, sf), "pagina_id", "texto")
+
+
+@query
+def mail_messages(spark: SparkSession, sf: str) -> DataFrame:
+    return headers.mail_messages(headers.headers(_pages(spark, sf), "pagina_id", "texto"), "pagina_id")
+
+
+@query
+def chat_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return headers.chat_lines(_pages(spark, sf), "documento_id", "n", "texto").select("documento_id", "n", "linha", "autor", "data")
+
+
+@query
+def chat_adjacency_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return headers.chat_pairs(headers.chat_lines(_pages(spark, sf), "documento_id", "n", "texto"), "documento_id", "n")
+
+
+# --- findings
+
+
+@query
+def quote_verification(spark: SparkSession, sf: str) -> DataFrame:
+    quotes = findings.first_seen(table(spark, sf, "achados")).where("trecho_fonte is not null").select("achado_id", "documento_id", "trecho_fonte")
+    found = citations.locate(quotes, _pages(spark, sf).where("documento_id is not null"))
+    return found.select("achado_id", F.col("lugar.pagina").alias("pagina"), F.col("lugar.similaridade").alias("similaridade"), F.col("lugar.literal").alias("literal"))
+
+
+@query
+def proposal_verification(spark: SparkSession, sf: str) -> DataFrame:
+    rows = findings.first_seen(table(spark, sf, "achados")).where("tipo = 'pessoas'").select("achado_id", "nome", "cargo", "empresa", "trecho_fonte", F.col("trecho_fonte").alias("trecho"))
+    return citations.verify_proposals(rows).select("achado_id", "id", "aceito", "motivo", F.array_join("alertas", "; ").alias("alertas"))
+
+
+@query
+def findings_first(spark: SparkSession, sf: str) -> DataFrame:
+    return findings.first_seen(table(spark, sf, "achados")).select("achado_id", "caso_id", "nome", "criado_em")
+
+
+@query
+def findings_reviewed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "achados")
+    reviews = rows.select("achado_id", F.col("situacao").alias("estado"), F.lit(None).cast("string").alias("nota"), F.col("criado_em").alias("em"))
+    return findings.with_review(findings.first_seen(rows), reviews).groupBy("tipo", "revisao").agg(F.count("*").alias("n"))
+
+
+@query
+def corrections_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    rows = findings.first_seen(table(spark, sf, "achados")).select("achado_id", "nome", "cargo", "empresa")
+    log = table(spark, sf, "achados").select(F.col("achado_id").alias("alvo"), F.lit("cargo").alias("campo"), F.when(F.col("literal"), F.upper("cargo")).otherwise("").alias("valor"), F.col("criado_em").alias("ordem"))
+    return findings.overlay(rows, log, "achado_id", ["nome", "cargo", "empresa"]).select("achado_id", "nome", "cargo", "empresa")
+
+
+@query
+def corrections_checked(spark: SparkSession, sf: str) -> DataFrame:
+    rows = findings.first_seen(table(spark, sf, "achados")).select("achado_id", "documento_id", F.col("pagina"), F.lit("nome").alias("campo"), F.col("nome").alias("valor"))
+    return citations.check_correction(rows, _pages(spark, sf)).select("achado_id", "conferencia")
+
+
+@query
+def dramatis_personae(spark: SparkSession, sf: str) -> DataFrame:
+    return findings.cast_of_characters(findings.first_seen(table(spark, sf, "achados")), "pessoas").select("chave", "nome", F.size("grafias").alias("grafias"), "achados", "documentos")
+
+
+@query
+def firms_consolidated(spark: SparkSession, sf: str) -> DataFrame:
+    rows = findings.first_seen(table(spark, sf, "achados")).where("tipo = 'empresas' and trim(nome) <> ''").select("nome", F.lit(None).cast("string").alias("cnpj"))
+    return findings.firms_by_number(rows.distinct()).select("chave", "cnpj", F.size("nomes").alias("grafias"))
+
+
+@query
+def findings_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    rows = findings.first_seen(table(spark, sf, "achados")).where("tipo = 'eventos'").select("achado_id", F.date_format("criado_em", "yyyy-MM-dd").alias("data"), "localizador")
+    return findings.timeline(rows, "data", "localizador")
+
+
+@query
+def person_sheets(spark: SparkSession, sf: str) -> DataFrame:
+    messages, known = _network(spark, sf)
+    persons = network.people(known)
+    linked = network.pairs(network.edges(known), messages, persons)
+    asked = table(spark, sf, "achados").where("tipo = 'pessoas' and trim(nome) <> ''").select("nome").distinct()
+    events = findings.first_seen(table(spark, sf, "achados")).where("tipo = 'eventos'").select(F.array("empresa").alias("participantes"), "localizador", F.date_format("criado_em", "yyyy-MM-dd").alias("data"))
+    return findings.person_sheet(asked.select(text.name_key(F.col("nome")).alias("ficha"), "nome"), persons, linked, events)
+
+
+@query
+def status_rollups(spark: SparkSession, sf: str) -> DataFrame:
+    return findings.tallies(table(spark, sf, "achados").select("tipo", F.coalesce("situacao", F.lit("pendente")).alias("situacao")), "tipo", "situacao")
+
+
+@query
+def latest_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    return findings.latest(rows, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+# --- custody and report
+
+
+@query
+def dedup_by_content_hash(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("caminho"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha256"))
+    return custody.by_content(docs).select("sha256", "documento_id", "caminho", "copias")
+
+
+@query
+def incremental_pending(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "arquivos").where("sha256 is not null")
+    done = rows.select("sha256", F.col("versao_extrator").alias("versao"), F.lit("{}").alias("parametros"), "situacao")
+    return custody.pending(rows.select("sha256").distinct(), done, "1.2")
+
+
+@query
+def orphan_archive(spark: SparkSession, sf: str) -> DataFrame:
+    done = table(spark, sf, "arquivos").select("documento_id").distinct().select(F.col("documento_id").alias("sha256"))
+    return custody.orphans(done, table(spark, sf, "entidades").select(F.col("documento_id").alias("sha256"))).withColumnRenamed("sha256", "documento_id")
+
+
+@query
+def manifest_full_outer(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _pages(spark, sf).groupBy("documento_id").agg(F.count("*").alias("k"))
+    names = table(spark, sf, "passagens").dropDuplicates(["passagem_id"]).groupBy("documento_id").agg(F.count("*").alias("k"))
+    side = lambda d: d.where("documento_id is not null").select(F.col("documento_id").alias("caminho"), F.col("documento_id").alias("sha256"), F.col("k").cast("string").alias("extracao_sha256"))
+    return custody.verify(side(pages), side(names))
+
+
+@query
+def custody_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return custody.manifest_hash(custody.manifest(_files(spark, sf), ["nome", "tipo", "tamanho_bytes", "alertas"]))
+
+
+@query
+def files_moved(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "arquivos").where("sha256 is not null")
+    first = rows.groupBy("sha256").agg(F.min_by("caminhos", "extraido_em").alias("caminhos"))
+    last = rows.groupBy("sha256").agg(F.max_by("caminhos", "extraido_em").alias("caminhos"))
+    return custody.moved(first, last).select("sha256")
+
+
+@query
+def import_plan(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _files(spark, sf).where("sha256 is not null")
+    source = rows.select(F.col("nome").alias("caminho"), "sha256").groupBy("caminho").agg(F.min("sha256").alias("sha256"))
+    target = rows.where("tipo = 'pdf'").select(F.col("nome").alias("caminho"), "sha256").groupBy("caminho").agg(F.max("sha256").alias("sha256"))
+    return custody.import_plan(source, target)
+
+
+@query
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return custody.run_summary(_files(spark, sf))
+
+
+@query
+def report_overview(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.overview(table(spark, sf, "arquivos"), table(spark, sf, "paginas"), table(spark, sf, "mensagens"))
+
+
+@query
+def report_priorities(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.first_to_read(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query
+def report_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.quality(_files(spark, sf), custody.page_alerts(table(spark, sf, "paginas")))
+
+
+@query
+def model_duration(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    return reports.duration_estimate(table(spark, sf, "documents").select(words.alias("palavras")), 50.0, 5.0)
