@@ -59,7 +59,7 @@ def import_plan(source: DataFrame, target: DataFrame) -> DataFrame:
     leftover = name.startswith("~$") | name.startswith(".") | name.isin("thumbs.db", "desktop.ini")
     joined = source.join(target.select("caminho", F.col("sha256").alias("_t")), "caminho", "left")
     action = F.when(leftover, "ignorar").when(F.col("_t").isNull(), "copiar").when(F.col("_t") == F.col("sha256"), "identico").otherwise("renomear")
-    renamed = F.regexp_replace("caminho", r"(\.[^./]*)?$", " (2)$1")
+    renamed = F.concat(F.regexp_replace("caminho", r"\.[^./]*$", ""), F.lit(" (2)"), F.regexp_extract("caminho", r"(\.[^./]*)$", 1))
     return joined.select("caminho", "sha256", action.alias("acao"), F.when(action == "renomear", renamed).when(action == "copiar", F.col("caminho")).alias("destino"))
 
 
