@@ -64,4 +64,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The searches that SQL can say, over all rows. The others have no SQL: tests hold them against brute force."""
+    unit = "list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))"
+    return {
+        "p4_found": f"""WITH p AS (SELECT DISTINCT ON (passagem_id) passagem_id AS id, modelo, vetor::DOUBLE[] AS v FROM passagens WHERE modelo IS NOT NULL AND len(vetor) > 0),
+u AS (SELECT id, modelo, len(v) AS d, {unit} AS e FROM p WHERE len(list_filter(v, lambda x: x IS NULL)) = 0 AND list_sum(list_transform(v, lambda x: x * x)) > 0),
+s AS (SELECT a.id AS i, b.id AS j, list_dot_product(a.e, b.e) AS c FROM u a JOIN u b ON a.modelo = b.modelo AND a.d = b.d AND a.id <> b.id),
+k AS (SELECT i, j FROM s WHERE c >= 0.9 - 1e-9 QUALIFY row_number() OVER (PARTITION BY i ORDER BY c DESC, j) <= 10)
+SELECT DISTINCT least(i, j) AS passagem_a, greatest(i, j) AS passagem_b FROM k""",
+        "p7_found": r"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(strip_accents(nfc_normalize(text))), '[\p{L}\p{N}]+') AS w FROM documents),
+v AS (SELECT item_id AS id, regexp_extract_all(lower(strip_accents(nfc_normalize(texto))), '[\p{L}\p{N}]+') AS w FROM itens_teste),
+g AS (SELECT id, array_to_string(list_slice(w, k, k + 12), ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 11)) AS k FROM w WHERE len(w) >= 13)),
+h AS (SELECT id, array_to_string(list_slice(w, k, k + 12), ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 11)) AS k FROM v WHERE len(w) >= 13))
+SELECT DISTINCT g.id AS doc_id, h.id AS item_id FROM g JOIN h USING (g)""",
+    }

@@ -342,7 +342,7 @@ def repair(text: str, n: int | None, repeated: set[int], after: str | None, lexi
     for i, line in enumerate(lines):
         if i in gone:
             continue
-        clean = " ".join(_right(t, lexicon) for t in _SPACED.sub(lambda m: m[0].replace(" ", ""), line).split() if t.strip(STRAY))
+        clean = " ".join(_right(t, lexicon) for t in _SPACED.sub(lambda m: _closed(m[0], lexicon), line).split() if t.strip(STRAY))
         if not clean:
             if current and not re.search(rf"[^\W\d_][{re.escape(HYPHENS)}]$", current):
                 paragraphs.append(current)
@@ -357,6 +357,16 @@ def repair(text: str, n: int | None, repeated: set[int], after: str | None, lexi
     return "\n\n".join([*paragraphs, current] if current else paragraphs)
 
 
+def _closed(spaced: str, lexicon: Lexicon) -> str:
+    """A spaced-out word closed up; single letters around it that are words of their own stay apart."""
+    letters = spaced.split(" ")
+    for first, last in ((0, 0), (1, 0), (0, 1), (1, 1)):
+        word = "".join(letters[first : len(letters) - last])
+        if lexicon.words.get(word.lower()):
+            return " ".join([*letters[:first], word, *letters[len(letters) - last :]])
+    return "".join(letters)
+
+
 def _right(token: str, lexicon: Lexicon) -> str:
     """A token with its misread characters put right, as far as the vocabulary knows the word."""
     if not lexicon.spoilt(token):

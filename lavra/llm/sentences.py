@@ -121,12 +121,14 @@ def events(text: str, begin: int, stop: int) -> list[tuple[int, int, str, str, s
     """The possible ends inside a paragraph text[begin:stop], but for its own end: (place of the mark, place
     after it, type and class before, type and class after)."""
     out = []
+    while stop > begin and text[stop - 1].isspace():
+        stop -= 1
     for match in _END.finditer(text, begin, stop):
         at, end = match.span()
-        if end >= stop or not text[end:stop].strip() or at == begin:
+        if end >= stop or at == begin:
             continue
         left, left_class = _left(text, begin, at, end)
-        if _ENUM.fullmatch(text[begin:end].strip()):
+        if end - begin <= 24 and _ENUM.fullmatch(text[begin:end].strip()):
             continue  # a number before a heading or an entry of a list
         right, right_class = _right(text, end) if end < stop else (PARAGRAPH, PARAGRAPH)
         out.append((at, end, left, left_class, right, right_class))
@@ -178,7 +180,7 @@ class Model:
             # Blank lines show a share `rate` of all boundaries, so ends seen there tell how many there are.
             rate = self.rate[left_class.startswith("CJK")]
             ends, inner = self.left.get(f"#{left_class}", (0.0, 0.0))
-            prior = min(0.98, (ends / rate + 2.0) / (inner + 3.0))
+            prior = min(0.98, (ends / rate + (0.3 if left_class[0] in "Xx" else 2.0)) / (inner + 3.0))  # initials seldom end one
             ends, inner = self.left.get(left, (0.0, 0.0))
             p = 0.98 if left in PLAIN else min(1 - 0.5 / (inner + WEIGHT), (ends / rate + WEIGHT * prior) / (inner + WEIGHT))
             r = right if right in self.known_right else f"#{right_class}"
@@ -304,7 +306,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = None
                 for last in _END.finditer(text, max(begin, stop - 40), stop):
                     pass
-                if last is not None and last.end() == stop and last.start() > begin and not _ENUM.fullmatch(text[begin:stop]):
+                if last is not None and last.end() == stop and last.start() > begin and not (stop - begin <= 24 and _ENUM.fullmatch(text[begin:stop])):
                     seen[(*_left(text, begin, last.start(), stop), PARAGRAPH, PARAGRAPH)] += 1
                 if stop - begin > 60:  # headings begin otherwise than sentences
                     seen[(PARAGRAPH, PARAGRAPH, *_right(text, begin))] += 1

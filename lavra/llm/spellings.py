@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,11 @@ from lavra.session import materialize
 LEAST = -9.5
 #: Shares of all names from which a first name or a word of firms counts as known (so at most 1 / share of them).
 KNOWN_FIRST, KNOWN_WORD = 1 / 2000, 1 / 300
+#: A word of firms is known by its share of cases too, for a brand may be frequent in one case.
+KNOWN_CASES = 1 / 50
 ROUNDS = 12
+#: Letters beyond which a word gets a single key.
+LONG_WORD = 40
 
 # Titles, words that tell relatives apart, legal forms, and nicknames by first name.
 TITLES = {"sr": "m", "sra": "f", "dr": "m", "dra": "f", "eng": "", "prof": "m", "profa": "f", "d": "f", "dom": "m", "dona": "f", "des": "", "min": "", "adv": "", "exmo": "m", "exma": "f", "senhor": "m", "senhora": "f", "engo": "m", "enga": "f"}
@@ -265,6 +270,8 @@ def _activity(word: str, words: set[str]) -> bool:
 def _deleted(word: str) -> set[str]:
     """What is left of a word's sound, and of that with one sign left out: words one error apart share one."""
     s = _letters(word)
+    if len(s) > LONG_WORD:  # such a word is no name; one key without its errors will do
+        return {f"={xxhash.xxh3_64_hexdigest(sound(word))}"}
     return {sound(word), s, *(s[:i] + s[i + 1 :] for i in range(len(s)))} if len(s) > 3 else {sound(word), s}
 
 
@@ -308,13 +315,13 @@ def _rank(r: dict, n: int, name: str, firsts: set[str]) -> tuple:
 
 def _first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kinds, words = [], []
-        for name, is_firm in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        kinds, words, cases = [], [], []
+        for name, is_firm, case in zip(*(batch.column(i).to_pylist() for i in range(3))):
             for r in parse(name, is_firm)[:1]:
                 for w in r["meios"] if is_firm else [r["primeiro"]]:
                     if len(w) > 2:
-                        kinds.append(int(is_firm)), words.append(w)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(words, pa.string())], names=["tipo", "palavra"])
+                        kinds.append(int(is_firm)), words.append(w), cases.append(case)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(words, pa.string()), pa.array(cases, pa.string())], names=["tipo", "palavra", "caso_id"])
 
 
 def _emit(words: frozenset):
@@ -326,7 +333,8 @@ def _emit(words: frozenset):
                 if _maybe_brand(name, is_firm):
                     seek |= keys(parse(name, True), words)[0]
                 for key in seek | found:
-                    for column, value in zip(out, (case, key, name, n, key in seek, key in found)):
+                    short = key if len(key) <= 80 else xxhash.xxh3_64_hexdigest(key)
+                    for column, value in zip(out, (case, short, name, n, key in seek, key in found)):
                         column.append(value)
             kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["caso_id", "chave", "nome", "n", "busca", "serve"])
@@ -372,10 +380,11 @@ def spellings(achados: DataFrame, comunicacoes: DataFrame) -> DataFrame:
 def attribute(achados: DataFrame, comunicacoes: DataFrame) -> DataFrame:
     """Every distinct spelling of each case with its entity: caso_id, nome, n, entidade (the canonical spelling)."""
     names = materialize(spellings(achados, comunicacoes), "nomes")
-    counts = names.select("nome", "firma").mapInArrow(_first_counts, "tipo int, palavra string").groupBy("tipo", "palavra").count()
-    counts = materialize(counts, "palavras")
+    heard_in = names.select("nome", "firma", "caso_id").mapInArrow(_first_counts, "tipo int, palavra string, caso_id string").groupBy("tipo", "palavra", "caso_id").count()
+    counts = materialize(heard_in.groupBy("tipo", "palavra").agg(F.sum("count").alias("count"), F.count("*").alias("casos")), "palavras")
+    cases = names.select("caso_id").distinct().count()
     total = {r["tipo"]: r["n"] for r in counts.groupBy("tipo").agg(F.sum("count").alias("n")).collect()}
-    kept = counts.where(((F.col("tipo") == 0) & (F.col("count") >= max(3, total.get(0, 0) * KNOWN_FIRST))) | ((F.col("tipo") == 1) & (F.col("count") >= max(3, total.get(1, 0) * KNOWN_WORD)))).collect()
+    kept = counts.where(((F.col("tipo") == 0) & (F.col("count") >= max(3, total.get(0, 0) * KNOWN_FIRST))) | ((F.col("tipo") == 1) & (F.col("count") >= max(3, total.get(1, 0) * KNOWN_WORD)) & (F.col("casos") >= max(2, cases * KNOWN_CASES)))).collect()
     heard = {r["palavra"]: r["count"] for r in kept if r["tipo"] == 0}
     # a frequent mistyping isn't a name: another one, ten times as frequent, lies one error away
     firsts = {w for w, n in heard.items() if not any(m >= 10 * n and edits(w, x, 1) <= 1 for x, m in heard.items() if x != w)}
