@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lavra.functions.text import fold, tokens, unhyphenate
+from lavra.functions.text import ACCENTED, PLAIN, fold, tokens, unhyphenate
 from lavra.operators.lexicon import rank
 
 # BM25's parameters and its least weight of a term.
@@ -32,6 +32,11 @@ def corpus_statistics(texts: DataFrame, text: str) -> DataFrame:
     return texts.where(F.col(text).isNotNull()).agg(F.count("*").alias("textos"), F.avg(size).alias("media"))
 
 
+def folded_word(word: str) -> str:
+    """A word of a query as the index has it."""
+    return word.rstrip("*").translate(str.maketrans(ACCENTED, PLAIN)).lower()
+
+
 def parse_query(query: str) -> list[list[list[str]]]:
     """A query as alternatives of parts that must all match; a part is a phrase of words, its last one ending in
     `*` for a prefix. `OU` and `OR` part alternatives, everything else is a must; signs mean nothing, and
@@ -54,10 +59,9 @@ def parse_query(query: str) -> list[list[list[str]]]:
 def _matches(index: DataFrame, key: str, phrase: list[str]) -> DataFrame:
     """How often a phrase occurs in each text: key, tf. Each word is a filter that reaches the index; the words
     meet on the text and on where the phrase would begin."""
-    spark = index.sparkSession
     steps = []
     for k, word in enumerate(phrase):
-        bare = spark.range(1).select(fold(F.lit(word.rstrip("*")))).first()[0]
+        bare = folded_word(word)
         hit = F.col("termo").startswith(bare) if word.endswith("*") else F.col("termo") == bare
         steps.append(index.where(hit).select(key, (F.col("lugar") - k).alias("_inicio")))
     joined = reduce(lambda a, b: a.join(b, [key, "_inicio"]), steps)
@@ -95,9 +99,8 @@ def contains_search(texts: DataFrame, key: str, text: str, needle: str) -> DataF
 
 def snippet_of(texts: DataFrame, text: str, query: str, words: int = 30) -> DataFrame:
     """`texts` with the column trecho: `words` words around the first hit of the query, the hits between « and »."""
-    spark = texts.sparkSession
     asked = [w for part in parse_query(query) for p in part for w in p]
-    folded = [(spark.range(1).select(fold(F.lit(w.rstrip("*")))).first()[0], w.endswith("*")) for w in dict.fromkeys(asked)]
+    folded = [(folded_word(w), w.endswith("*")) for w in dict.fromkeys(asked)]
     all_words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
     core = lambda w: F.regexp_replace(fold(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     hit = lambda w: reduce(lambda a, b: a | b, (core(w).startswith(f) if prefix else core(w) == f for f, prefix in folded), F.lit(False))

@@ -110,8 +110,8 @@ def oracle_sql() -> dict[str, str]:
     chat_rows = rf"""linhas AS (SELECT documento_id, n, unnest(list_zip(range(1, len(string_split(texto, chr(10))) + 1), string_split(texto, chr(10)))) AS z FROM paginas_ WHERE texto IS NOT NULL),
 falas AS (SELECT documento_id, n, CAST(z[1] AS INT) AS linha, trim(z[2]) AS l FROM linhas)"""
     return {
-        "triage_lexicon_rank": f"WITH {LEXICON}, {COUNTS}, p AS (SELECT doc_id, sum(pontos) AS s FROM termos GROUP BY doc_id) SELECT doc_id, CAST(coalesce(s, 0) AS BIGINT) AS pontos, CAST(row_number() OVER (ORDER BY coalesce(s, 0) DESC, doc_id) AS INT) AS posicao FROM documents LEFT JOIN p USING (doc_id)",
-        "triage_density": f"WITH {LEXICON}, {COUNTS}, p AS (SELECT doc_id, sum(pontos) AS s FROM termos GROUP BY doc_id), w AS (SELECT doc_id, len({words("coalesce(text, '')")}) AS palavras FROM documents) SELECT doc_id, palavras, CAST(round(CAST(coalesce(s, 0) AS DOUBLE) * 1000.0 / greatest(palavras, 1), 1) AS DOUBLE) AS densidade FROM w LEFT JOIN p USING (doc_id)",
+        "triage_lexicon_rank": f"WITH {LEXICON}, {COUNTS}, p AS (SELECT doc_id, sum(pontos) AS s FROM termos GROUP BY doc_id) SELECT doc_id, CAST(coalesce(s, 0) AS BIGINT) AS pontos, row_number() OVER (ORDER BY coalesce(s, 0) DESC, doc_id) AS posicao FROM documents LEFT JOIN p USING (doc_id)",
+        "triage_density": f"WITH {LEXICON}, {COUNTS}, p AS (SELECT doc_id, sum(pontos) AS s FROM termos GROUP BY doc_id), w AS (SELECT doc_id, len({words("coalesce(text, '')")}) AS palavras FROM documents) SELECT doc_id, CAST(palavras AS INT) AS palavras, CAST(round(CAST(coalesce(s, 0) AS DOUBLE) * 1000.0 / greatest(palavras, 1), 1) AS DOUBLE) AS densidade FROM w LEFT JOIN p USING (doc_id)",
         "triage_category_totals": f"WITH {LEXICON}, {COUNTS} SELECT categoria, count(DISTINCT doc_id) AS textos, CAST(sum(pontos) AS BIGINT) AS pontos FROM termos GROUP BY categoria",
         "text_fold": f"SELECT doc_id, length({fold('text')}) AS tamanho, md5({fold('text')}) AS resumo FROM documents",
         "text_clean_breaks": rf"WITH {PAGES} SELECT pagina_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(texto, chr(0), ''), '\r\n?', chr(10), 'g'), '[ \t\x{{00A0}}]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\x{{00A0}}\x{{0085}}\v]+|[\s\x{{00A0}}\x{{0085}}\v]+$', '', 'g')) AS resumo FROM paginas_",

@@ -49,15 +49,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write `df` once to the shared folder and read it back: later reads survive lost executors and
-    the plan before it isn't run again."""
+    the plan before it isn't run again. The table goes when the driver ends."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "lavra", f"{name}-{uuid.uuid4().hex}")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
-    """Deal rows over the cluster's cores when there are fewer input splits than cores."""
-    spark = df.sparkSession
-    n = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *keys) if keys else df.repartition(n)
