@@ -6,8 +6,9 @@ cut at line ends are joined where the corpus' vocabulary knows the joined word b
 one. Characters are judged against the same vocabulary: a rare word that one known confusion of shapes turns
 into a far more frequent one is misread.
 
-Words and line forms are counted over all pages; kept is what makes up at least a fixed share of all, so that
-what is broadcast has at most 1 / share entries however large the corpus is.
+Words and line forms are counted over all pages. What makes up at least a fixed share of all is broadcast, at most
+1 / share entries however large the corpus is; the exact counts of the rest come to the pages that ask for them by
+joins, so that no decision depends on the share.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lavra.session import materialize
 
-#: Words kept are at least this share of all words, line forms of all pages.
+#: Words that are broadcast are at least this share of all words, line forms of all edge lines; others are joined.
 WORD_SHARE, FORM_SHARE = 1 / 500_000, 1 / 50_000
 #: A reading counts as misread where the right one is this many times as frequent.
 RATIO = 20
@@ -150,7 +151,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Lexicon:
-    """What the corpus counts say: the frequent words, and which line forms belong to edges."""
+    """What the corpus counts say: the frequent words, and which line forms belong to edges; `take` adds the rare
+    ones of the page at hand."""
 
     def __init__(self, words: dict[str, int], edge: dict[str, int], inner: dict[str, int]) -> None:
         self.words, self.edge, self.inner = words, edge, inner
@@ -158,6 +160,25 @@ class Lexicon:
         self.heads = {h for h, n in heads.items() if n >= 2}
         self.known: dict[str, bool] = {}
         self.judged: dict[str, bool] = {}
+        self.rare: list[str] = []
+        self.forms: list[str] = []
+
+    def take(self, forms: list[dict] | None = None, words: list[dict] | None = None) -> None:
+        """The counts of rare line forms and words of a page, in place of those of the page before."""
+        for f in self.forms:
+            del self.edge[f], self.inner[f]
+        for w in self.rare:
+            del self.words[w]
+        self.edge.update((x["chave"], x["a"]) for x in forms or ())
+        self.inner.update((x["chave"], x["b"]) for x in forms or ())
+        rare = {x["lida"]: x["n"] for x in words or ()}
+        self.words.update(rare)
+        self.forms, self.rare = [x["chave"] for x in forms or ()], list(rare)
+
+    def is_head(self, word: str) -> bool:
+        """Whether at least two words of the corpus begin with `word` and a hyphen; of rare ones this is counted
+        under the head with its hyphen."""
+        return word in self.heads or self.words.get(f"{word}-", 0) >= 2
 
     def spoilt(self, token: str) -> bool:
         """Whether a token as it stands in the text is damaged; kept, since tokens recur."""
@@ -191,10 +212,10 @@ class Lexicon:
         if joined or hyphened:
             return hyphened > joined
         if not tail:
-            return a in self.heads and self.words.get(a, 0) == 0
+            return self.is_head(a) and self.words.get(a, 0) == 0
         if head[-1].islower() and tail[0].isupper():
             return True
-        return (a in self.heads or first in CLITICS) and (self.words.get(first, 0) > 0 and self.words.get(a, 0) > 0)
+        return (self.is_head(a) or first in CLITICS) and (self.words.get(first, 0) > 0 and self.words.get(a, 0) > 0)
 
 
 def _readings(word: str) -> Iterator[str]:
@@ -400,42 +421,157 @@ def _edge_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(pages, pa.int64()), pa.array(keys, pa.int64())], names=["documento_id", "pagina_id", "chave"])
 
 
+def _edge_forms(lexicon: Lexicon):
+    """Of (pagina_id, texto): the line forms at the edges of each page that aren't broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages, forms = [], []
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lines = _body(text)
+                for form in {line_form(lines[i]) for edge in _edges(lines) for i in edge}:
+                    if form not in lexicon.edge:
+                        pages.append(page), forms.append(form)
+            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(forms, pa.string())], names=["pagina_id", "chave"])
+
+    return run
+
+
 def _firsts(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for n, text, keys in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            for n, text, keys, forms in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
                 lines = _body(text)
+                lexicon.take(forms)
                 gone = furniture(lines, n, set(keys or ()), lexicon)
                 out.append(next((x[:200] for i, x in enumerate(lines) if x.strip() and i not in gone), None))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=["documento_id", "pagina_id", "n", "texto", "chaves", "primeira"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=["documento_id", "pagina_id", "n", "texto", "chaves", "formas", "primeira"])
+
+    return run
+
+
+def _token_words(token: str) -> set[str]:
+    """The words that may be looked up for a token and for their readings."""
+    out = set()
+    for part in (token, token.strip(HYPHENS + _OUTER)):
+        core = part.strip(_OUTER).rstrip(".!").lower()
+        out |= {core, *core.split("-")}
+    match = re.search(r"[\w!@|]+", "".join(c for c in token if c not in STRAY.replace("|", "")))
+    return {w for w in (out | {match[0].lower()} if match else out) if re.search(r"[^\W\d_]", w)}
+
+
+def _joint_words(head: str, tail: str) -> set[str]:
+    """The words that `own_hyphen` looks up."""
+    a, b = head.lower(), tail.lower()
+    first = b.split("-")[0]
+    return {a, first, a + b, a + first, f"{a}-{b}", f"{a}-{first}", f"{a}-"}
+
+
+def asked_words(text: str, n: int | None, repeated: set[int], after: str | None, lexicon: Lexicon) -> tuple[set[str], set[str]]:
+    """The words whose counts a page needs beside those of the broadcast ones, and those whose readings' too."""
+    lines = _body(text)
+    found = furniture(lines, n, repeated, lexicon)
+    body = [line for i, line in enumerate(lines) if line.strip() and i not in found]
+    plain: set[str] = set()
+    read: set[str] = set()
+    tokens: set[str] = set()
+    for k, line in enumerate(body):
+        tokens.update(line.split())
+        for match in _SPACED.finditer(line):
+            letters = match[0].split(" ")
+            tokens.update(letters)
+            for first, last in ((0, 0), (1, 0), (0, 1), (1, 1)):
+                word = "".join(letters[first : len(letters) - last])
+                tokens.add(word), read.add(word.lower())
+        cut = _HYPHEN_END.search(line)
+        if cut:
+            follows = body[k + 1] if k + 1 < len(body) else (after or "")
+            tail = re.match(r"\W*([^\W_]+(?:-[^\W_]+)*)?", follows)[1] or ""
+            first = re.match(r"\W*([^\W\d_]+(?:-[^\W\d_]+)*)?", follows)[1] or ""
+            plain |= _joint_words(cut[1], tail)
+            read |= {(cut[1] + tail).lower(), (cut[1] + first).lower()}
+    for token in tokens:
+        read |= _token_words(token)
+    known = lexicon.words
+    return {w for w in plain - read if w not in known}, {w for w in read if w not in known}
+
+
+def _asks(lexicon: Lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages, words, readings = [], [], []
+            for page, n, text, keys, forms, after in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                lexicon.take(forms)
+                for kind, asked in enumerate(asked_words(text, n, set(keys or ()), after, lexicon)):
+                    pages += [page] * len(asked)
+                    words += asked
+                    readings += [bool(kind)] * len(asked)
+            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(words, pa.string()), pa.array(readings, pa.bool_())], names=["pagina_id", "palavra", "leituras"])
 
     return run
 
 
-def count_corpus(paginas: DataFrame) -> Lexicon:
-    """The lexicon of all pages. Read by the driver are the words of at least `WORD_SHARE` of all words (at
-    most 1 / WORD_SHARE of them) and the line forms seen at edges on at least `FORM_SHARE` of the pages."""
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (palavra, leituras): each word with itself and, where asked, its readings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            words, readings, out = [], [], []
+            for word, more in zip(batch.column(0)[at : at + 500].to_pylist(), batch.column(1)[at : at + 500].to_pylist()):
+                all_ = {word, *_readings(word)} if more else {word}
+                words += [word] * len(all_)
+                readings += [more] * len(all_)
+                out += all_
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(readings, pa.bool_()), pa.array(out, pa.string())], names=["palavra", "leituras", "lida"])
+
+
+def _answers(asks: DataFrame, rare: DataFrame) -> DataFrame:
+    """Of asks (pagina_id, palavra, leituras): pagina_id and raras, the counts of the rare words among them."""
+    kept = materialize(asks, "perguntas")
+    spread = kept.select("palavra", "leituras").distinct().mapInArrow(_spread, "palavra string, leituras boolean, lida string")
+    found = spread.join(rare, "lida").groupBy("palavra", "leituras").agg(F.collect_list(F.struct("lida", "n")).alias("r"))
+    return kept.join(found, ["palavra", "leituras"]).groupBy("pagina_id").agg(F.array_distinct(F.flatten(F.collect_list("r"))).alias("raras"))
+
+
+def count_corpus(paginas: DataFrame) -> tuple[Lexicon, DataFrame | None, DataFrame | None]:
+    """The lexicon of all pages, and the counts of the rest: of words (lida, n) and line forms (chave, a, b), None
+    where there is none. Read by the driver are the words of at least `WORD_SHARE` of all words (at most
+    1 / WORD_SHARE of them) and the line forms that are at least `FORM_SHARE` of the edge lines."""
     texts = paginas.where("texto <> ''").select("texto", F.coalesce("metodo", F.lit("")).alias("metodo"))
     counts = materialize(texts.mapInArrow(_count, "tipo int, chave string, n long").groupBy("tipo", "chave").agg(F.sum("n").alias("n")), "contagens")
     total = {r["tipo"]: r["n"] for r in counts.groupBy("tipo").agg(F.sum("n").alias("n")).collect()}
-    least = total.get(0, 0) * WORD_SHARE
+    least, least_form = total.get(0, 0) * WORD_SHARE, max(1, total.get(1, 0) * FORM_SHARE)
     words = {r["chave"]: r["n"] for r in counts.where((F.col("tipo") == 0) & (F.col("n") >= least)).collect()}
     forms = counts.where("tipo > 0").groupBy("chave").agg(F.sum(F.when(F.col("tipo") == 1, F.col("n"))).alias("a"), F.coalesce(F.sum(F.when(F.col("tipo") == 2, F.col("n"))), F.lit(0)).alias("b"))
-    kept = forms.where(F.col("a") >= max(1, total.get(1, 0) * FORM_SHARE)).collect()
-    return Lexicon(words, {r["chave"]: r["a"] for r in kept}, {r["chave"]: r["b"] for r in kept})
+    kept = forms.where(F.col("a") >= least_form).collect()
+    lexicon = Lexicon(words, {r["chave"]: r["a"] for r in kept}, {r["chave"]: r["b"] for r in kept})
+    heads = counts.where((F.col("tipo") == 0) & F.contains("chave", F.lit("-"))).groupBy(F.concat(F.substring_index("chave", "-", 1), F.lit("-")).alias("lida")).agg(F.count("*").alias("n")).where("n >= 2")
+    rare = counts.where((F.col("tipo") == 0) & (F.col("n") < least)).select(F.col("chave").alias("lida"), "n").unionByName(heads)
+    return lexicon, rare if least > 1 else None, forms.where(F.col("a") < least_form) if least_form > 1 else None
 
 
 def _prepared(paginas: DataFrame) -> tuple[DataFrame, Lexicon]:
-    lexicon = count_corpus(paginas)
+    """The pages (pagina_id, n, texto, chaves, formas, seguinte, raras) with all that is asked of the corpus."""
+    lexicon, rare, rare_forms = count_corpus(paginas)
     pages = paginas.where("metodo = 'ocr' and texto <> '' and pagina_id is not null").select(F.coalesce("documento_id", F.lit("")).alias("documento_id"), F.col("pagina_id").cast("long").alias("pagina_id"), F.col("n").cast("int").alias("n"), "texto").dropDuplicates(["pagina_id"])
     edges = pages.mapInArrow(_edge_keys, "documento_id string, pagina_id long, chave long").distinct()
     often = edges.groupBy("documento_id", "chave").agg(F.count("*").alias("paginas")).where("paginas >= 2 and documento_id <> ''").drop("paginas")
     keys = edges.join(often, ["documento_id", "chave"]).groupBy("pagina_id").agg(F.collect_list("chave").alias("chaves"))
-    joined = pages.join(keys, "pagina_id", "left").select("documento_id", "pagina_id", "n", "texto", "chaves")
-    with_first = materialize(joined.mapInArrow(_firsts(lexicon), "documento_id string, pagina_id long, n int, texto string, chaves array<long>, primeira string"), "paginas")
+    kind = "array<struct<chave:string,a:bigint,b:bigint>>"
+    if rare_forms is None:
+        joined = pages.join(keys, "pagina_id", "left").withColumn("formas", F.lit(None).cast(kind))
+    else:
+        asked = pages.select("pagina_id", "texto").mapInArrow(_edge_forms(lexicon), "pagina_id long, chave string")
+        counted = asked.join(rare_forms, "chave").groupBy("pagina_id").agg(F.collect_list(F.struct("chave", "a", "b")).alias("formas"))
+        joined = pages.join(keys, "pagina_id", "left").join(counted, "pagina_id", "left")
+    joined = joined.select("documento_id", "pagina_id", "n", "texto", "chaves", "formas")
+    with_first = materialize(joined.mapInArrow(_firsts(lexicon), f"documento_id string, pagina_id long, n int, texto string, chaves array<long>, formas {kind}, primeira string"), "paginas")
     after = with_first.where("n is not null and documento_id <> ''").groupBy("documento_id", (F.col("n") - 1).alias("n")).agg(F.min_by("primeira", "pagina_id").alias("seguinte"))
-    return with_first.join(after, ["documento_id", "n"], "left").select("pagina_id", "n", "texto", "chaves", "seguinte"), lexicon
+    ready = with_first.join(after, ["documento_id", "n"], "left").select("pagina_id", "n", "texto", "chaves", "formas", "seguinte")
+    if rare is None:
+        return ready.withColumn("raras", F.lit(None).cast("array<struct<lida:string,n:bigint>>")), lexicon
+    asks = ready.mapInArrow(_asks(lexicon), "pagina_id long, palavra string, leituras boolean")
+    return ready.join(_answers(asks, rare), "pagina_id", "left"), lexicon
 
 
 def find_damage(paginas: DataFrame) -> DataFrame:
@@ -447,7 +583,8 @@ def find_damage(paginas: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at, kinds = [], [], []
-            for page, n, text, keys, after in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for page, n, text, keys, forms, after, rare in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                lexicon.take(forms, rare)
                 for i, kind in page_cases(text, n, set(keys or ()), after, lexicon):
                     ids.append(page), at.append(i), kinds.append(kind)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(kinds, pa.string())], names=["pagina_id", "linha", "tipo"])
@@ -461,7 +598,10 @@ def repair_pages(paginas: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [repair(t, n, set(k or ()), a, lexicon) for n, t, k, a in zip(*(batch.column(i).to_pylist() for i in range(1, 5)))]
+            out = []
+            for n, text, keys, forms, after, rare in zip(*(batch.column(i).to_pylist() for i in range(1, 7))):
+                lexicon.take(forms, rare)
+                out.append(repair(text, n, set(keys or ()), after, lexicon))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["pagina_id", "texto"])
 
     return pages.mapInArrow(run, "pagina_id long, texto string")

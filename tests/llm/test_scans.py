@@ -42,3 +42,20 @@ def test_page_numbers(line, value):
 @pytest.mark.parametrize("line", ["R$ 4,1 milhões", "Lote 3", "", "Total", "12.5"])
 def test_no_page_numbers(line):
     assert scans.page_number(line) is None
+
+
+def test_shares_decide_nothing(spark, monkeypatch):
+    """Rare words and line forms count by joins as if all were broadcast."""
+    rows = []
+    for d in range(4):
+        for n in range(1, 4):
+            head = f"RELATÓRIO {['da Obra', 'de Voo', 'em Curso', 'por Lote 9'][d]}"
+            rows.append((10 * d + n, f"d{d}", n, "ocr", f"{head}\n\nA comissão de licita-\nção reapresentou a prop0sta de precos do fornecedor.\nO guarda-\nchuva e o guarda-\nnapo do socio e o C o n t r a t o.\n\n— {n} —", None))
+    rare = [(500 + i, f"r{i}", 1, "html", "guarda-roupa guarda-chuva guardanapo " + "socio " * 4, None) for i in range(3)]
+    whole = {tuple(r) for r in scans.find_damage(pages(spark, rows + rare)).collect()}
+    fixed = {tuple(r) for r in scans.repair_pages(pages(spark, rows + rare)).collect()}
+    assert {(1, 1, "cabecalho"), (13, 1, "cabecalho")} <= whole
+    monkeypatch.setattr(scans, "WORD_SHARE", 0.01)
+    monkeypatch.setattr(scans, "FORM_SHARE", 0.2)
+    assert {tuple(r) for r in scans.find_damage(pages(spark, rows + rare)).collect()} == whole
+    assert {tuple(r) for r in scans.repair_pages(pages(spark, rows + rare)).collect()} == fixed
