@@ -139,10 +139,11 @@ def is_contract(beginning: Column, whole: Column, named: Column | None = None) -
     return F.coalesce(by_text | (fold(named).rlike("contrato|aditivo") if named is not None else F.lit(False)), F.lit(False))
 
 
-def communication_kind(text: Column, headers: Column, chat_pairs: Column, act: Column | None = None) -> Column:
+def communication_kind(text: Column, headers: Column, chat_pairs: Column, act: Column | None = None, beginning: Column | None = None) -> Column:
     """The kind of communication that a document is, or null: a message header, a chat of two exchanges, or the
-    wording of its beginning. A letter needs a closing formula and mustn't be an authority's act."""
-    begin = fold(F.substring(text, 1, 4000))
+    wording of its beginning (of `beginning`, where given). A letter needs a closing formula anywhere in `text` and
+    mustn't be an authority's act."""
+    begin = fold(F.substring(text if beginning is None else beginning, 1, 4000))
     letter = fold(text).rlike(LETTER_CLOSING) & (act.isNull() if act is not None else F.lit(True))
     chain = F.when(headers > 0, "e-mail").when(chat_pairs >= 2, "conversa")
     return reduce(lambda c, kind: c.when(begin.rlike(kind[1]) & (letter if kind[0] == "carta ou ofício" else F.lit(True)), kind[0]), KINDS, chain)

@@ -96,11 +96,15 @@ def reading_priorities(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def communication_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _pages(spark, sf).where("documento_id is not null and n <= 2").groupBy("documento_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("texto", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("texto"))
+    """Headers, chats, closing formulas and signs of contracts count on all pages; titles and wording on the first two."""
+    rows = _pages(spark, sf).where("documento_id is not null and n is not null")
+    ordered = F.array_sort(F.collect_list(F.struct("n", F.coalesce("texto", F.lit("")).alias("t"))))
+    text_of = lambda c: F.array_join(F.transform(c, lambda x: x["t"]), "\n")
+    pages = rows.groupBy("documento_id").agg(ordered.alias("_p")).select("documento_id", text_of(F.col("_p")).alias("texto"), text_of(F.filter("_p", lambda x: x["n"] <= 2)).alias("inicio"))
     blocks = headers.headers(pages, "documento_id", "texto").groupBy("documento_id").agg(F.count("*").alias("cabecalhos"))
-    chats = headers.chat_pairs(headers.chat_lines(pages.withColumn("n", F.lit(1)), "documento_id", "n", "texto"), "documento_id", "n").groupBy("documento_id").agg(F.count("*").alias("trocas"))
+    chats = headers.chat_pairs(headers.chat_lines(rows, "documento_id", "n", "texto"), "documento_id", "n").groupBy("documento_id").agg(F.count("*").alias("trocas"))
     joined = pages.join(blocks, "documento_id", "left").join(chats, "documento_id", "left").na.fill(0, ["cabecalhos", "trocas"])
-    return joined.select("documento_id", lexicon.communication_kind(F.col("texto"), F.col("cabecalhos"), F.col("trocas")).alias("tipo"), lexicon.is_contract(F.col("texto"), F.col("texto")).alias("contrato"))
+    return joined.select("documento_id", lexicon.communication_kind(F.col("texto"), F.col("cabecalhos"), F.col("trocas"), beginning=F.col("inicio")).alias("tipo"), lexicon.is_contract(F.col("inicio"), F.col("texto")).alias("contrato"))
 
 
 @query
