@@ -106,17 +106,17 @@ def rank(df: DataFrame, *order: Column, name: str = "posicao") -> DataFrame:
     return kept.withColumn("_lugar", own).join(F.broadcast(before), "_parte").withColumn(name, F.col("_lugar") + F.col("_antes")).drop("_parte", "_lugar", "_antes")
 
 
-def snippets(texts: DataFrame, key: str, text: str, most: int = 2, lexicon: dict[str, list[tuple[str, int]]] | None = None) -> DataFrame:
-    """The first `most` places of each term in each text: key, categoria, padrao, ordem, posicao, trecho."""
+def snippets(texts: DataFrame, key: str, text: str, most: int | None = 2, lexicon: dict[str, list[tuple[str, int]]] | None = None) -> DataFrame:
+    """The first `most` places (all where None) of each term in each text: key, categoria, padrao, ordem, posicao, trecho."""
     flat = [(c, p) for c, all_ in (lexicon or TERMS).items() for p, _ in all_]
     base = texts.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_t"), fold(F.col(text)).alias("_d"))
-    each = F.array(*(F.struct(F.lit(c).alias("categoria"), F.lit(p).alias("padrao"), F.slice(F.regexp_extract_all("_d", F.lit(p), F.lit(0)), 1, most).alias("achados"), F.split("_d", p).alias("entre")) for c, p in flat))
-    hits = base.select(key, "_t", F.explode(F.filter(each, lambda x: F.size(x["achados"]) > 0)).alias("x")).select(key, "_t", "x.categoria", "x.padrao", "x.entre", F.posexplode("x.achados").alias("k", "achado"))
-    # a hit begins after the pieces and hits before it
-    start = F.aggregate(F.slice("entre", 1, F.col("k") + 1), F.lit(0), lambda acc, e: acc + F.length(e))
-    placed = hits.withColumn("_soma", start)
-    w = Window.partitionBy(key, "padrao").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("posicao", F.col("_soma") + F.coalesce(F.sum(F.length("achado")).over(w), F.lit(0)))
+    found = lambda p: F.regexp_extract_all("_d", F.lit(p), F.lit(0)) if most is None else F.slice(F.regexp_extract_all("_d", F.lit(p), F.lit(0)), 1, most)
+    each = F.array(*(F.struct(F.lit(c).alias("categoria"), F.lit(p).alias("padrao"), found(p).alias("achados"), F.split("_d", p).alias("entre")) for c, p in flat))
+    some = base.select(key, "_t", F.explode(F.filter(each, lambda x: F.size(x["achados"]) > 0)).alias("x")).select(key, "_t", "x.*")
+    # a hit begins after the pieces and hits before it; each takes its one piece along, so that many hits stay linear
+    hits = some.select(key, "_t", "categoria", "padrao", F.posexplode(F.zip_with("achados", F.slice("entre", 1, F.size("achados")), lambda a, e: F.struct(a.alias("achado"), F.length(e).alias("antes")))).alias("k", "y")).select(key, "_t", "categoria", "padrao", "k", "y.*")
+    w = Window.partitionBy(key, "padrao").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    placed = hits.withColumn("posicao", (F.sum(F.col("antes") + F.length("achado")).over(w) - F.length("achado")))
     return placed.select(key, "categoria", "padrao", (F.col("k") + 1).alias("ordem"), "posicao", snippet(F.col("_t"), F.col("posicao"), F.col("posicao") + F.length("achado")).alias("trecho"))
 
 

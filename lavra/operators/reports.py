@@ -71,7 +71,7 @@ def dates_near_terms(pages: DataFrame, key: list[str], text: str, weight: int =
     strong = {c: [(p, w) for p, w in all_ if w >= weight] for c, all_ in TERMS.items()}
     strong = {c: v for c, v in strong.items() if v}
     one = pages.withColumn("_k", F.to_json(F.struct(*key)))
-    hits = snippets(one, "_k", text, most=1000, lexicon=strong).select("_k", "padrao", F.col("posicao").alias("_t"))
+    hits = snippets(one, "_k", text, most=None, lexicon=strong).select("_k", "padrao", F.col("posicao").alias("_t"))
     found = one.select("_k", *key, F.explode(dates(F.col(text))).alias("d")).select("_k", *key, "d.*")
     near_ = found.join(hits, "_k").where(F.abs(F.col("inicio") - F.col("_t")) <= near)
     return near_.groupBy(*key, "data", "precisao", "inicio").agg(F.countDistinct("padrao").alias("termos"))

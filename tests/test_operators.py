@@ -282,3 +282,9 @@ def test_random_tokens_match_counts(spark):
     index = search.term_frequencies(search.postings(spark.createDataFrame(texts, "id long, t string"), "id", "t"), "id")
     want = Counter((w, i) for i, t in texts for w in re.findall(r"[^\W_]+", plain(t.lower())))
     assert {(r["termo"], r["id"]): r["tf"] for r in index.collect()} == dict(want)
+
+
+def test_dates_near_late_terms(spark):
+    late = "rodízio " * 1001 + "x " * 300 + "rodízio Em 05.06.2024."
+    got = reports.dates_near_terms(spark.createDataFrame([(1, late)], "id long, t string"), ["id"], "t").collect()
+    assert [(r["data"], r["termos"]) for r in got] == [("2024-06-05", 1)]
