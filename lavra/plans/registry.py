@@ -418,7 +418,16 @@ def quote_verification(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def proposal_verification(spark: SparkSession, sf: str) -> DataFrame:
-    rows = findings.first_seen(table(spark, sf, "achados")).where("tipo = 'pessoas'").select("achado_id", "nome", "cargo", "empresa", "trecho_fonte", F.col("trecho_fonte").alias("trecho"))
+    """Each finding held against the text of the page that it names, or of all its document where it names none."""
+    rows = findings.first_seen(table(spark, sf, "achados")).where("tipo = 'pessoas'").select("achado_id", "documento_id", "pagina", "nome", "cargo", "empresa", "trecho_fonte")
+    pages = _pages(spark, sf).where("documento_id is not null and n is not null and texto <> ''").select("documento_id", F.col("n").alias("pagina"), "pagina_id", "texto")
+    single = pages.groupBy("documento_id", "pagina").agg(F.min_by("texto", "pagina_id").alias("trecho"))
+    loose = rows.where("pagina is null and documento_id is not null").select("documento_id").distinct()
+    ordered = F.array_sort(F.collect_list(F.struct("pagina", "trecho")))
+    whole = single.join(loose, "documento_id").groupBy("documento_id").agg(F.array_join(F.transform(ordered, lambda x: x["trecho"]), "\n").alias("trecho"))
+    chunks = single.unionByName(whole.withColumn("pagina", F.lit(None).cast("int")).select("documento_id", "pagina", "trecho"))
+    held = rows.alias("r").join(chunks.alias("c"), (F.col("r.documento_id") == F.col("c.documento_id")) & F.col("r.pagina").eqNullSafe(F.col("c.pagina")), "left")
+    rows = held.select("achado_id", "nome", "cargo", "empresa", "trecho_fonte", "trecho")
     return citations.verify_proposals(rows).select("achado_id", "id", "aceito", "motivo", F.array_join("alertas", "; ").alias("alertas"))
 
 
