@@ -117,6 +117,7 @@ def _deal(forests: dict[tuple[str, int], list[Tree]], distance: float, miss: flo
                 at = np.asarray(at)
                 m = np.stack([np.frombuffer(blobs[i], np.float32) for i in at])
                 half = m.astype(np.float16)
+                lost = np.linalg.norm(m.astype(np.float64) - half, axis=1)
                 left = np.ones(len(at))
                 for t, tree in enumerate(forests[(model, dim)]):
                     open_ = np.flatnonzero(left > miss)
@@ -127,15 +128,16 @@ def _deal(forests: dict[tuple[str, int], list[Tree]], distance: float, miss: flo
                     left[open_] *= np.clip(1 - found, 0, 1)
                     who = open_[row]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([f"{model}\x00{dim}\x00{t}\x00{c}" for c in cell.tolist()], pa.string()), pa.array(reps[at[who]]), pa.array(home), pa.array([half[i].tobytes() for i in who.tolist()], pa.binary())],
-                        names=["celula", "rep", "casa", "v"],
+                        [pa.array([f"{model}\x00{dim}\x00{t}\x00{c}" for c in cell.tolist()], pa.string()), pa.array(reps[at[who]]), pa.array(home), pa.array([half[i].tobytes() for i in who.tolist()], pa.binary()), pa.array(lost[who])],
+                        names=["celula", "rep", "casa", "v", "erro"],
                     )
 
     return run
 
 
 def _search(most: int, least: float):
-    """The pairs of one cell: of each visitor, the up to `most` most similar of those at home there."""
+    """The pairs of one cell: of each visitor, those at home there that can be among its `most` most similar, whose
+    half-float cosine is within the error of both of the one at place `most`."""
     slack = 0.002  # of half floats
 
     def run(table: pa.Table) -> pa.Table:
@@ -143,6 +145,9 @@ def _search(most: int, least: float):
         home = np.asarray(table.column("casa"))
         m = np.stack([np.frombuffer(b, np.float16) for b in table.column("v").to_pylist()]).astype(np.float32)
         data, data_rep = m[home], rep[home]
+        lost = np.asarray(table.column("erro"))
+        far = lost[home].max(initial=0.0)
+        noise = lost + (1 + lost) * far + m.shape[1] * 2.0**-23  # of a cosine: both vectors' rounding, and the sum's
         out_a, out_b = [], []
         step = max(64, 8_000_000 // max(1, len(data)))  # bounds the block of similarities
         for q in range(0, len(m), step):
@@ -156,7 +161,9 @@ def _search(most: int, least: float):
                 order = np.lexsort((data_rep[j], -value, i))
                 i, j = i[order], j[order]
                 first = np.searchsorted(i, i, "left")
-                top = np.arange(len(i)) - first < most
+                last = np.minimum(first + most - 1, len(i) - 1)
+                floor = np.where(i[last] == i, value[order][last] - 2 * noise[q + i], -1.0)
+                top = (np.arange(len(i)) - first < most) | (value[order] >= floor)
                 best.append((rep[q + i[top]], data_rep[j[top]], value[order][top]))
             for a, b, _ in best:
                 out_a.append(a), out_b.append(b)
@@ -169,7 +176,10 @@ def _search(most: int, least: float):
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cos = [float(np.dot(np.frombuffer(x, np.float32).astype(np.float64), np.frombuffer(y, np.float32).astype(np.float64))) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        cos = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.float32).astype(np.float64), np.frombuffer(y, np.float32).astype(np.float64)
+            cos.append(float(np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y))))  # single floats aren't quite of length 1
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cos, pa.float64())], names=["a", "b", "cosseno"])
 
 
@@ -194,8 +204,8 @@ def class_pairs(classes: DataFrame, k: int, least: float, cell: int = CELL, miss
         depth = max(0, math.ceil(math.log2(max(1, r["count"] / cell))))
         depth = min(depth, max(0, int(math.log2(max(1, len(m) / 8)))), r["dim"])
         forests[key] = [Tree(m, depth, t) for t in range(trees if depth else 1)]
-    visits = classes.select("rep", "modelo", "dim", "v").mapInArrow(_deal(forests, distance, miss), "celula string, rep long, casa boolean, v binary")
-    found = visits.groupBy("celula").applyInArrow(_search(k + 6, least), "a long, b long").distinct()
+    visits = classes.select("rep", "modelo", "dim", "v").mapInArrow(_deal(forests, distance, miss), "celula string, rep long, casa boolean, v binary, erro double")
+    found = visits.groupBy("celula").applyInArrow(_search(k, least), "a long, b long").distinct()
     vector = classes.select("rep", "v")
     both = found.join(vector.withColumnsRenamed({"rep": "a", "v": "va"}), "a").join(vector.withColumnsRenamed({"rep": "b", "v": "vb"}), "b")
     return both.select("a", "b", "va", "vb").mapInArrow(_exact, "a long, b long, cosseno double").where(F.col("cosseno") >= least - 1e-9)

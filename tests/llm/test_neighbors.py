@@ -62,3 +62,13 @@ def test_probabilities_add_up():
     tree = neighbors.Tree(np.random.default_rng(0).standard_normal((500, 8)).astype(np.float32), 3, 0)
     _, _, mass, home = tree.visits(np.ones((5, 8), np.float32), 0.4)
     assert home.sum() == 5 and 0 < mass.sum() <= 5.001
+
+
+def test_family_of_near_equal_vectors(spark):
+    """More partners than k whose cosines differ by less than half floats can tell."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    family = [(i, "m", [float(x) for x in (centre + 0.003 * rng.standard_normal(64)).astype(np.float32)], None) for i in range(150)]
+    got = {tuple(r) for r in neighbors.similar_pairs(spark.createDataFrame(family, SCHEMA)).collect()}
+    assert got == brute(family, 10, 0.90)
