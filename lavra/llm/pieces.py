@@ -1,7 +1,7 @@
 """Oversized passages in pieces under a limit, cut at natural boundaries.
 
-Method: a passage is a tree: paragraphs (between blank lines; a heading stays with what it heads), sentences,
-words, characters. Siblings are merged from the bottom up as far as the limit allows, and only nodes beyond the
+Method: a passage is a tree: paragraphs (between blank lines; a heading stays with what it heads), list items and
+marked headings, sentences, words, characters. Siblings are merged from the bottom up as far as the limit allows, and only nodes beyond the
 limit are opened. Each piece but the first begins with the end of the one before, cut at white space.
 """
 
@@ -19,6 +19,8 @@ from lavra.llm import sentences
 LIMIT, OVERLAP = 1200, 120
 LEVELS = ["paragrafo", "frase", "palavra", "nenhuma"]
 _RUN = re.compile(r"\S+")
+#: Lines that begin an item of a list, or are a heading by markup.
+_ITEM = re.compile(r"^[ \t]*(?:[-•*–—▪●◦]|#{1,6}|\(?\d{1,3}(?:\.\d{1,3})*[.)º]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}[.)])[ \t]+\S", re.M)
 
 
 def _children(text: str, begin: int, stop: int, level: int, model: sentences.Model) -> list[tuple[int, int]]:
@@ -38,6 +40,18 @@ def _children(text: str, begin: int, stop: int, level: int, model: sentences.Mod
     return [m.span() for m in _RUN.finditer(text, begin, stop)]
 
 
+def _items(text: str, begin: int, stop: int) -> list[tuple[int, int]]:
+    """The list items and marked headings of a paragraph with the lines that go on from them; what comes before the
+    first is a part too. One part where there are none."""
+    starts = [m.start() for m in _ITEM.finditer(text, begin, stop)]
+    out = []
+    for a, b in zip([begin, *starts], [*starts, stop]):
+        part = text[a:b]
+        if part.strip():
+            out.append((a + len(part) - len(part.lstrip()), a + len(part.rstrip())))
+    return out
+
+
 def boundary(text: str, limit: int, model: sentences.Model) -> str:
     """The first level at which no part is beyond the limit."""
     nodes = [(0, len(text))]
@@ -64,7 +78,8 @@ def cut(text: str, limit: int, overlap: int, model: sentences.Model) -> list[tup
         elif level > 2:
             leaves.extend((a, min(a + room, stop), False) for a in range(begin, stop, room))
         else:
-            kids = _children(text, begin, stop, level, model)
+            items = _items(text, begin, stop) if level == 1 else []
+            kids = items if len(items) > 1 else _children(text, begin, stop, level, model)
             merged: list[list[int]] = []
             for k, (a, b) in enumerate(kids):
                 kept = level == 0 and k and _heading(text, *kids[k - 1])
@@ -79,7 +94,7 @@ def cut(text: str, limit: int, overlap: int, model: sentences.Model) -> list[tup
                 if b - a <= room:
                     leaves.append((a, b, False))
                 else:
-                    open_node(a, b, level + 1)
+                    open_node(a, b, level if len(items) > 1 else level + 1)
 
     if len(text) <= limit:
         return [(0, len(text))]

@@ -71,6 +71,14 @@ def test_pieces_cover_the_text(model, text):
         assert b - c >= 60 or b - c >= min(120, b)
 
 
+@pytest.mark.parametrize("mark", ["- ", "{}. ", "{}) ", "## "])
+def test_pieces_keep_list_items_whole(model, mark):
+    items = [mark.format(i) + "item com palavras sem fim de frase " * 4 for i in range(1, 30)]
+    text = "\n".join(x.rstrip() for x in items)
+    spans = pieces.cut(text, 1200, 120, model)
+    assert len(spans) > 2 and all(b == len(text) or text[b] == "\n" for _, b in spans)
+
+
 def test_passages(spark):
     long = "\n\n".join([sentence(700)] * 3)
     rows = spark.createDataFrame([(1, "d", 1, 5, long, "x"), (1, "d", 1, 5, long, "x"), (2, "d", 1, None, long, "x"), (3, "d", 2, 7, long, "x"), (4, "d", 2, None, long, "x"), (5, "d", 1, 0, "curto", "x"), (6, "d", 1, 0, None, "x")], "passagem_id long, documento_id string, pagina int, inicio int, texto string, peca string")
