@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lavra.llm import neighbors
 
@@ -72,3 +73,36 @@ def test_family_of_near_equal_vectors(spark):
     family = [(i, "m", [float(x) for x in (centre + 0.003 * rng.standard_normal(64)).astype(np.float32)], None) for i in range(150)]
     got = {tuple(r) for r in neighbors.similar_pairs(spark.createDataFrame(family, SCHEMA)).collect()}
     assert got == brute(family, 10, 0.90)
+
+
+def recall(spark, vectors, **limits):
+    rows = [(i, "m", [float(x) for x in v], None) for i, v in enumerate(np.asarray(vectors, np.float32))]
+    got = {tuple(r) for r in neighbors.similar_pairs(spark.createDataFrame(rows, SCHEMA), **limits).collect()}
+    want = brute(rows, 10, 0.9)
+    return len(got & want) / len(want), len(got - want) / len(want)
+
+
+@pytest.mark.parametrize("noise", [0.001, 0.01, 0.03])
+def test_dense_cluster_over_many_cells(spark, noise):
+    """Many more partners at the least similarity than k, some apart from them, and cells that cut the cluster."""
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(32)
+    centre /= np.linalg.norm(centre)
+    found, wrong = recall(spark, np.concatenate([centre + noise * rng.standard_normal((2000, 32)), rng.standard_normal((300, 32))]), cell=128)
+    assert found >= 0.95 and wrong <= 0.05
+
+
+@pytest.mark.parametrize("dim", [2, 3, 8])
+def test_low_dimension(spark, dim):
+    found, wrong = recall(spark, np.random.default_rng(dim).standard_normal((2500, dim)), cell=128)
+    assert found >= 0.95 and wrong <= 0.05
+
+
+def test_parts_of_cells_and_turns_of_indexes(spark, monkeypatch):
+    rows = made(600) + [(10_000 + i, f"m{j}", v, None) for j in range(3) for i, (_, _, v, _) in enumerate(made(40 + j, seed=j))]
+    rows = [(k, m, v, x) for k, (_, m, v, x) in enumerate(rows)]
+    want = brute(rows, 10, 0.9)
+    monkeypatch.setattr(neighbors, "SAMPLE_LEAST", 16)
+    monkeypatch.setattr(neighbors, "PER_CELL", 1)
+    got = {tuple(r) for r in neighbors.similar_pairs(spark.createDataFrame(rows, SCHEMA), cell=32, indexes=2).collect()}
+    assert len(got & want) >= 0.95 * len(want) and not got - want
