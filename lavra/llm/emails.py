@@ -1,10 +1,12 @@
 """The words newly written by the sender of an e-mail.
 
 Method: each page's lines are first told apart by layout (header fields, separators, attribution lines, quote
-marks, closing blocks, notices). The sentences that each message adds to its thread, and the lines of each
-sender's closing blocks, become patterns. A later message is scanned with an automaton of the patterns that it
-shares with its thread and its sender; matched intervals are merged and subtracted. The patterns of a page
-come by an equi-join on their hashes, so that no thread, however long, is gathered in one place.
+marks, closing blocks, notices). All sentences of the earlier messages of a thread, by their instants, and the lines
+of each sender's closing blocks are patterns. A later message is scanned, over its line breaks, with an automaton of
+these sentences and their runs of words; matched intervals are merged and subtracted, so that quotes are found
+without marks, wrapped anew, joined to other words or in part. The automaton of a page holds those sentences of its
+thread that share a run of words with it, which come by an equi-join on thread and run: no thread, however long, is
+gathered in one place.
 """
 
 from __future__ import annotations
@@ -18,9 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lavra.operators.timestamps import normalize
+from lavra.session import materialize
+
+from .leaks import words
+
 NEW, HEADER, QUOTE, SIGNATURE, NOTICE = "novo", "cabecalho", "citacao", "assinatura", "aviso"
-#: A single matched sentence of this many characters counts as copied; shorter ones only next to another.
-LONG = 80
+#: Words of a run, neighbouring runs of which one is a mark, and words from which a copied stretch counts by itself.
+RUN, SPAN, LONG = 5, 4, 12
+#: The zone of dates without one, and what undated messages have in place of an instant (later than any).
+ZONE, UNDATED = "America/Sao_Paulo", "~"
 
 # Header fields by what they hold, closing formulas, and how notes and notices begin.
 FIELDS = {
@@ -60,6 +69,8 @@ _DEVICE = re.compile(rf"^\s*(?:{DEVICE})", re.I)
 _NOTICE = re.compile(rf"^\s*\*?(?:{NOTICES})", re.I)
 _AFTERWORD = re.compile(r"^\s*(?:p\.?\s?s\.?\s?[:.–-]|obs\.?\s*:|em tempo\s*:)", re.I)
 _ADDRESS = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"”»')\]]*\s+")
+_QUOTED = re.compile(r"^[\s>|]+")
 _REPLY = re.compile(r"^\s*(?:(?:re|res|enc|fwd?|fw|encaminhado|resposta|tr|aw|wg)\s*(?:\[\d+\])?\s*:\s*)+", re.I)
 
 
@@ -171,74 +182,169 @@ def _key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(re.sub(r"\s+", " ", text).strip().lower()) - (1 << 63)
 
 
-_LAYOUT = "pagina_id long, fio long, remetente long, instante string, linhas array<struct<linha int, tipo string, chave long>>"
+def _runs(tokens: list[str]) -> list[int]:
+    """A hash of each run of `RUN` words; of the whole where there are fewer."""
+    return [_key(" ".join(tokens[i : i + RUN])) for i in range(max(1, len(tokens) - RUN + 1))] if tokens else []
+
+
+def _marks(tokens: list[str]) -> list[int]:
+    """Of every `SPAN` neighbouring runs the least: a stretch of RUN + SPAN - 1 words holds one of them wherever it
+    recurs."""
+    runs = _runs(tokens)
+    return sorted({min(runs[i : i + SPAN]) for i in range(max(1, len(runs) - SPAN + 1))}) if runs else []
+
+
+def sentences(lines: list[str], labels: list[str], kinds: tuple[str, ...]) -> list[list[str]]:
+    """The words of each sentence in the lines of these kinds. Line breaks and quote marks part nothing; blank lines
+    and lines of another kind do."""
+    out: list[list[str]] = []
+    block: list[str] = []
+    last = ""
+    for line, label in [*zip(lines, labels), ("", "")]:
+        if label != last or not label:
+            out += [w for x in _SENTENCE.split(" ".join(block)) if (w := words(x))]
+            block = []
+        if label in kinds:
+            block.append(_QUOTED.sub("", line).strip())
+        last = label
+    return out
+
+
+_LAYOUT = (
+    "pagina_id long, fio long, remetente long, instante string, frases array<struct<frase long, texto string, marcas array<long>>>, "
+    "sondas array<long>, finais array<struct<chave long, texto string>>, linhas array<long>"
+)
 
 
 def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (pagina_id, caso_id, texto): thread and sender keys, and the label and hash of each line that isn't blank."""
+    """Of (pagina_id, caso_id, texto): the keys of thread and sender, the instant, all sentences, the runs of words of
+    the new lines, the closing lines, and the new lines."""
+    sentence = pa.list_(pa.struct([("frase", pa.int64()), ("texto", pa.string()), ("marcas", pa.list_(pa.int64()))]))
+    closing = pa.list_(pa.struct([("chave", pa.int64()), ("texto", pa.string())]))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), sentence, pa.list_(pa.int64()), closing, pa.list_(pa.int64()))
     for batch in batches:
-        ids, cases, texts = (batch.column(i).to_pylist() for i in range(3))
-        threads, senders, times, found = [], [], [], []
-        for case, text in zip(cases, texts):
+        out: list[list] = [[] for _ in kinds]
+        for page, case, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             lines, labels, header = label_lines(text)
             subject = _REPLY.sub("", header.get("assunto") or "").strip().lower()
-            threads.append(_key(f"{case}\n{subject}") if subject else None)
             sender = _ADDRESS.search(header.get("de") or "")
-            senders.append(_key(sender[0]) if sender else None)
-            times.append(header.get("data"))
-            found.append([{"linha": n, "tipo": label, "chave": _key(line)} for n, (line, label) in enumerate(zip(lines, labels), 1) if label])
-        kind = pa.list_(pa.struct([("linha", pa.int32()), ("tipo", pa.string()), ("chave", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(threads, pa.int64()), pa.array(senders, pa.int64()), pa.array(times, pa.string()), pa.array(found, kind)], names=["pagina_id", "fio", "remetente", "instante", "linhas"])
+            said = {" ".join(x): x for x in sentences(lines, labels, (NEW, QUOTE))}
+            fresh = sentences(lines, labels, (NEW,))
+            whole = [w for line, label in zip(lines, labels) if label == NEW for w in words(line)]
+            probes = {*_runs(whole), *(k for x in fresh if len(x) < RUN for k in _runs(x))}
+            row = (
+                page, _key(f"{case}\n{subject}") if subject else None, _key(sender[0]) if sender else None, normalize(header.get("data"), False, ZONE),
+                [{"frase": _key(x), "texto": x, "marcas": _marks(w)} for x, w in said.items()], list(probes),
+                [{"chave": _key(x), "texto": x} for x in {" ".join(words(line)) for line, label in zip(lines, labels) if label == SIGNATURE} if x],
+                list({_key(" ".join(words(line))) for line, label in zip(lines, labels) if label == NEW}),
+            )
+            for column, value in zip(out, row):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["pagina_id", "fio", "remetente", "instante", "frases", "sondas", "finais", "linhas"])
+
+
+def matched_lines(lines: list[str], labels: list[str], patterns: list[str], closings: list[str]) -> set[int]:
+    """The new lines (from 0) that the patterns cover: sentences of earlier messages, whole or in runs of words, and
+    closing lines of the sender. Matched intervals that touch are one; an interval counts from `LONG` words, or from
+    two whole sentences."""
+    tokens: list[str] = []
+    of_line: dict[int, tuple[int, int]] = {}
+    for i, (line, label) in enumerate(zip(lines, labels)):
+        if label == NEW:
+            found = words(line)
+            of_line[i] = (len(tokens), len(tokens) + len(found))
+            tokens += found
+    automaton = ahocorasick.Automaton()
+    for pattern in patterns:
+        parts = pattern.split(" ")
+        for k in range(max(1, len(parts) - RUN + 1)):
+            run = " " + " ".join(parts[k : k + RUN]) + " "
+            if run not in automaton:
+                automaton.add_word(run, (min(RUN, len(parts)), 0))
+        automaton.add_word(f" {pattern} ", (len(parts), 1))
+    kept = [False] * len(tokens)
+    if len(automaton):
+        automaton.make_automaton()
+        starts, at = {}, 0
+        for k, token in enumerate(tokens):
+            starts[at] = k
+            at += len(token) + 1
+        text = " " + " ".join(tokens) + " "
+        spans = []
+        for stop, (size, whole) in automaton.iter(text):
+            end = starts.get(stop, len(tokens))  # the pattern ends with the space before this word
+            spans.append((end - size, end, whole))
+        merged: list[list] = []
+        for begin, end, whole in sorted(spans):
+            if not merged or begin > merged[-1][1]:
+                merged.append([begin, end, set()])
+            merged[-1][1] = max(merged[-1][1], end)
+            if whole:
+                merged[-1][2].add((begin, end))
+        for begin, end, said in merged:
+            if end - begin >= LONG or (len(said) >= 2 and end - begin >= RUN):
+                kept[begin:end] = [True] * (end - begin)
+    last = {*closings}
+    gone = {i for i, (a, b) in of_line.items() if b > a and (all(kept[a:b]) or " ".join(tokens[a:b]) in last)}
+    filled = [i for i, (a, b) in of_line.items() if b > a]
+    for i, (a, b) in of_line.items():  # a rule or the like between two lines that go
+        if a == b:
+            before, after = max((x for x in filled if x < i), default=None), min((x for x in filled if x > i), default=None)
+            if before in gone and after in gone:
+                gone.add(i)
+    return gone
 
 
 def _subtract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (pagina_id, texto, fio_chaves, remetente_chaves): the lines left after the matched intervals."""
+    """Of (pagina_id, texto, frases, finais): the lines left after the matched intervals."""
     for batch in batches:
         pages, numbers = [], []
-        for page, text, shared, closing in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for page, text, earlier, closing in zip(*(batch.column(i).to_pylist() for i in range(4))):
             lines, labels, _ = label_lines(text)
-            patterns = ahocorasick.Automaton()
-            wanted = {k: 1 for k in shared or []} | {k: 2 for k in closing or []}
-            for line, label in zip(lines, labels):
-                if label == NEW and (kind := wanted.get(_key(line))):
-                    patterns.add_word(line.strip(), (len(line.strip()), kind))
-            gone = set()
-            if len(patterns):
-                patterns.make_automaton()
-                starts, at = [], 0
-                for line in lines:
-                    starts.append(at)
-                    at += len(line) + 1
-                spans = sorted((stop - size + 1, stop + 1, kind) for stop, (size, kind) in patterns.iter("\n".join(lines)))
-                merged: list[list[int]] = []
-                for begin, stop, kind in spans:  # neighbours count as one interval, over blank lines too
-                    if merged and not "\n".join(lines)[merged[-1][1] : begin].strip():
-                        merged[-1][1], merged[-1][2] = max(stop, merged[-1][1]), merged[-1][2] + 1
-                    else:
-                        merged.append([begin, stop, 1, kind])
-                for begin, stop, n, kind in merged:
-                    if n >= 2 or stop - begin >= LONG or kind == 2:
-                        gone |= {i for i, s in enumerate(starts) if s >= begin - (len(lines[i]) - len(lines[i].lstrip())) and s + len(lines[i].rstrip()) <= stop}
+            gone = matched_lines(lines, labels, earlier or [], closing or []) if earlier or closing else ()
             for i, label in enumerate(labels):
                 if label == NEW and i not in gone:
                     pages.append(page), numbers.append(i + 1)
         yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(numbers, pa.int32())], names=["pagina_id", "linha"])
 
 
+def _pages(paginas: DataFrame, arquivos: DataFrame) -> DataFrame:
+    mails = arquivos.where("tipo_comunicacao = 'e-mail' and documento_id is not null").groupBy("documento_id").agg(F.max("caso_id").alias("caso_id"))
+    pages = paginas.where("texto <> '' and pagina_id is not null").select(F.col("pagina_id").cast("long").alias("pagina_id"), "documento_id", F.col("n").cast("int").alias("n") if "n" in paginas.columns else F.lit(1).alias("n"), "texto")
+    return pages.join(mails, "documento_id").dropDuplicates(["pagina_id"])
+
+
+def page_patterns(pages: DataFrame) -> DataFrame:
+    """What is to be subtracted from each page (pagina_id, documento_id, n, caso_id, texto): frases, the sentences of
+    earlier messages of its thread that share a run of words with its new lines, and finais, closing lines of its
+    sender. Pages without either are missing."""
+    laid = pages.select("pagina_id", "caso_id", "texto").mapInArrow(_layout, _LAYOUT).join(pages.select("pagina_id", "documento_id", "n"), "pagina_id")
+    laid = materialize(laid, "camadas")
+    # a page without a header goes on with the message that its file begins with
+    heads = laid.where("fio is not null").groupBy("documento_id").agg(F.min_by(F.struct("fio", "remetente", "instante"), F.struct(F.coalesce("n", F.lit(0)), "pagina_id")).alias("h"))
+    own = laid.join(heads, "documento_id", "left").withColumn("h", F.when(F.col("fio").isNull() & F.col("remetente").isNull(), F.col("h")).otherwise(F.struct("fio", "remetente", "instante")))
+    own = own.select("pagina_id", F.col("h.fio").alias("fio"), F.col("h.remetente").alias("remetente"), F.coalesce("h.instante", F.lit(UNDATED)).alias("instante"), "frases", "sondas", "finais", "linhas")
+    threaded = own.where("fio is not null")
+    # each sentence of a thread once, with the message that held it first: a thread of any length stays small
+    when = F.struct("instante", "pagina_id", "remetente")
+    said = threaded.select("fio", when.alias("quando"), F.explode("frases").alias("f")).groupBy("fio", "f.frase").agg(F.min("quando").alias("primeira"), F.first("f.texto").alias("texto"), F.first("f.marcas").alias("marcas"))
+    marks = said.select("fio", "frase", "primeira", F.explode("marcas").alias("marca"))
+    probes = threaded.select("fio", "pagina_id", "instante", "remetente", F.explode("sondas").alias("marca"))
+    earlier = (F.col("primeira.instante") < F.col("instante")) | ((F.col("primeira.instante") == F.col("instante")) & (F.col("primeira.pagina_id") < F.col("pagina_id")) & ~F.col("primeira.remetente").eqNullSafe(F.col("remetente")))
+    hits = probes.join(marks, ["fio", "marca"]).where(earlier).select("pagina_id", "fio", "frase").distinct()
+    of_thread = hits.join(said.select("fio", "frase", "texto"), ["fio", "frase"]).select("pagina_id", "texto", F.lit(1).alias("de"))
+    closing = own.where("remetente is not null").select("remetente", "pagina_id", F.explode("finais").alias("f")).groupBy("remetente", "f.chave").agg(F.countDistinct("pagina_id").alias("n"), F.first("f.texto").alias("texto")).where("n >= 2")
+    of_sender = own.where("remetente is not null").select("remetente", "pagina_id", F.explode("linhas").alias("chave")).join(closing, ["remetente", "chave"]).select("pagina_id", "texto", F.lit(2).alias("de"))
+    both = of_thread.unionByName(of_sender)
+    return both.groupBy("pagina_id").agg(F.collect_set(F.when(F.col("de") == 1, F.col("texto"))).alias("frases"), F.collect_set(F.when(F.col("de") == 2, F.col("texto"))).alias("finais"))
+
+
 def new_lines(paginas: DataFrame, arquivos: DataFrame) -> DataFrame:
     """The non-blank lines newly written by the sender, of the pages of files with tipo_comunicacao='e-mail':
     pagina_id, linha (from 1). Pages with null or empty text have none; pages and files delivered twice count
-    once. A page whose header can't be read belongs to no thread and no sender, and layout alone decides."""
-    mails = arquivos.where("tipo_comunicacao = 'e-mail' and documento_id is not null").groupBy("documento_id").agg(F.max("caso_id").alias("caso_id"))
-    pages = paginas.where("texto <> '' and pagina_id is not null").select(F.col("pagina_id").cast("long").alias("pagina_id"), "documento_id", "texto")
-    pages = pages.join(mails, "documento_id").dropDuplicates(["pagina_id"])
-    laid = pages.select("pagina_id", "caso_id", "texto").mapInArrow(_layout, _LAYOUT)
-    lines = laid.select("pagina_id", "fio", "remetente", F.explode("linhas").alias("l")).select("pagina_id", "fio", "remetente", "l.*").where(f"tipo in ('{NEW}', '{SIGNATURE}')")
-    # A sentence belongs to the message that wrote it first: the lowest page of its thread. Groups keep one row
-    # per sentence, so that a thread of any length stays small; a line seen on one page only is no pattern.
-    first = lines.where(f"fio is not null and tipo = '{NEW}'").groupBy("fio", "chave").agg(F.min("pagina_id").alias("antes"), F.max("pagina_id").alias("depois")).where("antes < depois")
-    closing = lines.where("remetente is not null").groupBy("remetente", "chave").agg(F.countDistinct(F.when(F.col("tipo") == SIGNATURE, F.col("pagina_id"))).alias("n"), F.max(F.when(F.col("tipo") == NEW, 1)).alias("visto")).where("n >= 2 and visto = 1")
-    of_thread = lines.where(f"tipo = '{NEW}'").join(first, ["fio", "chave"]).where("pagina_id > antes").select("pagina_id", "chave", F.lit(1).alias("de"))
-    of_sender = lines.where(f"tipo = '{NEW}'").join(closing, ["remetente", "chave"]).select("pagina_id", "chave", F.lit(2).alias("de"))
-    shared = of_thread.unionByName(of_sender).groupBy("pagina_id").agg(F.collect_set(F.when(F.col("de") == 1, F.col("chave"))).alias("fio_chaves"), F.collect_set(F.when(F.col("de") == 2, F.col("chave"))).alias("remetente_chaves"))
-    return pages.join(shared, "pagina_id", "left").select("pagina_id", "texto", "fio_chaves", "remetente_chaves").mapInArrow(_subtract, "pagina_id long, linha int")
+    once. Of two messages the one of the earlier instant is the earlier one, undated ones come last, equal instants
+    go by pagina_id; the same sender's messages of one instant are copies and take nothing from each other. A page
+    whose header can't be read belongs to the message that its file begins with; where that has none either, layout
+    alone decides. A line stays where but a part of it was copied."""
+    pages = _pages(paginas, arquivos)
+    return pages.join(page_patterns(pages), "pagina_id", "left").select("pagina_id", "texto", "frases", "finais").mapInArrow(_subtract, "pagina_id long, linha int")

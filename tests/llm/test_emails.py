@@ -30,3 +30,47 @@ def test_tables(spark):
 def test_long(spark):
     text = HEAD + "\n".join(f"linha {i}" for i in range(30_000))
     assert len(new(text)) == 30_000
+
+
+def test_patterns_decide(spark):
+    """Earlier sentences without marks, wrapped anew, joined to other words, in part, and by the order of instants."""
+    head = lambda who, day: f"De: {who} <{who.lower()}@x.example>\nEnviado em: {day}/10/2020 10:00\nPara: Beto <beto@y.example>\nAssunto: RE: Lote 3\n"
+    first = head("Ana", 10) + "A medição do trecho norte ficou em doze mil metros cúbicos e será paga em março.\nPrecisamos da planilha antes da reunião de quinta."
+    wrapped = head("Beto", 11) + "De acordo.\n\nA medição do trecho norte ficou em\ndoze mil metros cúbicos e será\npaga em março. Precisamos da planilha\nantes da reunião de quinta.\n\nSegue o resto amanhã."
+    joined = head("Caio", 12) + "ela disse: a medição do trecho norte ficou\nem doze mil metros cúbicos e será paga em março, mas eu duvido.\nnada mais"
+    part = head("Dora", 13) + "trecho norte ficou em doze mil metros\ncúbicos e será paga em março\nObrigada pelo aviso."
+    before = head("Eva", 9) + "A medição do trecho norte ficou em doze mil metros cúbicos e será paga em março."
+    other = before.replace("Lote 3", "Lote 4").replace("/10/", "/11/")
+    goes_on = "Precisamos da planilha antes da\nreunião de quinta. A medição do trecho norte ficou em doze mil metros cúbicos\nfim"
+    quoted = head("Gil", 14) + "Veja.\n> O laudo do perito chegou ontem à tarde no protocolo central sem anexo.\n"
+    after = head("Hugo", 15) + "O laudo do perito chegou ontem\nà tarde no protocolo central sem anexo.\nRecebi."
+    rows = [(1, "a", 1, first), (2, "b", 1, wrapped), (3, "c", 1, joined), (4, "d", 1, part), (5, "e", 1, before), (6, "f", 1, other), (7, "d", 2, goes_on), (8, "g", 1, quoted), (9, "h", 1, after)]
+    pages = spark.createDataFrame(rows, "pagina_id long, documento_id string, n int, texto string")
+    files = spark.createDataFrame([(d, "C", "e-mail") for d in "abcdefgh"], "documento_id string, caso_id string, tipo_comunicacao string")
+    got = {}
+    for page, line in emails.new_lines(pages, files).collect():
+        got.setdefault(page, []).append(line)
+    assert sorted(got.pop(1)) == [6]  # the sentence of line 5 is Eva's, of the day before
+    assert sorted(got.pop(2)) == [5, 12]
+    assert sorted(got.pop(3)) == [5, 6, 7]  # lines with words of their own stay
+    assert sorted(got.pop(4)) == [7]
+    assert sorted(got.pop(5)) == [5] and sorted(got.pop(6)) == [5]
+    assert sorted(got.pop(7)) == [3]  # the second page belongs to the message of the first
+    assert sorted(got.pop(8)) == [5] and sorted(got.pop(9)) == [7] and not got
+
+
+def test_copies_and_undated(spark):
+    dated = HEAD + "O parecer da comissão foi favorável ao pagamento da última medição da obra."
+    undated = dated.replace("Enviado em: 10/10/2020 10:00\n", "").replace("Ana Lima <ana@x.example>", "Caio <caio@x.example>")
+    pages = spark.createDataFrame([(1, "a", 1, dated), (2, "b", 1, dated), (3, "c", 1, undated)], "pagina_id long, documento_id string, n int, texto string")
+    files = spark.createDataFrame([(d, "C", "e-mail") for d in "abc"], "documento_id string, caso_id string, tipo_comunicacao string")
+    assert {tuple(r) for r in emails.new_lines(pages, files).collect()} == {(1, 5), (2, 5)}
+
+
+def test_hot_thread(spark):
+    """A third of all messages in one thread, each quoting the first without marks."""
+    text = "De: P{0} <p{0}@x.example>\nEnviado em: 10/10/2020 {1:02d}:{2:02d}\nAssunto: Lote 3\nNúmero {0} de hoje.\nO mesmo aviso de sempre sobre o prazo da obra da ponte."
+    rows = [(i, f"d{i}", 1, text.format(i, i // 60, i % 60)) for i in range(600)]
+    pages = spark.createDataFrame(rows, "pagina_id long, documento_id string, n int, texto string")
+    files = spark.createDataFrame([(f"d{i}", "C", "e-mail") for i in range(600)], "documento_id string, caso_id string, tipo_comunicacao string")
+    assert {tuple(r) for r in emails.new_lines(pages, files).collect()} == {(0, 5), *((i, 4) for i in range(600))}
