@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lavra.session import table
 
@@ -47,6 +48,10 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "itens_teste")).select("doc_id", "item_id")
 
 
+def p7_near(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.near_copies(table(spark, sf, "documents"), table(spark, sf, "itens_teste")).select("doc_id", "item_id", "palavra", F.round("similaridade", 6).alias("similaridade"))
+
+
 def p8_selection(spark: SparkSession, sf: str) -> DataFrame:
     return mixtures.select_mixture(table(spark, sf, "documents"), table(spark, sf, "misturas"))
 
@@ -60,7 +65,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p2_entities": p2_entities, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p2_entities": p2_entities, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_near": p7_near, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -77,4 +82,18 @@ v AS (SELECT item_id AS id, regexp_extract_all(lower(strip_accents(nfc_normalize
 g AS (SELECT id, array_to_string(list_slice(w, k, k + 12), ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 11)) AS k FROM w WHERE len(w) >= 13)),
 h AS (SELECT id, array_to_string(list_slice(w, k, k + 12), ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 11)) AS k FROM v WHERE len(w) >= 13))
 SELECT DISTINCT g.id AS doc_id, h.id AS item_id FROM g JOIN h USING (g)""",
+        "p7_near": r"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(strip_accents(nfc_normalize(text))), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+v AS (SELECT item_id AS id, regexp_extract_all(lower(strip_accents(nfc_normalize(texto))), '[\p{L}\p{N}]+') AS w FROM itens_teste WHERE item_id IS NOT NULL),
+d AS (SELECT id, k - 1 AS p, array_to_string(list_slice(w, k, k + 4), ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)),
+n AS (SELECT id, len(w) - 4 AS m FROM w WHERE len(w) >= 5),
+i AS (SELECT DISTINCT id, array_to_string(list_slice(w, k, k + 4), ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS k FROM v WHERE len(w) >= 5)),
+t AS (SELECT count(DISTINCT id)::DOUBLE AS t FROM v WHERE len(w) > 0),
+f AS (SELECT s, ln(1 + (SELECT t FROM t) / count(*)) AS x FROM i GROUP BY s),
+iw AS (SELECT i.id, i.s, f.x FROM i JOIN f USING (s)),
+total AS (SELECT iw.id, sum(x) AS x, min(len(v.w)) - 4 AS m FROM iw JOIN v ON v.id = iw.id GROUP BY iw.id),
+c AS (SELECT a.id AS doc_id, b.id AS item_id FROM (SELECT DISTINCT id, s FROM d) a JOIN iw b USING (s) JOIN total ON total.id = b.id GROUP BY a.id, b.id, total.x HAVING sum(b.x) >= 0.8 * total.x - 1e-9),
+st AS (SELECT c.doc_id, c.item_id, least(total.m, n.m) AS m, total.x AS whole, unnest(range(0, greatest(n.m - total.m, 0) + 1)) AS p FROM c JOIN n ON n.id = c.doc_id JOIN total ON total.id = c.item_id),
+g AS (SELECT DISTINCT st.doc_id, st.item_id, st.p, st.whole, d.s FROM st JOIN d ON d.id = st.doc_id AND d.p >= st.p AND d.p < st.p + st.m),
+j AS (SELECT g.doc_id, g.item_id, g.p, coalesce(sum(iw.x), 0) / (g.whole + ln(1 + (SELECT t FROM t)) * sum(CASE WHEN iw.s IS NULL THEN 1 ELSE 0 END)) AS j FROM g LEFT JOIN iw ON iw.id = g.item_id AND iw.s = g.s GROUP BY g.doc_id, g.item_id, g.p, g.whole)
+SELECT doc_id, item_id, arg_min(p, (-j, p))::INT AS palavra, round(max(j), 6) AS similaridade FROM (SELECT * REPLACE (round(j, 12) AS j) FROM j WHERE j >= 0.8 - 1e-9) GROUP BY doc_id, item_id""",
     }

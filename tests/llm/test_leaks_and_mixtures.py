@@ -97,3 +97,56 @@ def test_tokens():
     assert mixtures.count_tokens(None) == 0 and mixtures.count_tokens("") == 0
     text = "Uma frase com acentuação. " * 10_000
     assert mixtures.count_tokens(text) == pytest.approx(10_000 * mixtures.count_tokens("Uma frase com acentuação. "), rel=0.2)
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 1.0])
+def test_turns_change_nothing(spark, similarity):
+    docs, items = made(40, 8)
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, texto string")
+    rows = lambda n: {(r["doc_id"], r["item_id"], r["palavra"], round(r["similaridade"], 9)) for r in leaks.find_leaks(d, i, radius=12, similarity=similarity, broadcast_windows=n).collect()}
+    assert rows(leaks.BROADCAST_WINDOWS) == rows(100) and rows(100)
+
+
+def near_brute(docs, items, least, n=5):
+    """Weighted similarity of every window of every item's length, in plain Python."""
+    grams = lambda w: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    split = [(i, leaks.words(t)) for i, t in dict(items).items()]
+    often = {}
+    for _, w in split:
+        for g in grams(w):
+            often[g] = often.get(g, 0) + 1
+    weight = lambda gs, own: sum(np.log1p(len(split) / (often[g] if g in own else 1)) for g in gs)
+    out = set()
+    for d, t in docs:
+        w = leaks.words(t)
+        for i, v in split:
+            own, size = grams(v), min(len(v), len(w))
+            for k in range(len(w) - size + 1):
+                mine = grams(w[k : k + size])
+                if own and mine and weight(mine & own, own) / weight(mine | own, own) >= least:
+                    out.add((d, i))
+                    break
+    return out
+
+
+@pytest.mark.parametrize("limit", [leaks.BROADCAST_ITEMS, 3])
+def test_near_copies_against_brute_force(spark, limit):
+    """Items with a few words changed, left out and added, in longer and in shorter documents."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(50 + 7 * i))) for i in range(8)]
+    docs = []
+    for d in range(60):
+        w = items[d % 8][1].split()
+        for _ in range(d // 8 % 4):
+            k = rng.randrange(len(w))
+            w[k : k + rng.choice([0, 1, 1])] = rng.sample(vocabulary, rng.choice([0, 1]))
+        around = [rng.choice(vocabulary) for _ in range(40 * (d % 3))]
+        docs.append((d, " ".join([*around[: d % 30], *w, *around[d % 30 :]])))
+    docs += [(90, " ".join(items[3][1].split()[3:])), (91, None), (92, ""), (93, "curto")]
+    d = spark.createDataFrame([*docs, docs[0], (None, docs[0][1])], "doc_id long, text string")
+    i = spark.createDataFrame([*items, items[0], (50, None), (51, "dois três")], "item_id long, texto string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.near_copies(d, i, broadcast_items=limit).collect()}
+    want = near_brute([(a, b) for a, b in docs if b], [*items, (51, "dois três")], 0.8)
+    assert got == want and 20 < len(got) < 61
+    assert leaks.near_copies(d.limit(0), i).count() == 0 and leaks.near_copies(d, i.limit(0)).count() == 0
