@@ -30,8 +30,9 @@ from lavra.session import materialize
 
 #: Vectors sampled to fit the planes: so many for each cell, within these bounds; and those a cell should hold.
 PER_CELL, SAMPLE_LEAST, SAMPLE_MOST, CELL = 32, 5_000, 200_000, 4096
-#: Trees at most, probability of missing a partner at the least similarity, least probability of a visited cell.
-TREES, MISS, FAINT = 24, 0.03, 0.12
+#: Trees at most, probability of missing a partner at the least similarity, the same (as a part of it) at the distance of
+#: the k-th verified one, where it costs less, and the least probability of a visited cell.
+TREES, MISS, CLOSER, FAINT = 24, 0.03, 0.05, 0.12
 #: Distinct (modelo, dimension) indexes whose planes the driver holds at once; more take further turns.
 INDEXES = 2000
 #: Candidates of one visit, as a multiple of k, from which half floats are too coarse to cut them.
@@ -181,10 +182,11 @@ def _deal(forests: dict[tuple[str, int], Forest], distance: float, miss: float,
                     continue
                 limit = reach[at]
                 near = limit < distance
+                bound = np.where(near, miss * CLOSER, miss)
                 # `wide`: as much as is left at the least similarity; so long a vector stays at home in further trees
                 wide, left = np.ones(len(at)), np.ones(len(at))
                 for t, tree in enumerate(forest.trees):
-                    open_ = np.flatnonzero((wide > miss) | (left > miss) if t else yes)
+                    open_ = np.flatnonzero((wide > miss) | (left > bound) if t else yes)
                     if not len(open_):
                         break
                     row, cell, mass, home = tree.visits(m[open_], distance)
@@ -195,14 +197,14 @@ def _deal(forests: dict[tuple[str, int], Forest], distance: float, miss: float,
                     keep = home | visit
                     yield from rows(t, who[keep], cell[keep], home[keep], visit[keep])
                     left[~near] = wide[~near]
-                    close = np.flatnonzero(near & (left > miss))
+                    close = np.flatnonzero(near & (left > bound))
                     if len(close):
                         row, cell, mass, home = tree.visits(m[close], limit[close])
                         visit = ~home if t == 0 else np.ones(len(row), bool)
                         yield from rows(t, close[row][visit], cell[visit], np.zeros(visit.sum(), bool), np.ones(visit.sum(), bool))
                         left[close] *= np.clip(1 - np.bincount(row, mass, len(close)), 0, 1)
-                rest = np.flatnonzero(left > miss)
-                for row, cell in forest.trees[0].all_visits(m[rest], limit[rest], miss):
+                rest = np.flatnonzero(left > bound)
+                for row, cell in forest.trees[0].all_visits(m[rest], limit[rest], miss * CLOSER):
                     yield from rows(0, rest[row], cell, np.zeros(len(row), bool), np.ones(len(row), bool))
 
     return run
