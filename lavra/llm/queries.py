@@ -17,7 +17,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    return scans.repair_pages(table(spark, sf, "paginas"))
+    return scans.repair_pages(table(spark, sf, "paginas"), join_pages=True)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

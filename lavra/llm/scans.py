@@ -1,12 +1,13 @@
 """Text of scanned pages: damage by line, and continuous paragraphs without it.
 
-Method: lines near a page's edges that recur over a document's pages, or have a form that the corpus shows at
+Method: lines near a page's edges that recur over a document's pages (by keys that known confusions leave alike, or
+nearly alike on neighbouring pages), or have a form that the corpus shows at
 edges only, are running headers and footers; number lines that keep step with the pages are page numbers. Words
 cut at line ends are joined where the corpus' vocabulary knows the joined word better than the hyphenated
 one. Characters are judged against the same vocabulary: a rare word that one known confusion of shapes turns
 into a far more frequent one is misread.
 
-Words and line forms are counted over all pages. What makes up at least a fixed share of all is broadcast, at most
+Words and line forms are counted over all different texts of pages. What makes up at least a fixed share of all is broadcast, at most
 1 / share entries however large the corpus is; the exact counts of the rest come to the pages that ask for them by
 joins, so that no decision depends on the share.
 """
@@ -30,6 +31,9 @@ WORD_SHARE, FORM_SHARE = 1 / 500_000, 1 / 50_000
 #: A reading counts as misread where the right one is this many times as frequent.
 RATIO = 20
 EDGE = 3
+#: Share of equal characters of lines that are nearly alike, and the lengths of lines that are compared so; keys compare
+#: lines of any length.
+ALIKE, ALIKE_LEAST, ALIKE_MOST = 0.75, 8, 400
 
 HYPHENS = "-‐‑‒–−¬­"
 STRAY = "~•¦·^¨|`´°*_<>=\\"
@@ -52,6 +56,9 @@ _NUMBER = re.compile(
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _CELL = re.compile(r"^(?:lote\s+\d+|r\$\s?[\d.,]+(?:\s+(?:mil|milh\w+|bi\w*))?|\d[\d.,]*%?)$", re.I)
 _HYPHEN_END = re.compile(rf"([^\W\d_]+(?:-[^\W\d_]+)*)[{re.escape(HYPHENS)}]\s*(?:[{re.escape(STRAY)}]\s*)?$")
+_TAIL = re.compile(r"\W*([^\W_]+(?:-[^\W_]+)*)?")
+#: The first word of a line with what stands around it.
+_FIRST = re.compile(r"\W*[^\W_]*(?:-[^\W_]+)*\S*")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
 _OUTER = "\"'()«»“”‘’[]{},;:?…–—"
 
@@ -105,19 +112,25 @@ def line_key(line: str) -> int:
 
 
 def line_form(line: str) -> str:
-    """The line's kinds of token: names, numbers, short words as they are, longer ones as one kind."""
+    """The line's kinds of token: names, numbers, short words as they are, longer ones as one kind; in a line of
+    capitals all longer words are of another kind."""
     out: list[str] = []
-    for token in _without_number(line).split():
+    bare = _without_number(line)
+    capitals = bare.isupper()
+    for token in bare.split():
         letters = re.sub(r"[\W\d_]", "", token)
         if not letters:
             kind = re.sub(r"\d+", "9", token)
+        elif capitals:
+            kind = _fold(letters) if len(letters) <= 3 else "C"
         elif letters[0].isupper():
             kind = "N"
         else:
             kind = _fold(letters) if len(letters) <= 3 else "w"
-        if not (kind == "N" and out and out[-1] == "N"):
+        if not (kind in ("N", "C") and out and out[-1] == kind):
             out.append(kind)
-    return " ".join(out)[:80]
+    form = " ".join(out)
+    return form if len(form) <= 80 else f"#{xxhash.xxh3_128_hexdigest(form)}"
 
 
 def _body(text: str) -> list[str]:
@@ -126,8 +139,7 @@ def _body(text: str) -> list[str]:
 
 def _edges(lines: list[str]) -> tuple[list[int], list[int]]:
     filled = [i for i, x in enumerate(lines) if x.strip()]
-    top = filled[:EDGE]
-    return top, [i for i in filled[::-1][:EDGE] if i not in top]
+    return filled[:EDGE], filled[::-1][:EDGE]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +155,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 top, low = _edges(lines)
                 near = {*top[:2], *low[:2]}
                 for i, line in enumerate(lines):
-                    if line.strip() and len(line) <= 120:
+                    if line.strip():
                         (edge if i in near else inner)[line_form(line)] += 1
         rows = [(0, w, n) for w, n in words.items()] + [(1, f, n) for f, n in edge.items()] + [(2, f, n) for f, n in inner.items()]
         kind, key, n = zip(*rows) if rows else ((), (), ())
@@ -222,8 +234,8 @@ def _readings(word: str) -> Iterator[str]:
     """The words that `word` may stand for: all misread signs put right, then one more confusion."""
     odd = [i for i, c in enumerate(word) if not c.isalpha() and c in CONFUSIONS]
     bases = [word]
-    for i in odd[:4]:
-        bases = [b[:i] + r + b[i + 1 :] for b in bases for r in CONFUSIONS[b[i]] if len(r) == 1]
+    for k, i in enumerate(odd):  # of many, all but the first ones take their likeliest reading
+        bases = [b[:i] + r + b[i + 1 :] for b in bases for r in CONFUSIONS[b[i]][: None if k < 4 else 1] if len(r) == 1]
     if odd:
         yield from bases
     if len(word) < 3:
@@ -240,6 +252,8 @@ def furniture(lines: list[str], n: int | None, repeated: set[int], lexicon: Lexi
     out: dict[int, str] = {}
     for edge in _edges(lines):
         for k, i in enumerate(edge):
+            if i in out:
+                continue
             line = lines[i]
             number = page_number(line)
             if number:
@@ -251,11 +265,12 @@ def furniture(lines: list[str], n: int | None, repeated: set[int], lexicon: Lexi
                     continue
                 break
             text = line.strip(" \t\r" + STRAY)
-            if not text or text[-1] in ".,;:!?" or not (text[0].isupper() or text[0].isdigit() or not text[0].isalpha()) or _CELL.match(text):
+            if not text or text[-1] in ".,;:!?" or _CELL.match(text):
                 break
             count, share = lexicon.form_share(line_form(line))
             again = line_key(line) in repeated
-            if (again and share >= 0.5) or (count >= 5 and share >= 0.8):
+            small = text[0].islower()  # as most lines of a text begin, too: those need more evidence
+            if (again and share >= (0.8 if small else 0.5)) or (count >= (10 if small else 5) and share >= (0.95 if small else 0.8)):
                 out[i] = "cabecalho"
                 continue
             break
@@ -326,7 +341,7 @@ def page_cases(text: str, n: int | None, repeated: set[int], after: str | None,
         broken = False
         next_gone = ""
         if cut:
-            tail = re.match(r"\W*([^\W_]+(?:-[^\W_]+)*)?", follows)[1] or ""
+            tail = _TAIL.match(follows)[1] or ""
             broken = (bool(tail) or k + 1 == len(body)) and not lexicon.own_hyphen(cut[1], tail)
             if broken:
                 out.append((i + 1, "hifen"))
@@ -354,10 +369,16 @@ def _spoilt_part(head: str, tail: str, lexicon: Lexicon) -> int | None:
     return None
 
 
-def repair(text: str, n: int | None, repeated: set[int], after: str | None, lexicon: Lexicon) -> str:
-    """The page as continuous paragraphs: no page furniture, whole words, right characters."""
+def repair(text: str, n: int | None, repeated: set[int], after: str | None, lexicon: Lexicon, before: str | None = None) -> str:
+    """The page as continuous paragraphs: no page furniture, whole words, right characters. `after` completes a word
+    cut by the page's end; where `before`, cut by the end of the page before, was completed there, its rest goes."""
     lines = _body(text)
     gone = furniture(lines, n, repeated, lexicon)
+    first = next((i for i, x in enumerate(lines) if x.strip() and i not in gone), None)
+    if before and first is not None and _TAIL.match(lines[first])[1]:
+        lines[first] = lines[first][_FIRST.match(lines[first]).end() :]
+        if not lines[first].strip():
+            gone[first] = "hifen"
     paragraphs: list[str] = []
     current = ""
     for i, line in enumerate(lines):
@@ -370,11 +391,16 @@ def repair(text: str, n: int | None, repeated: set[int], after: str | None, lexi
                 current = ""
             continue
         cut = _HYPHEN_END.search(current)
-        tail = re.match(r"\W*([^\W_]+(?:-[^\W_]+)*)?", clean)[1] or ""
+        tail = _TAIL.match(clean)[1] or ""
         if cut and tail:
             current = current.rstrip(HYPHENS + " ") + ("-" if lexicon.own_hyphen(cut[1], tail) else "") + clean
         else:
             current = f"{current} {clean}".strip()
+    cut = _HYPHEN_END.search(current)
+    if cut and after and _TAIL.match(after)[1]:
+        tail = _TAIL.match(after)[1]
+        rest = " ".join(_right(t, lexicon) for t in after.split())
+        current = current.rstrip(HYPHENS + STRAY + " ") + ("-" if lexicon.own_hyphen(cut[1], tail) else "") + rest
     return "\n\n".join([*paragraphs, current] if current else paragraphs)
 
 
@@ -407,18 +433,44 @@ def _right(token: str, lexicon: Lexicon) -> str:
     return bare
 
 
+def _comparable(line: str) -> str | None:
+    """What nearly equal repetitions of a line are found by; None for prose, which may be alike by chance."""
+    prose = sum(w[0].islower() and len(w) > 3 for w in line.split()) > 3 or line.rstrip()[-1:] in HYPHENS + ".,;:!?"
+    return None if prose else _fold(_without_number(line))
+
+
 def _edge_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (documento_id, pagina_id, n, texto): each line near an edge, with its key and the text to compare it by."""
     for batch in batches:
-        docs, pages, keys = [], [], []
+        out: list[list] = [[], [], [], [], [], []]
         for doc, page, n, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
             lines = _body(text)
-            for i in {i for edge in _edges(lines) for i in edge}:
-                number = page_number(lines[i])
-                if number and n is None:
-                    continue
-                docs.append(doc), pages.append(page)
-                keys.append(number_key(number[0], number[1] - n) if number else line_key(lines[i]))
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(pages, pa.int64()), pa.array(keys, pa.int64())], names=["documento_id", "pagina_id", "chave"])
+            for side, edge in enumerate(_edges(lines)):
+                for i in edge:
+                    number = page_number(lines[i])
+                    if number and n is None:
+                        continue
+                    key = number_key(number[0], number[1] - n) if number else line_key(lines[i])
+                    for column, value in zip(out, (doc, page, n, side, key, None if number else _comparable(lines[i]))):
+                        column.append(value)
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["documento_id", "pagina_id", "n", "lado", "chave", "linha"])
+
+
+def _repeated(edges: DataFrame) -> DataFrame:
+    """The keys of each page (pagina_id, chave) that recur in its document: by equal keys on two pages, or by lines
+    nearly alike at the same edge of one of the next two pages, whatever their damage."""
+    named = edges.where("documento_id <> ''")
+    once = named.select("documento_id", "pagina_id", "chave").distinct()
+    often = once.groupBy("documento_id", "chave").agg(F.count("*").alias("paginas")).where("paginas >= 2").drop("paginas")
+    equal = once.join(often, ["documento_id", "chave"]).select("pagina_id", "chave")
+    lines = named.where(F.col("n").isNotNull() & F.length("linha").between(ALIKE_LEAST, ALIKE_MOST))
+    ahead = lines.select("documento_id", F.explode(F.array(F.col("n") + 1, F.col("n") + 2)).alias("n"), "lado", F.col("pagina_id").alias("antes"), F.col("chave").alias("chave_antes"), F.col("linha").alias("linha_antes"))
+    most = F.floor(F.greatest(F.length("linha"), F.length("linha_antes")) * (1 - ALIKE)).cast("int")
+    apart = F.abs(F.length("linha") - F.length("linha_antes"))
+    pairs = lines.join(ahead, ["documento_id", "n", "lado"]).where((F.col("chave") != F.col("chave_antes")) & (apart <= most)).where(F.levenshtein("linha", "linha_antes") <= most)
+    fuzzy = pairs.select(F.explode(F.array(F.struct("pagina_id", "chave"), F.struct(F.col("antes").alias("pagina_id"), F.col("chave_antes").alias("chave")))).alias("x")).select("x.*")
+    return equal.unionByName(fuzzy).distinct()
 
 
 def _edge_forms(lexicon: Lexicon):
@@ -440,13 +492,16 @@ def _edge_forms(lexicon: Lexicon):
 def _firsts(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, ends = [], []
             for n, text, keys, forms in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
                 lines = _body(text)
                 lexicon.take(forms)
                 gone = furniture(lines, n, set(keys or ()), lexicon)
-                out.append(next((x[:200] for i, x in enumerate(lines) if x.strip() and i not in gone), None))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=["documento_id", "pagina_id", "n", "texto", "chaves", "formas", "primeira"])
+                body = [x for i, x in enumerate(lines) if x.strip() and i not in gone]
+                out.append(_FIRST.match(body[0])[0] if body else None)
+                cut = _HYPHEN_END.search(body[-1]) if body else None
+                ends.append(cut[1] if cut else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string()), pa.array(ends, pa.string())], names=["documento_id", "pagina_id", "n", "texto", "chaves", "formas", "primeira", "cortada"])
 
     return run
 
@@ -468,7 +523,7 @@ def _joint_words(head: str, tail: str) -> set[str]:
     return {a, first, a + b, a + first, f"{a}-{b}", f"{a}-{first}", f"{a}-"}
 
 
-def asked_words(text: str, n: int | None, repeated: set[int], after: str | None, lexicon: Lexicon) -> tuple[set[str], set[str]]:
+def asked_words(text: str, n: int | None, repeated: set[int], after: str | None, lexicon: Lexicon, before: str | None = None) -> tuple[set[str], set[str]]:
     """The words whose counts a page needs beside those of the broadcast ones, and those whose readings' too."""
     lines = _body(text)
     found = furniture(lines, n, repeated, lexicon)
@@ -487,10 +542,14 @@ def asked_words(text: str, n: int | None, repeated: set[int], after: str | None,
         cut = _HYPHEN_END.search(line)
         if cut:
             follows = body[k + 1] if k + 1 < len(body) else (after or "")
-            tail = re.match(r"\W*([^\W_]+(?:-[^\W_]+)*)?", follows)[1] or ""
+            tail = _TAIL.match(follows)[1] or ""
             first = re.match(r"\W*([^\W\d_]+(?:-[^\W\d_]+)*)?", follows)[1] or ""
             plain |= _joint_words(cut[1], tail)
             read |= {(cut[1] + tail).lower(), (cut[1] + first).lower()}
+    if before and body:
+        plain |= _joint_words(before, _TAIL.match(body[0])[1] or "")
+    if after:
+        tokens.update(after.split())
     for token in tokens:
         read |= _token_words(token)
     known = lexicon.words
@@ -501,9 +560,9 @@ def _asks(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pages, words, readings = [], [], []
-            for page, n, text, keys, forms, after in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for page, n, text, keys, forms, after, before in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 lexicon.take(forms)
-                for kind, asked in enumerate(asked_words(text, n, set(keys or ()), after, lexicon)):
+                for kind, asked in enumerate(asked_words(text, n, set(keys or ()), after, lexicon, before)):
                     pages += [page] * len(asked)
                     words += asked
                     readings += [bool(kind)] * len(asked)
@@ -534,10 +593,11 @@ def _answers(asks: DataFrame, rare: DataFrame) -> DataFrame:
 
 
 def count_corpus(paginas: DataFrame) -> tuple[Lexicon, DataFrame | None, DataFrame | None]:
-    """The lexicon of all pages, and the counts of the rest: of words (lida, n) and line forms (chave, a, b), None
+    """The lexicon of all different texts of pages, and the counts of the rest: of words (lida, n) and line forms (chave, a, b), None
     where there is none. Read by the driver are the words of at least `WORD_SHARE` of all words (at most
     1 / WORD_SHARE of them) and the line forms that are at least `FORM_SHARE` of the edge lines."""
-    texts = paginas.where("texto <> ''").select("texto", F.coalesce("metodo", F.lit("")).alias("metodo"))
+    # a text counts once, however many pages are copies of it: copies are no further evidence
+    texts = paginas.where("texto <> ''").groupBy("texto").agg(F.max(F.when(F.col("metodo") == "ocr", F.lit("ocr")).otherwise(F.lit(""))).alias("metodo"))
     counts = materialize(texts.mapInArrow(_count, "tipo int, chave string, n long").groupBy("tipo", "chave").agg(F.sum("n").alias("n")), "contagens")
     total = {r["tipo"]: r["n"] for r in counts.groupBy("tipo").agg(F.sum("n").alias("n")).collect()}
     least, least_form = total.get(0, 0) * WORD_SHARE, max(1, total.get(1, 0) * FORM_SHARE)
@@ -554,9 +614,8 @@ def _prepared(paginas: DataFrame) -> tuple[DataFrame, Lexicon]:
     """The pages (pagina_id, n, texto, chaves, formas, seguinte, raras) with all that is asked of the corpus."""
     lexicon, rare, rare_forms = count_corpus(paginas)
     pages = paginas.where("metodo = 'ocr' and texto <> '' and pagina_id is not null").select(F.coalesce("documento_id", F.lit("")).alias("documento_id"), F.col("pagina_id").cast("long").alias("pagina_id"), F.col("n").cast("int").alias("n"), "texto").dropDuplicates(["pagina_id"])
-    edges = pages.mapInArrow(_edge_keys, "documento_id string, pagina_id long, chave long").distinct()
-    often = edges.groupBy("documento_id", "chave").agg(F.count("*").alias("paginas")).where("paginas >= 2 and documento_id <> ''").drop("paginas")
-    keys = edges.join(often, ["documento_id", "chave"]).groupBy("pagina_id").agg(F.collect_list("chave").alias("chaves"))
+    edges = materialize(pages.mapInArrow(_edge_keys, "documento_id string, pagina_id long, n int, lado int, chave long, linha string"), "bordas")
+    keys = _repeated(edges).groupBy("pagina_id").agg(F.collect_list("chave").alias("chaves"))
     kind = "array<struct<chave:string,a:bigint,b:bigint>>"
     if rare_forms is None:
         joined = pages.join(keys, "pagina_id", "left").withColumn("formas", F.lit(None).cast(kind))
@@ -565,9 +624,10 @@ def _prepared(paginas: DataFrame) -> tuple[DataFrame, Lexicon]:
         counted = asked.join(rare_forms, "chave").groupBy("pagina_id").agg(F.collect_list(F.struct("chave", "a", "b")).alias("formas"))
         joined = pages.join(keys, "pagina_id", "left").join(counted, "pagina_id", "left")
     joined = joined.select("documento_id", "pagina_id", "n", "texto", "chaves", "formas")
-    with_first = materialize(joined.mapInArrow(_firsts(lexicon), f"documento_id string, pagina_id long, n int, texto string, chaves array<long>, formas {kind}, primeira string"), "paginas")
+    with_first = materialize(joined.mapInArrow(_firsts(lexicon), f"documento_id string, pagina_id long, n int, texto string, chaves array<long>, formas {kind}, primeira string, cortada string"), "paginas")
     after = with_first.where("n is not null and documento_id <> ''").groupBy("documento_id", (F.col("n") - 1).alias("n")).agg(F.min_by("primeira", "pagina_id").alias("seguinte"))
-    ready = with_first.join(after, ["documento_id", "n"], "left").select("pagina_id", "n", "texto", "chaves", "formas", "seguinte")
+    before = with_first.where("n is not null and documento_id <> '' and cortada is not null").groupBy("documento_id", (F.col("n") + 1).alias("n")).agg(F.min_by("cortada", "pagina_id").alias("anterior"))
+    ready = with_first.join(after, ["documento_id", "n"], "left").join(before, ["documento_id", "n"], "left").select("pagina_id", "n", "texto", "chaves", "formas", "seguinte", "anterior")
     if rare is None:
         return ready.withColumn("raras", F.lit(None).cast("array<struct<lida:string,n:bigint>>")), lexicon
     asks = ready.mapInArrow(_asks(lexicon), "pagina_id long, palavra string, leituras boolean")
@@ -583,7 +643,7 @@ def find_damage(paginas: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at, kinds = [], [], []
-            for page, n, text, keys, forms, after, rare in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for page, n, text, keys, forms, after, rare in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5, 7))):
                 lexicon.take(forms, rare)
                 for i, kind in page_cases(text, n, set(keys or ()), after, lexicon):
                     ids.append(page), at.append(i), kinds.append(kind)
@@ -592,16 +652,17 @@ def find_damage(paginas: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, "pagina_id long, linha int, tipo string")
 
 
-def repair_pages(paginas: DataFrame) -> DataFrame:
-    """The pages read by OCR as continuous paragraphs: pagina_id, texto. A word cut by the page's end stays cut."""
+def repair_pages(paginas: DataFrame, join_pages: bool = False) -> DataFrame:
+    """The pages read by OCR as continuous paragraphs: pagina_id, texto. A word cut by the page's end stays cut, or,
+    with `join_pages`, is completed from the next page of its document, where its rest is left out."""
     pages, lexicon = _prepared(paginas)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for n, text, keys, forms, after, rare in zip(*(batch.column(i).to_pylist() for i in range(1, 7))):
+            for n, text, keys, forms, after, before, rare in zip(*(batch.column(i).to_pylist() for i in range(1, 8))):
                 lexicon.take(forms, rare)
-                out.append(repair(text, n, set(keys or ()), after, lexicon))
+                out.append(repair(text, n, set(keys or ()), after if join_pages else None, lexicon, before if join_pages else None))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["pagina_id", "texto"])
 
     return pages.mapInArrow(run, "pagina_id long, texto string")

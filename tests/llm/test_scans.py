@@ -59,3 +59,51 @@ def test_shares_decide_nothing(spark, monkeypatch):
     monkeypatch.setattr(scans, "FORM_SHARE", 0.2)
     assert {tuple(r) for r in scans.find_damage(pages(spark, rows + rare)).collect()} == whole
     assert {tuple(r) for r in scans.repair_pages(pages(spark, rows + rare)).collect()} == fixed
+
+
+def test_words_over_page_ends(spark):
+    first = "RELATÓRIO Nº 9\n\nA comissão de licitação reapresentou a proposta no almoxa-\n\n— 4 —"
+    second = "RELATÓRIO Nº 9\n\nrifado. O contrato do fornecedor e o sócio-\n\n— 5 —"
+    third = "RELATÓRIO Nº 9\n\ngerente da secretaria. A proposta da comis-\n\n— 6 —"
+    rows = [(1, "d", 4, "ocr", first, None), (2, "d", 5, "ocr", second, None), (3, "d", 6, "ocr", third, None), (4, "d", 8, "ocr", "são de preços.", None), (5, None, 6, "ocr", "são de preços.", None)]
+    fixed = {r["pagina_id"]: r["texto"] for r in scans.repair_pages(pages(spark, rows), join_pages=True).collect()}
+    assert fixed == {
+        1: "A comissão de licitação reapresentou a proposta no almoxarifado.", 2: "O contrato do fornecedor e o sócio-gerente",
+        3: "da secretaria. A proposta da comis-", 4: "são de preços.", 5: "são de preços.",
+    }
+
+
+def test_copies_change_nothing(spark):
+    """The verdict on a page doesn't depend on how often it was delivered."""
+    rows = [(10 * d + n, f"d{d}", n, "ocr", f"RELATÓRIO {['da Obra', 'de Voo'][d]}\n\nA comissão de licita-\nção reapresentou a prop0sta de precos do fornecedor.\nO guarda-\nchuva do socio.\n\n— {n} —", None) for d in range(2) for n in (1, 2, 3)]
+    alone = {tuple(r) for r in scans.find_damage(pages(spark, rows)).collect()}
+    copies = [(i + 1000 * k, f"{d}.{k}", n, m, t, x) for k in range(1, 20) for i, d, n, m, t, x in rows]
+    among = {tuple(r) for r in scans.find_damage(pages(spark, rows + copies)).collect()}
+    assert alone and {r for r in among if r[0] < 1000} == alone
+
+
+def test_headers_nearly_alike(spark):
+    """Damage beyond the known confusions doesn't hide a running line; sentences that are alike are none."""
+    heads = ["Tribunal de Contas da Vila", "Trjbvnal de Conkas da Vila", "Tribunal de Contas da Vjla"]
+    rows = [(n, "d", n, "ocr", f"{heads[n - 1]}\n\nForam ouvidas {n}77 pessoas no processo de contas da obra\nA comissão reapresentou a proposta de preços.", None) for n in (1, 2, 3)]
+    got = {tuple(r) for r in scans.find_damage(pages(spark, rows)).collect()}
+    assert {r for r in got if r[2] == "cabecalho"} == {(1, 1, "cabecalho"), (2, 1, "cabecalho"), (3, 1, "cabecalho")}
+
+
+def test_footers_in_small_letters(spark):
+    body = ["A comissão de licitação reapresentou a proposta", "de preços do fornecedor e o contrato", "com o sócio-gerente da secretaria", "no almoxarifado o contrato", "da comissão e a proposta do sócio-gerente", "o fornecedor do contrato", "e da secretaria com a proposta de preços"]
+    rows = []
+    for d in range(6):
+        for n in (1, 2):
+            k = (d + 3 * n) % 7
+            rows.append((10 * d + n, f"d{d}", n, "ocr", "\n".join([*body[k:], *body[:k], *body[k:], f"via arquivada – Vila {'ABCDEF'[d]}ria"]), None))
+    got = {tuple(r) for r in scans.find_damage(pages(spark, rows)).where("tipo = 'cabecalho'").collect()}
+    assert got == {(i, t.count("\n") + 1, "cabecalho") for i, _, _, _, t, _ in rows}
+
+
+def test_long_lines_and_many_odd_signs(spark):
+    head = "Secretaria " + " ".join(f"Nome{i}" for i in range(60))
+    assert scans.line_form(head + " de 1") != scans.line_form(head + " do 1")
+    assert "secretaria" in set(scans._readings("53cr3t4r14"))
+    next_first = "x" * 5000 + "y"
+    assert scans._FIRST.match(next_first)[0] == next_first
