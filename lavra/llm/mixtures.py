@@ -9,6 +9,7 @@ come out as exactly as the documents do. The sums go by buckets first, so no sou
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,8 +22,10 @@ from lavra.session import materialize
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Slices of each class of length, and classes for each doubling of length.
 SLICES, CLASSES = 256, 8
-#: Longest text given to the tokenizer at once, in characters; longer ones are cut at white space.
+#: Characters after which a long text is given to the tokenizer in parts, at the next blank between two letters: a
+#: tokenizer's words begin there anyway, so the parts have as many tokens as the whole.
 CHUNK = 100_000
+_BETWEEN = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 
 
 @lru_cache(maxsize=4)
@@ -41,10 +44,8 @@ def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
         return 0
     encoding, n, at = _encoding(path), 0, 0
     while at < len(text):
-        end = at + CHUNK
-        if end < len(text):
-            space = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-            end = space if space > at else end
+        place = _BETWEEN.search(text, at + CHUNK)
+        end = place.start() if place else len(text)
         n += len(encoding.encode_ordinary(text[at:end]))
         at = end
     return n
@@ -67,7 +68,7 @@ def _targets(sized: DataFrame, mixes: DataFrame, total_tokens: int | None) -> Da
     all it has as many tokens as the documents of its sources."""
     held = sized.groupBy("source").agg(F.sum("tokens").alias("tokens_fonte"), F.count("*").alias("documentos")).where("tokens_fonte > 0")
     wanted = mixes.where("mistura is not null and source is not null and peso > 0").groupBy("mistura", "source").agg(F.sum(F.col("peso").cast("double")).alias("peso"), F.min("max_repeticoes").alias("limite"))
-    both = wanted.join(held, "source", "left")
+    both = wanted.join(held, "source", "left").withColumn("tokens_fonte", F.when(F.coalesce("limite", F.lit(1)) > 0, F.col("tokens_fonte")))
     mix = Window.partitionBy("mistura")
     both = both.withColumn("alvo", F.when(F.col("tokens_fonte").isNotNull(), F.col("peso") / F.sum(F.when(F.col("tokens_fonte").isNotNull(), F.col("peso"))).over(mix)))
     room = F.min(F.when(F.col("limite").isNotNull(), F.col("limite") * F.col("tokens_fonte") / F.col("alvo"))).over(mix)
@@ -102,7 +103,7 @@ def _plan(documents: DataFrame, mixes: DataFrame, seed: int, total_tokens: int |
 def select_mixture(documents: DataFrame, mixes: DataFrame, seed: int = 7, total_tokens: int | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
     """The documents chosen for each mistura: mistura, source, doc_id, tokens, copias (never more than the cap,
     where it is a whole number). Documents with a null or unlisted source or an empty text are not used;
-    sources without documents give none, and their weight falls to the others in proportion. Weights may be on
+    sources without documents, or with a cap of 0, give none, and their weight falls to the others in proportion. Weights may be on
     any scale; several rows of one mistura and source add up, and the lowest cap holds."""
     return _plan(documents, mixes, seed, total_tokens, tokenizer)[0]
 

@@ -1,8 +1,8 @@
 """Oversized passages in pieces under a limit, cut at natural boundaries.
 
-Method: a passage is a tree: paragraphs (between blank lines; a heading stays with what it heads), list items and
-marked headings, sentences, words, characters. Siblings are merged from the bottom up as far as the limit allows, and only nodes beyond the
-limit are opened. Each piece but the first begins with the end of the one before, cut at white space.
+Method: a passage is a tree: sections under headings (ranked by marks, tags or numbers), paragraphs between blank
+lines, list items by their indentation, sentences, words, characters. Sibling subtrees are merged from the bottom up as
+far as the limit allows, and only nodes beyond the limit are opened; a heading stays with what it heads. Each piece but the first begins with the end of the one before, cut at white space.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ from lavra.llm import sentences
 LIMIT, OVERLAP = 1200, 120
 LEVELS = ["paragrafo", "frase", "palavra", "nenhuma"]
 _RUN = re.compile(r"\S+")
-#: Lines that begin an item of a list, or are a heading by markup.
-_ITEM = re.compile(r"^[ \t]*(?:[-•*–—▪●◦]|#{1,6}|\(?\d{1,3}(?:\.\d{1,3})*[.)º]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}[.)])[ \t]+\S", re.M)
+#: Headings by markup and by number, and lines that begin an item of a list or are a heading by markup.
+_HEADING = re.compile(r"\s*(?:(?P<marks>#{1,6})\s|<h(?P<tag>[1-6])\b)", re.I)
+_NUMBERED = re.compile(r"\s*(\d{1,3}(?:\.\d{1,3})*)[.)º]?\s+\S")
+_ITEM = re.compile(r"^(?P<indent>[ \t]*)(?:<li\b[^>]*>|(?:[-•*–—▪●◦]|#{1,6}|\(?\d{1,3}(?:\.\d{1,3})*[.)º]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}[.)])[ \t]+\S)", re.M)
 
 
 def _children(text: str, begin: int, stop: int, level: int, model: sentences.Model) -> list[tuple[int, int]]:
     """The parts of a node one level down, each without white space around it."""
-    if level == 0:
-        return [(begin + a, begin + b) for a, b in sentences.paragraphs(text[begin:stop])]
     if level == 1:
         out, at = [], begin
         for end in sentences.boundaries(text, begin, stop, model):
@@ -40,70 +40,108 @@ def _children(text: str, begin: int, stop: int, level: int, model: sentences.Mod
     return [m.span() for m in _RUN.finditer(text, begin, stop)]
 
 
-def _items(text: str, begin: int, stop: int) -> list[tuple[int, int]]:
-    """The list items and marked headings of a paragraph with the lines that go on from them; what comes before the
-    first is a part too. One part where there are none."""
-    starts = [m.start() for m in _ITEM.finditer(text, begin, stop)]
+Unit = tuple[int, int, "int | None"]  # begin, end, and the rank of a heading or list item
+
+
+def _rank(line: str) -> int | None:
+    """The rank of a heading: by marks or tags, by the depth of its number, or the lowest for a short line of its own."""
+    if match := _HEADING.match(line):
+        return len(match["marks"]) if match["marks"] else int(match["tag"])
+    if len(line) > 80 or "\n" in line or line[-1] in ".,;:!?…。":
+        return None
+    number = _NUMBERED.match(line)
+    return 10 + number[1].count(".") if number else 20
+
+
+def _parts(text: str, begin: int, stop: int) -> list[Unit]:
+    """The paragraphs of a node, with the ranks of those that are headings."""
+    found = [(begin + a, begin + b) for a, b in sentences.paragraphs(text[begin:stop])]
+    return [(a, b, _rank(text[a:b])) for a, b in found]
+
+
+def _items(text: str, begin: int, stop: int) -> list[Unit]:
+    """The list items and marked headings of a paragraph with the lines that go on from them, ranked by their
+    indentation; what comes before the first is a part too. One part where there are none."""
+    starts = [(m.start(), len(m["indent"].expandtabs(4))) for m in _ITEM.finditer(text, begin, stop)]
     out = []
-    for a, b in zip([begin, *starts], [*starts, stop]):
+    for (a, rank), (b, _) in zip([(begin, None), *starts], [*starts, (stop, None)]):
         part = text[a:b]
         if part.strip():
-            out.append((a + len(part) - len(part.lstrip()), a + len(part.rstrip())))
+            out.append((a + len(part) - len(part.lstrip()), a + len(part.rstrip()), rank))
     return out
 
 
-def boundary(text: str, limit: int, model: sentences.Model) -> str:
-    """The first level at which no part is beyond the limit."""
-    nodes = [(0, len(text))]
-    for level in range(3):
-        nodes = [c for a, b in nodes if b - a > limit for c in _children(text, a, b, level, model)]
-        if all(b - a <= limit for a, b in nodes):
-            return LEVELS[level]
-    return LEVELS[3]
+def _branches(units: list[Unit]) -> list[list[Unit]]:
+    """The subtrees of a node: what each of its highest headings or outermost items heads; single units where none of
+    them heads anything."""
+    ranks = [r for _, _, r in units[1:] if r is not None]
+    if not ranks:
+        return [[u] for u in units]
+    top, out = min(ranks), [[units[0]]]
+    for unit in units[1:]:
+        if unit[2] == top:
+            out.append([unit])
+        else:
+            out[-1].append(unit)
+    return out
+
+
+def _leaves(text: str, room: int, model: sentences.Model, lists: bool) -> list[tuple[int, int, int, bool]]:
+    """The parts of a text within `room`: begin, end, the level at which the tree was opened for them, and whether the
+    part is a heading alone. Siblings are merged from the bottom up; only nodes beyond `room` are opened."""
+    leaves: list[tuple[int, int, int, bool]] = []
+
+    def pack(branches: list[list[Unit]], level: int, headed: bool = False) -> None:
+        merged: list[list[Unit]] = []
+        for branch in branches:
+            if merged and branch[-1][1] - merged[-1][0][0] <= room:
+                merged[-1] += branch
+            else:
+                merged.append([*branch])
+                if headed and len(merged) > 1 and len(merged[-2]) > 1 and merged[-2][-1][2] is not None and branch[-1][1] - merged[-2][-1][0] <= room:
+                    merged[-1].insert(0, merged[-2].pop())  # a heading moves on with what it heads
+        for group in merged:
+            begin, stop = group[0][0], group[-1][1]
+            if stop - begin <= room:
+                leaves.append((begin, stop, level, headed and len(group) == 1 and group[0][2] is not None))
+            elif len(group) > 1:
+                pack(_branches(group), level, headed)
+            else:
+                open_node(begin, stop, level)
+
+    def open_node(begin: int, stop: int, level: int) -> None:
+        if level > 2:
+            leaves.extend((a, min(a + room, stop), 4, False) for a in range(begin, stop, room))
+            return
+        items = _items(text, begin, stop) if lists and level == 1 else []
+        if len(items) > 1:
+            pack(_branches(items), level)
+        else:
+            pack([[(a, b, None)] for a, b in _children(text, begin, stop, level, model)] if level else _branches(_parts(text, begin, stop)), level + 1, headed=not level)
+
+    size = len(text.rstrip())
+    begin = len(text) - len(text.lstrip())
+    if size - begin <= room:
+        return [(begin, size, 0, False)]
+    open_node(begin, size, 0)
+    return leaves
 
 
-def _heading(text: str, begin: int, stop: int) -> bool:
-    part = text[begin:stop]
-    return len(part) <= 80 and "\n" not in part and part[-1] not in ".,;:!?…。"
+def boundary(text: str, limit: int, model: sentences.Model) -> str:
+    """The first kind of boundary that suffices: the deepest level at which the packing opens the tree. Lists aren't
+    nodes here, for a line break alone is no kind of its own."""
+    return LEVELS[max(1, max(level for _, _, level, _ in _leaves(text, limit, model, lists=False))) - 1]
 
 
 def cut(text: str, limit: int, overlap: int, model: sentences.Model) -> list[tuple[int, int]]:
     """Begin and end of the pieces, of at most `limit` characters with what they share with the piece before."""
     room = limit - overlap
-    leaves: list[tuple[int, int, bool]] = []  # parts within `room`, and whether the next one stays with it
-
-    def open_node(begin: int, stop: int, level: int) -> None:
-        if stop - begin <= room:
-            leaves.append((begin, stop, False))
-        elif level > 2:
-            leaves.extend((a, min(a + room, stop), False) for a in range(begin, stop, room))
-        else:
-            items = _items(text, begin, stop) if level == 1 else []
-            kids = items if len(items) > 1 else _children(text, begin, stop, level, model)
-            merged: list[list[int]] = []
-            for k, (a, b) in enumerate(kids):
-                kept = level == 0 and k and _heading(text, *kids[k - 1])
-                if merged and b - merged[-1][0] <= room:
-                    merged[-1][1] = b
-                elif kept and merged and merged[-1][0] < kids[k - 1][0] and b - kids[k - 1][0] <= room:
-                    merged[-1][1] = kids[k - 2][1]  # the heading moves on with its paragraph
-                    merged.append([kids[k - 1][0], b])
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                if b - a <= room:
-                    leaves.append((a, b, False))
-                else:
-                    open_node(a, b, level if len(items) > 1 else level + 1)
-
     if len(text) <= limit:
         return [(0, len(text))]
-    size = len(text.rstrip())
-    open_node(len(text) - len(text.lstrip()), size, 0)
     out: list[tuple[int, int]] = []
     packed: list[list[int]] = []
-    for a, b, _ in leaves:  # what was opened may still go with its neighbours
-        if packed and b - packed[-1][0] <= room:
+    for a, b, _, heading in _leaves(text, room, model, lists=True):  # what was opened may still go with its neighbours
+        if packed and b - packed[-1][0] <= room and not heading:
             packed[-1][1] = b
         else:
             packed.append([a, b])

@@ -1,7 +1,8 @@
 """Sentence boundaries across languages and scripts.
 
 Method: a hidden-event n-gram model. Between the tokens around every possible end (an end mark with closing
-quotes, a space between Thai words) a boundary token may stand; the model gives P(boundary | token before) and
+quotes, a space between Thai words, any two signs of a Chinese or Japanese paragraph without end marks) a boundary
+token may stand; the model gives P(boundary | token before) and
 P(token after | boundary or not), with classes to back off to. It is trained without labels, by
 expectation maximisation over the counts of all texts, where blank lines show boundaries and small letters show
 their absence. Neighbouring events are tied by the length of what lies between them; forward-backward
@@ -28,23 +29,31 @@ ROUNDS = 8
 CAUTION = 0.6
 #: Types seen less often speak through their class.
 LEAST_SEEN = 20
+#: Events that the share of all pairs of signs counts as, beside a pair's own.
+SIGN_WEIGHT = 20
 #: Events that the class of a type counts as, beside the type's own.
 WEIGHT = 20
 #: A token rare at beginnings speaks no louder than this (log) against a boundary: any name may begin a sentence.
 LEAST = -3.0
-#: Marks that end sentences by themselves wherever no small letter follows.
-PLAIN = {"!", "?", "।", "॥", "؟", "۔", "。", "！", "？", "｡"}
+#: Marks that end sentences by themselves wherever no small letter follows, and the prior of these and of spaces between
+#: words of scripts that write sentences apart so.
+PLAIN = {"!", "?", "।", "॥", "؟", "۔", "。", "！", "？", "｡", "។", "៕", "။"}
+PLAIN_PRIOR = 0.98
 PARAGRAPH, INSIDE = "¶", "·"
 
 _CLOSERS = "\"'”’»)\\]」』）〉》“›"
 _END = re.compile(
-    rf"[.!?…؟।॥۔]+(?:[{_CLOSERS}]|(?:[   ]»))*(?=\s|$)"  # marks before white space
+    rf"[.!?…؟।॥۔។៕။]+(?:[{_CLOSERS}]|(?:[   ]»))*(?=\s|$)"  # marks before white space
     rf"|[。！？｡]+[{_CLOSERS}]*"  # marks of scripts without spaces
     r"|(?<=[ก-๏])(?=[  ]+[ก-๏A-ZÀ-Þ])|(?<=[^\W\d_])(?=[  ]+[ก-๎])"  # spaces beside Thai letters
 )
 _MARKED = re.compile(rf"[.!?…][{_CLOSERS}]*$")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _THAI = re.compile(r"[ก-๏]")
+#: Runs of Chinese and Japanese signs; a paragraph of this many without any end mark has events between all of them.
+_CJK = re.compile(r"[々-ヿ一-鿿]+")
+_CJK_END = re.compile(r"[。！？｡!?]")
+UNMARKED = 40
 #: Tokens inside sentences: after a letter and a space, or in scripts without spaces after another sign.
 _INNER = re.compile(r"(?<=[^\W\d_] )(?![a-zà-öø-ÿก-๏])\S|(?<=[぀-ヿ一-鿿，、」”])[぀-ヿ一-鿿]")
 _OPENERS = "\"'«“„‘‚‹「『（([¿¡—–-•*"
@@ -123,6 +132,9 @@ def events(text: str, begin: int, stop: int) -> list[tuple[int, int, str, str, s
     out = []
     while stop > begin and text[stop - 1].isspace():
         stop -= 1
+    if _unmarked(text, begin, stop):
+        for match in _CJK.finditer(text, begin, stop):
+            out += [(k, k, f"z{text[k - 2 : k]}", "CJKz", text[k], "cjk") for k in range(match.start() + 2, match.end())]
     for match in _END.finditer(text, begin, stop):
         at, end = match.span()
         if end >= stop or at == begin:
@@ -132,7 +144,13 @@ def events(text: str, begin: int, stop: int) -> list[tuple[int, int, str, str, s
             continue  # a number before a heading or an entry of a list
         right, right_class = _right(text, end) if end < stop else (PARAGRAPH, PARAGRAPH)
         out.append((at, end, left, left_class, right, right_class))
-    return out
+    return sorted(out)
+
+
+def _unmarked(text: str, begin: int, stop: int) -> bool:
+    """Whether a paragraph is of Chinese or Japanese signs and holds no end mark."""
+    signs = sum(m.end() - m.start() for m in _CJK.finditer(text, begin, stop))
+    return signs >= UNMARKED and 2 * signs > stop - begin and not _CJK_END.search(text, begin, stop)
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -149,10 +167,8 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
             at = match.end()
 
 
-def _forced(left_class: str, right_class: str) -> bool | None:
-    """What is known without the model: no sentence begins with a small letter, Thai spaces divide."""
-    if left_class == "TH":
-        return True
+def _forced(right_class: str) -> bool | None:
+    """What is known without the model: no sentence begins with a small letter."""
     return False if right_class == "lower" or right_class in ",;:" else None
 
 
@@ -167,13 +183,21 @@ class Model:
         self.known_right: set[str] = set()
         self.starts = self.insides = 1.0
         self.rate = [0.2, 0.2]
+        self.signs: dict[str, tuple[float, float]] = {}  # pairs of signs before ends and elsewhere; "" for all
         self.cache: dict[tuple[str, str, str, str], float] = {}
 
     def odds(self, left: str, left_class: str, right: str, right_class: str) -> float:
         """Log odds of a boundary from the n-grams around it."""
-        forced = _forced(left_class, right_class)
+        forced = _forced(right_class)
         if forced is not None:
             return 20.0 if forced else -20.0
+        if left_class == "CJKz":
+            ends, inner = self.signs.get(left, (0.0, 0.0))
+            all_ends, all_inner = self.signs.get("", (0.0, 1.0))
+            p = (ends + SIGN_WEIGHT * all_ends / (all_ends + all_inner)) / (ends + inner + SIGN_WEIGHT)
+            r = right if right in self.known_right else f"#{right_class}"
+            s, o = (self.start.get(r, 0.0) + 0.2) / (self.starts + 10), (self.inside.get(r, 0.0) + 0.2) / (self.insides + 10)
+            return math.log(max(p, 1e-6) / max(1 - p, 1e-6)) + max(LEAST, math.log(s / o))
         key = (left, left_class, right, right_class)
         found = self.cache.get(key)
         if found is None:
@@ -182,7 +206,7 @@ class Model:
             ends, inner = self.left.get(f"#{left_class}", (0.0, 0.0))
             prior = min(0.98, (ends / rate + (0.3 if left_class[0] in "Xx" else 2.0)) / (inner + 3.0))  # initials seldom end one
             ends, inner = self.left.get(left, (0.0, 0.0))
-            p = 0.98 if left in PLAIN else min(1 - 0.5 / (inner + WEIGHT), (ends / rate + WEIGHT * prior) / (inner + WEIGHT))
+            p = PLAIN_PRIOR if left in PLAIN or left_class == "TH" else min(1 - 0.5 / (inner + WEIGHT), (ends / rate + WEIGHT * prior) / (inner + WEIGHT))
             r = right if right in self.known_right else f"#{right_class}"
             s = (self.start.get(r, 0.0) + 0.2) / (self.starts + 10)
             o = (self.inside.get(r, 0.0) + 0.2) / (self.insides + 10)
@@ -198,7 +222,12 @@ def train(rows: list[tuple[str, str, str, str, float]]) -> Model:
     lefts: Counter[str] = Counter()
     rights: Counter[str] = Counter()
     total = 0.0
-    for left, _, right, _, n in rows:
+    signs: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for left, lc, right, _, n in rows:
+        if lc == "CJKz":
+            for key in (left, ""):
+                signs[key][right != PARAGRAPH] += n
+            continue
         lefts[left] += n
         rights[right] += n
         total += n
@@ -208,6 +237,8 @@ def train(rows: list[tuple[str, str, str, str, float]]) -> Model:
         new.known_left = {k for k, n in lefts.items() if n >= max(LEAST_SEEN, total * SHARE) and k[0] not in "?"}
         new.known_right = {k for k, n in rights.items() if n >= max(LEAST_SEEN, total * SHARE) and k[0] != "?"}
         for left, lc, right, rc, n in rows:
+            if lc == "CJKz":
+                continue
             r = right if right in new.known_right else f"#{rc}"
             if left == PARAGRAPH:  # how sentences begin is seen at the beginnings of paragraphs
                 new.start[r] += n
@@ -221,7 +252,7 @@ def train(rows: list[tuple[str, str, str, str, float]]) -> Model:
                 continue
             if rc == PARAGRAPH:
                 q = 1.0
-            elif (forced := _forced(lc, rc)) is not None:
+            elif (forced := _forced(rc)) is not None:
                 q = float(forced)
             else:  # in the first round the beginnings and ends of paragraphs alone speak
                 q = None if turn == 0 else 1 / (1 + math.exp(-max(-30.0, min(30.0, model.odds(left, lc, right, rc)))))
@@ -237,6 +268,7 @@ def train(rows: list[tuple[str, str, str, str, float]]) -> Model:
         new.rate = [CAUTION * min(1.0, max(0.005, (a + 1) / (b + 5))) for a, b in sure]
         model = new
     model.left, model.start, model.inside = dict(model.left), dict(model.start), dict(model.inside)
+    model.signs = {k: (a, b) for k, (a, b) in signs.items()}
     model.cache = {}
     return model
 
@@ -310,6 +342,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen[(*_left(text, begin, last.start(), stop), PARAGRAPH, PARAGRAPH)] += 1
                 if stop - begin > 60:  # headings begin otherwise than sentences
                     seen[(PARAGRAPH, PARAGRAPH, *_right(text, begin))] += 1
+                for match in _CJK.finditer(text, begin, stop):
+                    run, last = match[0], match.end()
+                    seen.update(("z" + run[k : k + 2], "CJKz", INSIDE, INSIDE) for k in range(len(run) - 2))
+                    if len(run) > 1:
+                        ended = last < stop and text[last] in "。！？｡"
+                        seen[(f"z{run[-2:]}", "CJKz", *((PARAGRAPH, PARAGRAPH) if ended else (INSIDE, INSIDE)))] += 1
                 part = text[begin:stop]
                 for match in _INNER.finditer(part):
                     seen[(INSIDE, INSIDE, *_right(part, match.start()))] += 1
@@ -323,7 +361,7 @@ def fit(texts: DataFrame, column: str) -> Model:
     counted = texts.where(F.col(column) != "").select(column).mapInArrow(_count, _EVENTS)
     names = ["antes", "classe_antes", "depois", "classe_depois"]
     counts = materialize(counted.groupBy(*names).agg(F.sum("n").alias("n")), "eventos")
-    total = counts.agg(F.sum("n")).first()[0] or 0.0
+    total = counts.where("classe_antes <> 'CJKz'").agg(F.sum("n")).first()[0] or 0.0
     least = total * SHARE / 4
     own = lambda c, k: F.when(F.col("n") >= least, F.col(c)).when(F.col(c) == PARAGRAPH, F.col(c)).otherwise(F.concat(F.lit("?"), F.col(k)))
     kept = counts.select(own("antes", "classe_antes").alias("antes"), "classe_antes", own("depois", "classe_depois").alias("depois"), "classe_depois", "n").groupBy(*names).agg(F.sum("n").alias("n"))

@@ -29,7 +29,7 @@ KNOWN_FIRST, KNOWN_WORD = 1 / 2000, 1 / 300
 #: A word of firms is known by its share of cases too, for a brand may be frequent in one case.
 KNOWN_CASES = 1 / 50
 ROUNDS = 12
-#: Letters beyond which a word gets a single key.
+#: Letters beyond which a word's keys are its halves, so that their number is bounded.
 LONG_WORD = 40
 
 # Titles, words that tell relatives apart, legal forms, and nicknames by first name.
@@ -270,8 +270,8 @@ def _activity(word: str, words: set[str]) -> bool:
 def _deleted(word: str) -> set[str]:
     """What is left of a word's sound, and of that with one sign left out: words one error apart share one."""
     s = _letters(word)
-    if len(s) > LONG_WORD:  # such a word is no name; one key without its errors will do
-        return {f"={xxhash.xxh3_64_hexdigest(sound(word))}"}
+    if len(s) > LONG_WORD:  # one error leaves the first or the last half as it is, whichever length it makes
+        return {f"={xxhash.xxh3_64_hexdigest(part)}" for h in ((len(s) - 1) // 2, len(s) // 2) for part in (f"^{s[:h]}", f"{s[-h:]}$")}
     return {sound(word), s, *(s[:i] + s[i + 1 :] for i in range(len(s)))} if len(s) > 3 else {sound(word), s}
 
 

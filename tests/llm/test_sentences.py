@@ -90,3 +90,39 @@ def test_passages(spark):
     with pytest.raises(ValueError):
         pieces.split_passages(rows, pages, 100, 100)
     assert pieces.classify(rows.limit(0)).count() == 0
+
+
+def test_scripts_without_marks(spark):
+    """Chinese and Japanese paragraphs whose marks were taken away, held against where these stood."""
+    import random
+
+    rng = random.Random(4)
+    nouns, verbs, places = ["检查员", "委员会", "供应商", "秘书处", "工程师"], ["收到了合同", "拒绝了报价", "检查了仓库", "签署了文件", "提交了报告"], ["昨天", "在会议上", "按照规定", "上个月"]
+    one = lambda: rng.choice(places) + rng.choice(nouns) + rng.choice(verbs) + rng.choice(["", "和附件", "两次"])
+    texts = ["。".join(one() for _ in range(6)) + "。" for _ in range(400)]
+    fitted = sentences.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text")
+    right = found = both = 0
+    for _ in range(40):
+        known = [one() for _ in range(6)]
+        ends, at = set(), 0
+        for s in known[:-1]:
+            at += len(s)
+            ends.add(at)
+        got = {b for _, b in sentences.split("".join(known), fitted)} - {sum(map(len, known))}
+        right, found, both = right + len(ends), found + len(got), both + len(ends & got)
+    assert both >= 0.9 * right and both >= 0.9 * found
+    assert [t for a, b in sentences.split(texts[0], fitted) for t in [texts[0][a:b]]] == [s + "。" for s in texts[0].split("。") if s]
+
+
+def test_tree_of_pieces(model):
+    """Sections go together, cuts come before headings and items, and nested items stay with theirs."""
+    body = sentence(260).capitalize()
+    text = "\n\n".join([f"# Parte {k}\n\n## Item {k}.1\n\n{body}\n\n## Item {k}.2\n\n{body}" for k in range(3)])
+    assert [text[a:b].split("\n")[0] for a, b in pieces.cut(text, 700, 0, model)] == ["# Parte 0", "# Parte 1", "# Parte 2"]
+    assert [text[a:b].split("\n")[0] for a, b in pieces.cut(text, 400, 0, model)] == ["# Parte 0", "## Item 0.2", "# Parte 1", "## Item 1.2", "# Parte 2", "## Item 2.2"]
+    rows = "\n".join(f"- ponto {k} {'x' * 60}\n  - parte a {'y' * 60}\n  - parte b {'z' * 60}" for k in range(9))
+    assert all(rows[a:b].startswith("- ponto") for a, b in pieces.cut(rows, 520, 0, model))
+    numbered = "\n\n".join(f"{k}. Tema\n\n{k}.1 Causa\n\n{body}\n\n{k}.2 Efeito\n\n{body}" for k in (1, 2))
+    assert [numbered[a:b].split("\n")[0] for a, b in pieces.cut(numbered, 330, 0, model)] == ["1. Tema", "1.2 Efeito", "2. Tema", "2.2 Efeito"]
+    tags = "\n\n".join(f"<h2>Seção {k}</h2>\n\n<p>{body}</p>" for k in range(4))
+    assert [tags[a:b][:4] for a, b in pieces.cut(tags, 320, 0, model)] == ["<h2>"] * 4
