@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with accents and what they fold to, sign for sign.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
+
+
+def _letters() -> tuple[str, str]:
+    """Letters that Unicode decomposes into one other sign and marks, and these signs, place by place."""
+    found = {}
+    for code in range(0xC0, 0x2200):
+        whole = unicodedata.normalize("NFD", chr(code))
+        bare = "".join(c for c in whole if not unicodedata.combining(c))
+        if len(bare) == 1 and bare != chr(code):
+            found[chr(code)] = bare
+    return "".join(found), "".join(found.values())
+
+
+ACCENTED, PLAIN = _letters()
 # Words that carry no meaning in a question.
 STOPWORDS = (
     "a o as os um uma uns umas de do da dos das em no na nos nas por pelo pela pelos pelas para com sem sob sobre entre ate e ou que qual quais "
@@ -21,6 +34,11 @@ def fold(c: Column) -> Column:
     return F.lower(F.translate(c, ACCENTED, PLAIN))
 
 
+def fold_word(word: str) -> str:
+    """As `fold`, for a word of a query."""
+    return word.translate(str.maketrans(ACCENTED, PLAIN)).lower()
+
+
 def clean_breaks(c: Column) -> Column:
     """Line feeds only, no NUL, no blanks before line ends, at most one blank line, nothing around."""
     c = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "\x00", "")

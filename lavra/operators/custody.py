@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def by_content(files: DataFrame, path: str = "caminho", digest: str = "sha256") -> DataFrame:
     """Files with the same content as one: sha256, documento_id (its first 16 digits), caminho (the first by order),
-    caminhos, copias. Partial groups come first, so a content that many files share stays distributed."""
-    grouped = files.where(F.col(digest).isNotNull()).groupBy(F.col(digest).alias("sha256")).agg(F.array_sort(F.collect_set(path)).alias("caminhos"), F.count("*").alias("copias"))
-    return grouped.select("sha256", F.substring("sha256", 1, 16).alias("documento_id"), F.try_element_at("caminhos", F.lit(1)).alias("caminho"), "caminhos", "copias")
+    copias. Only the least path and a number are kept of each group, however many files share a content."""
+    grouped = files.where(F.col(digest).isNotNull()).groupBy(F.col(digest).alias("sha256")).agg(F.min(path).alias("caminho"), F.count("*").alias("copias"))
+    return grouped.select("sha256", F.substring("sha256", 1, 16).alias("documento_id"), "caminho", "copias")
 
 
 def pending(current: DataFrame, done: DataFrame, version: str, params: str = "{}") -> DataFrame:
@@ -35,12 +35,25 @@ def manifest(documents: DataFrame, extraction: list[str]) -> DataFrame:
 
 
 def manifest_hash(rows: DataFrame) -> DataFrame:
-    """One row: documentos, hash of the whole manifest. Rows are hashed apart and summed by xor over four words,
-    so no task sees them all and their order doesn't matter."""
-    text = F.to_json(F.struct(*sorted(rows.columns)))
-    word = lambda k: F.xxhash64(text, F.lit(k))
-    sums = rows.agg(F.count("*").alias("documentos"), *(F.bit_xor(word(k)).alias(f"_{k}") for k in range(4)))
-    return sums.select("documentos", F.lower(F.concat(*(F.lpad(F.hex(f"_{k}"), 16, F.lit("0")) for k in range(4)))).alias("hash"))
+    """One row: documentos, hash of the whole manifest: the SHA-256 of the sums, over all rows, of the eight words of
+    each row's SHA-256, and of their number. No task sees all rows, their order doesn't matter, and equal rows count
+    each time."""
+    digest = F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    word = lambda k: F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")
+    sums = rows.agg(F.count("*").alias("documentos"), *(F.coalesce(F.sum(word(k)), F.lit(0)).cast("string").alias(f"_{k}") for k in range(8)))
+    return sums.select("documentos", F.sha2(F.concat_ws(",", F.col("documentos").cast("string"), *(f"_{k}" for k in range(8))).cast("binary"), 256).alias("hash"))
+
+
+def tombstone(manifested: DataFrame, case: str, who: str, reason: str) -> DataFrame:
+    """The row that stays of a deleted case, for the log: caso, documentos, hash of its manifest, quem, motivo."""
+    return manifest_hash(manifested).select(F.lit(case).alias("caso"), "documentos", F.col("hash").alias("manifesto"), F.lit(who).alias("quem"), F.lit(reason).alias("motivo"))
+
+
+def unchanged(tasks: DataFrame, files: DataFrame) -> DataFrame:
+    """Tasks (caminho, sha256 when planned) with sha256_agora and erro where the file changed or went meanwhile."""
+    now = files.select("caminho", F.col("sha256").alias("sha256_agora"))
+    error = F.when(F.col("sha256_agora").isNull(), "arquivo ausente").when(F.col("sha256_agora") != F.col("sha256"), "arquivo mudou")
+    return tasks.join(now, "caminho", "left").withColumn("erro", error)
 
 
 def verify(expected: DataFrame, live: DataFrame) -> DataFrame:

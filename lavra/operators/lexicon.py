@@ -130,6 +130,8 @@ KINDS = [
     ("carta ou ofício", r"\b(prezad[oa]s?|ilustrissim[oa]|caro senhor|cara senhora)\b"),
     ("fax", r"\bfax\b.{0,40}\b(de|para|n[o.]?|pagina)"),
 ]
+# Pages of a document on which titles and wording, headers, a letter's closing and signs of a contract count.
+TITLE_PAGES, HEADER_PAGES, CLOSING_PAGES, SIGNS_PAGES = 2, 3, 6, 10
 LETTER_CLOSING = r"\b(atenciosamente|cordialmente|respeitosamente|saudacoes)\b"
 
 
@@ -149,7 +151,7 @@ def communication_kind(text: Column, headers: Column, chat_pairs: Column, act: C
     return reduce(lambda c, kind: c.when(begin.rlike(kind[1]) & (letter if kind[0] == "carta ou ofício" else F.lit(True)), kind[0]), KINDS, chain)
 
 
-def priorities(documents: DataFrame, key: str, text: str, kind: str | None = None, first_names: Iterable[str] = people.FIRST_NAMES) -> DataFrame:
+def priorities(documents: DataFrame, key: str, text: str, kind: str | None = None, first_names: Iterable[str] = ()) -> DataFrame:
     """Whether a document is to be read first, and why: key, prioridade, motivos. Two firms, two people, a
     message, a contract or a communication are reasons; `kind` names a column with the communication's kind."""
     base = documents.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("_k"))

@@ -12,11 +12,16 @@ from lavra.functions.text import name_key
 PALETTE = ["#4e79a7", "#f28e2b", "#59a14f", "#b07aa1", "#76b7b2", "#edc948", "#ff9da7", "#9c755f"]
 
 
-def mentions(messages: DataFrame) -> DataFrame:
+def once(messages: DataFrame) -> DataFrame:
+    """Each message once; of rows delivered twice any will do, for all their fields are equal."""
+    return messages.where("mensagem_id is not null").dropDuplicates(["mensagem_id"])
+
+
+def mentions(messages: DataFrame, delivered_once: bool = False) -> DataFrame:
     """One row per person and message: mensagem_id, papel (de, para, cc), nome, endereco, chave. Messages hold
     mensagem_id, de (struct), para and cc (arrays of struct<nome, endereco>); nulls are left out, and so are
     participants with neither name nor address. A message delivered twice counts once."""
-    rows = messages.where("mensagem_id is not null").dropDuplicates(["mensagem_id"])
+    rows = messages if delivered_once else once(messages)
     none = F.array().cast("array<struct<nome:string,endereco:string>>")
     role = lambda c, r: F.transform(F.coalesce(c, none), lambda p: F.struct(F.lit(r).alias("papel"), p["nome"].alias("nome"), F.lower(p["endereco"]).alias("endereco")))
     all_ = F.concat(role(F.array("de"), "de"), role(F.col("para"), "para"), role(F.col("cc"), "cc"))

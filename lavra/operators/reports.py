@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lavra.functions.dates import dates
 from lavra.operators.lexicon import TERMS, snippets, term_counts, triage
 
 # The report's limits, signs around a date in which a strong term counts, and the weight of one.
-PRIORITIES, DATES_SHOWN, VALUES_SHOWN, PLACES_SHOWN, PAIRS_SHOWN, NEAR, STRONG = 25, 300, 200, 8, 40, 300, 2
+PRIORITIES, DATES_SHOWN, VALUES_SHOWN, PLACES_SHOWN, PAIRS_SHOWN, ORGANISATIONS_SHOWN, NEAR, STRONG = 25, 300, 200, 8, 40, 30, 300, 2
 LOW_CONFIDENCE, FEW_WORDS = 70, 20
 
 
@@ -21,6 +21,30 @@ def overview(files: DataFrame, pages: DataFrame, messages: DataFrame) -> DataFra
     return d.crossJoin(p).crossJoin(m)
 
 
+def mails_by_date(messages: DataFrame, most: int = DATES_SHOWN) -> DataFrame:
+    """The report's list of messages (mensagem_id, data as an ISO text or null): the first `most` by date, undated last."""
+    return messages.withColumn("data", F.nullif(F.trim("data"), F.lit(""))).orderBy(F.asc_nulls_last("data"), "mensagem_id").limit(most)
+
+
+def mail_period(messages: DataFrame) -> DataFrame:
+    """One row: mensagens, com_data, primeira, ultima of messages with an ISO `data`."""
+    dated = F.when(F.trim("data") != "", F.col("data"))
+    return messages.agg(F.count("*").alias("mensagens"), F.count(dated).alias("com_data"), F.min(dated).alias("primeira"), F.max(dated).alias("ultima"))
+
+
+def strongest_pairs(pairs: DataFrame, most: int = PAIRS_SHOWN, crossing: bool = False) -> DataFrame:
+    """The report's pairs: most messages first; `crossing` keeps those between organisations."""
+    return (pairs.where("cruzada") if crossing else pairs).orderBy(F.desc("total"), "a", "b").limit(most)
+
+
+def entities_shown(values: DataFrame, most: int = VALUES_SHOWN) -> DataFrame:
+    """The report's values of each type: the `most` in most documents, their places, and how many more documents."""
+    listed = entity_directory(values)
+    place = F.row_number().over(Window.partitionBy("tipo").orderBy(F.desc("documentos"), "valor"))
+    more = F.greatest(F.col("documentos") - PLACES_SHOWN, F.lit(0))
+    return listed.withColumn("lugar", place).where(F.col("lugar") <= most).withColumn("outros", more)
+
+
 def first_to_read(texts: DataFrame, key: str, text: str, most: int = PRIORITIES) -> DataFrame:
     return triage(texts, key, text).where("pontos > 0").orderBy("posicao").limit(most)
 

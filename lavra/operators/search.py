@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lavra.functions.text import ACCENTED, PLAIN, fold, tokens, unhyphenate
+from lavra.functions.text import fold, fold_word, locator, tokens, unhyphenate
 from lavra.operators.lexicon import rank
 
 # BM25's parameters and its least weight of a term.
@@ -34,7 +36,7 @@ def corpus_statistics(texts: DataFrame, text: str) -> DataFrame:
 
 def folded_word(word: str) -> str:
     """A word of a query as the index has it."""
-    return word.rstrip("*").translate(str.maketrans(ACCENTED, PLAIN)).lower()
+    return fold_word(word.rstrip("*"))
 
 
 def parse_query(query: str) -> list[list[list[str]]]:
@@ -56,42 +58,131 @@ def parse_query(query: str) -> list[list[list[str]]]:
     return [part for part in found if part]
 
 
-def _matches(index: DataFrame, key: str, phrase: list[str]) -> DataFrame:
-    """How often a phrase occurs in each text: key, tf. Each word is a filter that reaches the index; the words
-    meet on the text and on where the phrase would begin."""
-    steps = []
-    for k, word in enumerate(phrase):
-        bare = folded_word(word)
-        hit = F.col("termo").startswith(bare) if word.endswith("*") else F.col("termo") == bare
-        steps.append(index.where(hit).select(key, (F.col("lugar") - k).alias("_inicio")))
-    joined = reduce(lambda a, b: a.join(b, [key, "_inicio"]), steps)
-    return joined.groupBy(key).agg(F.count("*").alias("tf"))
+#: Parts of a written index, by term, and a version that a change of what it holds raises.
+PARTS, VERSION = 32, 1
 
 
-def search(texts: DataFrame, key: str, text: str, query: str, limit: int | None = 200) -> DataFrame:
-    """The `limit` best texts for a query, all without one: key, pontos, posicao. Ties go to the lower key. Each phrase counts as one
-    term; a text scores by every part of the query that it holds. A query without words finds nothing."""
-    alternatives = parse_query(query)
-    schema = f"{key} {dict(texts.dtypes)[key]}, pontos double, posicao int"
-    if not alternatives:
-        return texts.sparkSession.createDataFrame([], schema)
-    index = postings(texts, key, text)
+@dataclass(frozen=True)
+class Index:
+    """termos (parte, termo, key, lugares, tamanho), textos (key, tamanho) and estado (one row: versao, textos, media)."""
+
+    termos: DataFrame
+    textos: DataFrame
+    estado: DataFrame
+    key: str
+
+
+def _part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+
+
+def build_index(texts: DataFrame, key: str, text: str) -> Index:
+    """The index as frames: one row per term and text, with the places of the term in the text. Texts of one term meet
+    as partial results; null texts aren't in it."""
     sizes = texts.where(F.col(text).isNotNull()).select(key, F.size(tokens(unhyphenate(F.col(text)))).alias("tamanho"))
-    stats = sizes.agg(F.count("*").alias("textos"), F.avg("tamanho").alias("media"))
+    terms = postings(texts, key, text).groupBy("termo", key).agg(F.sort_array(F.collect_list("lugar")).alias("lugares"), F.first("tamanho").alias("tamanho"))
+    state = sizes.agg(F.lit(VERSION).alias("versao"), F.count("*").alias("textos"), F.avg("tamanho").alias("media"))
+    return Index(terms.withColumn("parte", _part(F.col("termo"))), sizes, state, key)
+
+
+def write_index(texts: DataFrame, key: str, text: str, path: str) -> Index:
+    """Write the index: terms in parts by their hash, sorted, so that a query reads the row groups of its words alone.
+    The state comes last; an index without one, or of another version, doesn't count as written."""
+    made = build_index(texts, key, text)
+    spread = F.pmod(F.xxhash64(key), F.lit(max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // PARTS)))
+    made.termos.repartition("parte", spread).sortWithinPartitions("parte", "termo").write.mode("overwrite").partitionBy("parte").parquet(f"{path}/termos")
+    made.textos.write.mode("overwrite").parquet(f"{path}/textos")
+    spark = texts.sparkSession
+    spark.read.parquet(f"{path}/textos").agg(F.lit(VERSION).alias("versao"), F.count("*").alias("textos"), F.avg("tamanho").alias("media")).write.mode("overwrite").parquet(f"{path}/estado")
+    return open_index(spark, key, path)
+
+
+def open_index(spark: SparkSession, key: str, path: str) -> Index | None:
+    """The index at `path`, or None where there is none of this version."""
+    try:
+        state = spark.read.parquet(f"{path}/estado")
+        if [r["versao"] for r in state.select("versao").limit(2).collect()] != [VERSION]:
+            return None
+        return Index(spark.read.parquet(f"{path}/termos"), spark.read.parquet(f"{path}/textos"), state, key)
+    except AnalysisException:
+        return None
+
+
+def ensure_index(texts: DataFrame, key: str, text: str, path: str) -> Index:
+    """The index at `path`, written anew where it is missing or of another version."""
+    return open_index(texts.sparkSession, key, path) or write_index(texts, key, text, path)
+
+
+def check_index(index: Index, texts: DataFrame, text: str) -> DataFrame:
+    """One row: indexados, faltam (texts without entry), sobram (entries without text), palavras (all places), and
+    confere, whether nothing is missing or left over and the words add up."""
+    held = texts.where(F.col(text).isNotNull()).select(index.key).distinct()
+    gaps = held.withColumn("_t", F.lit(1)).join(index.textos.withColumn("_i", F.lit(1)), index.key, "full_outer")
+    counts = gaps.agg(F.count("_i").alias("indexados"), F.count_if(F.col("_i").isNull()).alias("faltam"), F.count_if(F.col("_t").isNull()).alias("sobram"), F.coalesce(F.sum("tamanho"), F.lit(0)).alias("_s"))
+    places = index.termos.agg(F.coalesce(F.sum(F.size("lugares")), F.lit(0)).alias("palavras"))
+    fine = (F.col("faltam") == 0) & (F.col("sobram") == 0) & (F.col("palavras") == F.col("_s"))
+    return counts.crossJoin(F.broadcast(places)).select("indexados", "faltam", "sobram", "palavras", fine.alias("confere"))
+
+
+def _matches(index: Index, phrase: list[str]) -> DataFrame:
+    """How often a phrase occurs in each text: key, tf, tamanho. Each word is a filter that reaches the scan; the words
+    of a phrase meet on the text and on where the phrase would begin."""
+    key = index.key
+
+    def rows(word: str) -> DataFrame:
+        bare = folded_word(word)
+        if word.endswith("*"):
+            return index.termos.where(F.col("termo").startswith(bare))
+        return index.termos.where((F.col("parte") == _part(F.lit(bare))) & (F.col("termo") == bare))
+
+    if len(phrase) == 1:
+        return rows(phrase[0]).groupBy(key).agg(F.sum(F.size("lugares")).alias("tf"), F.first("tamanho").alias("tamanho"))
+    begin = lambda k: F.explode(F.transform("lugares", lambda x: x - k)).alias("_inicio")
+    steps = [rows(w).select(key, begin(k), *(["tamanho"] if k == 0 else [])) for k, w in enumerate(phrase)]
+    return reduce(lambda a, b: a.join(b, [key, "_inicio"]), steps).groupBy(key).agg(F.count("*").alias("tf"), F.first("tamanho").alias("tamanho"))
+
+
+def search_index(index: Index, query: str, limit: int | None = 200, ranked: bool = True) -> DataFrame:
+    """The `limit` best texts for a query, all without one: key, pontos, posicao (key and pontos alone where not
+    `ranked`). Ties go to the lower key. Each phrase counts as one term; a text scores by every part of the query that
+    it holds. A query without words finds nothing."""
+    key, alternatives = index.key, parse_query(query)
+    if not alternatives:
+        return index.textos.sparkSession.createDataFrame([], f"{key} {dict(index.textos.dtypes)[key]}, pontos double" + (", posicao int" if ranked else ""))
     phrases = list(dict.fromkeys(tuple(p) for part in alternatives for p in part))
-    hits = reduce(DataFrame.unionByName, (_matches(index, key, list(p)).withColumn("parte", F.lit(i)) for i, p in enumerate(phrases)))
-    held = hits.groupBy(key).agg(F.collect_set("parte").alias("_partes"))
-    fits = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.array_contains("_partes", phrases.index(tuple(p))) for p in part)) for part in alternatives))
-    df = hits.groupBy("parte").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("textos") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("tamanho") / F.col("media")))
-    scored = hits.join(held.where(fits).select(key), key).join(F.broadcast(df), "parte").join(sizes, key).crossJoin(F.broadcast(stats)).groupBy(key).agg(F.sum(weight).alias("pontos"))
+    hits = reduce(DataFrame.unionByName, (_matches(index, list(p)).withColumn("parte", F.lit(i)) for i, p in enumerate(phrases)))
+    # one row per text, with at most as many entries as the query has parts
+    held = hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("parte", "tf"))).alias("_tf"), F.first("tamanho").alias("tamanho"))
+    has = lambda i: F.map_contains_key("_tf", F.lit(i))
+    fits = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (has(phrases.index(tuple(p))) for p in part)) for part in alternatives))
+    idf = lambda df: F.greatest(F.log((F.col("textos") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+    weights = held.agg(*(F.count_if(has(i)).alias(f"_{i}") for i in range(len(phrases)))).crossJoin(F.broadcast(index.estado.select("textos", "media")))
+    weights = weights.select("media", *(idf(F.col(f"_{i}")).alias(f"_{i}") for i in range(len(phrases))))
+    part = lambda i: F.coalesce(F.col(f"_{i}") * (tf := F.element_at("_tf", F.lit(i))) * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("tamanho") / F.col("media"))), F.lit(0.0))
+    scored = held.where(fits).crossJoin(F.broadcast(weights)).select(key, reduce(lambda a, b: a + b, (part(i) for i in range(len(phrases)))).alias("pontos"))
+    if not ranked:
+        return scored if limit is None else scored.orderBy(F.desc("pontos"), key).limit(limit)
     if limit is None:
         return rank(scored, F.desc("pontos"), F.asc(key))
     top = scored.orderBy(F.desc("pontos"), key).limit(limit)
     return top.withColumn("posicao", F.row_number().over(Window.orderBy(F.desc("pontos"), key)))
 
 
+def search(texts: DataFrame, key: str, text: str, query: str, limit: int | None = 200) -> DataFrame:
+    """`search_index` over texts without a written index: their words are found anew."""
+    return search_index(build_index(texts, key, text), query, limit)
+
+
+def located(hits: DataFrame, pages: DataFrame, documents: DataFrame, query: str) -> DataFrame:
+    """Hits on pages (pagina_id, pontos, posicao) with where they stand: documento_id, nome, localizador, n and trecho.
+    Pages (pagina_id, documento_id, n, texto) of documents that are not in `documents` (documento_id, nome) fall out."""
+    joined = hits.join(pages.select("pagina_id", "documento_id", "n", "texto"), "pagina_id").join(documents.select("documento_id", "nome"), "documento_id")
+    none = F.lit(None).cast("string")
+    place = locator(none, F.col("nome"), none.cast("int"), none, F.array("n"))
+    shown = joined.withColumns({"texto": unhyphenate(F.col("texto")), "localizador": place})
+    return snippet_of(shown, "texto", query).select("pagina_id", "documento_id", "nome", "n", "localizador", "pontos", "posicao", "trecho")
+
+
 def contains_search(texts: DataFrame, key: str, text: str, needle: str) -> DataFrame:
     """The way without an index: texts that hold `needle` as it is, unranked."""
     return texts.where(F.contains(F.col(text), F.lit(needle))).select(key)

@@ -28,12 +28,15 @@ def top_k(vectors: DataFrame, key: str, vector: str, question: list[float], k: i
     return best.withColumn("posicao", F.row_number().over(Window.orderBy(F.desc("similaridade"), key)))
 
 
-def fuse(by_words: DataFrame, by_vectors: DataFrame, key: list[str], limit: int = 20) -> DataFrame:
+def fuse(by_words: DataFrame, by_vectors: DataFrame, key: list[str], limit: int = 20, documents: DataFrame | None = None, document: str = "documento_id") -> DataFrame:
     """Reciprocal rank fusion of two lists (key, posicao): key, pontos, origens. A key that a list holds several
-    times counts by its best place. Either list may be empty."""
+    times counts by its best place. Either list may be empty. Where `documents` are given, keys of others fall out before
+    the limit, and the documents' columns come along."""
     lists = [d.where(F.col("posicao") <= LISTED).groupBy(*key).agg(F.min("posicao").alias("posicao")).withColumn("origem", F.lit(o)) for d, o in ((by_words, "palavra"), (by_vectors, "significado"))]
     both = lists[0].unionByName(lists[1])
     fused = both.groupBy(*key).agg(F.sum(1.0 / (RRF + F.col("posicao"))).alias("pontos"), F.array_sort(F.collect_set("origem")).alias("origens"))
+    if documents is not None:
+        fused = fused.join(documents, document)
     return fused.orderBy(F.desc("pontos"), *key).limit(limit)
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.functions import dates, identifiers, people, text
-from lavra.operators import citations, custody, findings, headers, lexicon, network, passages, reports, search, timestamps, vectors
-from lavra.session import shared_dir, table
+from lavra.operators import cases, citations, custody, findings, headers, lexicon, network, passages, reports, search, timestamps, vectors
+from lavra.session import materialize, remove_at_exit, shared_dir, table
 from lavra.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {}
 
 #: What the search queries ask for.
 WORDS, BOOLEAN, QUESTION = "fianca OU vistoria OU cronograma", '"carta de fianca" atestad* OU "tabela de descontos"', "Quem recebeu a carta de fiança do fornecedor?"
+PAGE_WORDS = "almoxarifado OU vistoria"
 #: The vector that the vector queries ask for, of the dimension of the table embeddings.
 ASKED = [1.0 if i % 3 else -0.5 for i in range(64)]
 
@@ -35,6 +36,7 @@ def queries() -> dict[str, Query]:
 @query
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     path = os.path.join(shared_dir(spark), "lavra", f"datas-{uuid.uuid4().hex}")
+    remove_at_exit(spark, path)
     return timestamps.message_and_entity_dates(table(spark, sf, "mensagens"), table(spark, sf, "entidades"), table(spark, sf, "arquivos"), path)
 
 
@@ -96,15 +98,28 @@ def reading_priorities(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def communication_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    """Headers, chats, closing formulas and signs of contracts count on all pages; titles and wording on the first two."""
+    """Chats count on all pages, signs of contracts on the first ten, closing formulas on six, message headers on three,
+    titles and wording on two, which is what these kinds mean."""
     rows = _pages(spark, sf).where("documento_id is not null and n is not null")
     ordered = F.array_sort(F.collect_list(F.struct("n", F.coalesce("texto", F.lit("")).alias("t"))))
-    text_of = lambda c: F.array_join(F.transform(c, lambda x: x["t"]), "\n")
-    pages = rows.groupBy("documento_id").agg(ordered.alias("_p")).select("documento_id", text_of(F.col("_p")).alias("texto"), text_of(F.filter("_p", lambda x: x["n"] <= 2)).alias("inicio"))
-    blocks = headers.headers(pages, "documento_id", "texto").groupBy("documento_id").agg(F.count("*").alias("cabecalhos"))
+    until = lambda k: F.array_join(F.transform(F.filter("_p", lambda x: x["n"] <= k), lambda x: x["t"]), "\n")
+    first = rows.where(F.col("n") <= lexicon.SIGNS_PAGES).groupBy("documento_id").agg(ordered.alias("_p"))
+    spans = {"inicio": lexicon.TITLE_PAGES, "cabeca": lexicon.HEADER_PAGES, "carta": lexicon.CLOSING_PAGES, "texto": lexicon.SIGNS_PAGES}
+    pages = first.select("documento_id", *(until(k).alias(c) for c, k in spans.items()))
+    blocks = headers.headers(pages, "documento_id", "cabeca").groupBy("documento_id").agg(F.count("*").alias("cabecalhos"))
     chats = headers.chat_pairs(headers.chat_lines(rows, "documento_id", "n", "texto"), "documento_id", "n").groupBy("documento_id").agg(F.count("*").alias("trocas"))
-    joined = pages.join(blocks, "documento_id", "left").join(chats, "documento_id", "left").na.fill(0, ["cabecalhos", "trocas"])
-    return joined.select("documento_id", lexicon.communication_kind(F.col("texto"), F.col("cabecalhos"), F.col("trocas"), beginning=F.col("inicio")).alias("tipo"), lexicon.is_contract(F.col("inicio"), F.col("texto")).alias("contrato"))
+    joined = rows.select("documento_id").distinct().join(pages, "documento_id", "left").join(blocks, "documento_id", "left").join(chats, "documento_id", "left").na.fill(0, ["cabecalhos", "trocas"]).na.fill("", list(spans))
+    kind = lexicon.communication_kind(F.col("carta"), F.col("cabecalhos"), F.col("trocas"), beginning=F.col("inicio"))
+    return joined.select("documento_id", kind.alias("tipo"), lexicon.is_contract(F.col("inicio"), F.col("texto")).alias("contrato"))
+
+
+@query
+def reading_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents to be read first, then by points, then by id."""
+    scores = lexicon.triage(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "pontos")
+    names = people.learn_first_names(table(spark, sf, "achados").where("tipo = 'pessoas'"), "nome")
+    first = lexicon.priorities(table(spark, sf, "documents"), "doc_id", "text", first_names=names)
+    return cases.reading_order(scores, first, "doc_id").select("doc_id", "prioridade", F.array_join("motivos", "; ").alias("motivos"), "pontos", "posicao")
 
 
 @query
@@ -291,23 +306,69 @@ def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
 # --- search
 
 
+#: Indexes written in this session, by application and files.
+_INDEXES: dict[tuple, search.Index] = {}
+
+
+def _index(spark: SparkSession, sf: str, name: str, key: str, text: str, rows: DataFrame | None = None) -> search.Index:
+    """The written index of a table, which a session writes once; its files are taken as unchanging meanwhile."""
+    files_ = tuple(sorted(table(spark, sf, name).inputFiles()))
+    at = (spark.sparkContext.applicationId, files_, key)
+    if at not in _INDEXES:
+        path = os.path.join(shared_dir(spark), "lavra", f"indice-{name}-{uuid.uuid4().hex}")
+        remove_at_exit(spark, path)
+        _INDEXES[at] = search.ensure_index(table(spark, sf, name) if rows is None else rows, key, text, path)
+    return _INDEXES[at]
+
+
 @query
 def bm25_search_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(table(spark, sf, "documents"), "doc_id", "text", WORDS).select("doc_id", F.round("pontos", 6).alias("pontos"))
+    return search.search_index(_index(spark, sf, "documents", "doc_id", "text"), WORDS, ranked=False).select("doc_id", F.round("pontos", 6).alias("pontos"))
 
 
 @query
 def boolean_phrase_prefix_search(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(table(spark, sf, "documents"), "doc_id", "text", BOOLEAN, limit=None).select("doc_id")
+    return search.search_index(_index(spark, sf, "documents", "doc_id", "text"), BOOLEAN, limit=None, ranked=False).select("doc_id")
 
 
 @query
 def search_snippets(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    found = search.search(docs, "doc_id", "text", WORDS)
+    found = search.search_index(_index(spark, sf, "documents", "doc_id", "text"), WORDS)
     return search.snippet_of(docs.join(found, "doc_id"), "text", WORDS).select("doc_id", "posicao", "trecho", text.highlight(F.col("trecho")).alias("html"))
 
 
+@query
+def search_index_check(spark: SparkSession, sf: str) -> DataFrame:
+    return search.check_index(_index(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "documents"), "text")
+
+
+@query
+def search_pages_located(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _pages(spark, sf)
+    found = search.search_index(_index(spark, sf, "paginas", "pagina_id", "texto", pages), PAGE_WORDS)
+    return search.located(found, pages, _files(spark, sf), PAGE_WORDS).select("pagina_id", "documento_id", "n", "localizador", F.round("pontos", 6).alias("pontos"), "trecho")
+
+
+@query
+def search_pages_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """The hits on pages with their documents; pages of unknown documents fall out."""
+    found = search.search_index(_index(spark, sf, "paginas", "pagina_id", "texto", _pages(spark, sf)), PAGE_WORDS)
+    rows = _pages(spark, sf).select("pagina_id", "documento_id", "n").join(found, "pagina_id").join(_files(spark, sf).select("documento_id", "nome"), "documento_id")
+    return rows.select("pagina_id", "documento_id", "nome", "n", F.round("pontos", 6).alias("pontos"))
+
+
+@query
+def hybrid_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Search by words over pages and by vectors over passages, fused by document and page; only known documents count."""
+    pages = _pages(spark, sf).select("pagina_id", "documento_id", F.col("n").alias("pagina"))
+    words = search.search_index(_index(spark, sf, "paginas", "pagina_id", "texto", _pages(spark, sf)), PAGE_WORDS, limit=vectors.LISTED).join(pages, "pagina_id").select("documento_id", "pagina", "posicao")
+    stored = table(spark, sf, "passagens").where("passagem_id is not null and documento_id is not null and pagina is not null").dropDuplicates(["passagem_id"])
+    near = vectors.top_k(stored, "passagem_id", "vetor", ASKED).join(stored.select("passagem_id", "documento_id", "pagina"), "passagem_id").select("documento_id", "pagina", "posicao")
+    fused = vectors.fuse(words, near, ["documento_id", "pagina"], documents=_files(spark, sf).select("documento_id", "nome"))
+    return fused.select("documento_id", "pagina", "nome", F.round("pontos", 9).alias("pontos"), F.array_join("origens", "+").alias("origens"))
+
+
 @query
 def substring_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.contains_search(table(spark, sf, "documents"), "doc_id", "text", "carta de fiança")
@@ -325,7 +386,7 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    words = search.search(table(spark, sf, "documents"), "doc_id", "text", WORDS, limit=vectors.LISTED).select("doc_id", "posicao")
+    words = search.search_index(_index(spark, sf, "documents", "doc_id", "text"), WORDS, limit=vectors.LISTED).select("doc_id", "posicao")
     near = vectors.top_k(table(spark, sf, "embeddings"), "vec_id", "embedding", ASKED).select(F.col("vec_id").alias("doc_id"), "posicao")
     fused = vectors.fuse(words, near, ["doc_id"])
     return fused.select("doc_id", F.round("pontos", 9).alias("pontos"), F.array_join("origens", "+").alias("origens"))
@@ -357,8 +418,9 @@ def vector_pending(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _network(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    messages = table(spark, sf, "mensagens")
-    return messages, network.identities(network.mentions(messages))
+    """The messages, each once, and who is in them; both are read several times in one plan, so they are written."""
+    messages = materialize(network.once(table(spark, sf, "mensagens")), "mensagens")
+    return messages, materialize(network.identities(network.mentions(messages, delivered_once=True)), "identidades")
 
 
 @query
@@ -406,6 +468,77 @@ def chat_adjacency_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return headers.chat_pairs(headers.chat_lines(_pages(spark, sf), "documento_id", "n", "texto"), "documento_id", "n")
 
 
+def _page_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of e-mail headers and chats on the pages, with corrections of the log put over them."""
+    pages = _pages(spark, sf).where("documento_id is not null and n is not null")
+    blocks = headers.headers(pages, "pagina_id", "texto")
+    mails = headers.mail_messages(blocks, "pagina_id").join(pages.select("pagina_id", "documento_id", F.col("n").alias("pagina")), "pagina_id")
+    chats = headers.chat_pairs(headers.chat_lines(pages, "documento_id", "n", "texto"), "documento_id", "n").withColumnRenamed("n", "pagina")
+    return cases.all_messages(mails, chats)
+
+
+@query
+def messages_of_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return _page_messages(spark, sf).groupBy("meio").agg(F.count("*").alias("mensagens"), F.countDistinct("documento_id").alias("documentos"), F.min("data").alias("primeira"), F.max("data").alias("ultima"))
+
+
+@query
+def network_of_pages(spark: SparkSession, sf: str) -> DataFrame:
+    messages = materialize(network.once(_page_messages(spark, sf)), "mensagens")
+    known = materialize(network.identities(network.mentions(messages, delivered_once=True)), "identidades")
+    return network.pairs(network.edges(known), messages, network.people(known)).select("a", "b", "total", "copias", "primeira", "ultima", "documentos", "cruzada")
+
+
+@query
+def people_of_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """People by number, by message header and by name in the text."""
+    rows = _pages(spark, sf)
+    names = people.learn_first_names(table(spark, sf, "achados").where("tipo = 'pessoas'"), "nome")
+    fields = headers.headers(rows, "pagina_id", "texto").groupBy("pagina_id").agg(F.array_join(F.collect_list(F.concat_ws(";", "de", "para", "cc")), ";").alias("campos"))
+    joined = rows.join(fields, "pagina_id", "left")
+    return joined.select("pagina_id", F.array_join(people.people_keys(F.coalesce("texto", F.lit("")), names, F.col("campos")), "; ").alias("pessoas"))
+
+
+@query
+def report_mails_by_date(spark: SparkSession, sf: str) -> DataFrame:
+    path = os.path.join(shared_dir(spark), "lavra", f"datas-{uuid.uuid4().hex}")
+    remove_at_exit(spark, path)
+    when = timestamps.message_and_entity_dates(table(spark, sf, "mensagens"), table(spark, sf, "entidades").limit(0), table(spark, sf, "arquivos"), path)
+    messages = network.once(table(spark, sf, "mensagens")).drop("data").join(when.select(F.col("registro_id").alias("mensagem_id"), F.col("normal").alias("data")), "mensagem_id", "left")
+    return reports.mails_by_date(messages).select("mensagem_id", "data", "assunto")
+
+
+@query
+def report_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    messages, known = _network(spark, sf)
+    return reports.strongest_pairs(network.pairs(network.edges(known), messages, network.people(known)), crossing=True).select("a", "b", "total")
+
+
+@query
+def report_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.entities_shown(reports.entity_values(table(spark, sf, "entidades"))).select("tipo", "valor", "documentos", "lugares", "outros")
+
+
+@query
+def review_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of pending findings on people, as a reviewer sees them."""
+    rows = cases.filtered(findings.first_seen(table(spark, sf, "achados")), ["pendente"], ["pessoas"])
+    return cases.page_of(rows, [F.col("criado_em"), F.col("achado_id")], 2, cases.REVIEW_ROWS).select("achado_id", "nome", "documento_id")
+
+
+@query
+def display_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = cases.display_rows(findings.first_seen(table(spark, sf, "achados")), network.once(table(spark, sf, "mensagens")))
+    return rows.groupBy("origem", "situacao").agg(F.count("*").alias("n"), F.count("data").alias("com_data"))
+
+
+@query
+def export_names(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.try_element_at("caminhos", F.lit(1))
+    rows = _files(spark, sf).where("size(caminhos) > 0").withColumn("identidade", identifiers.file_identity(path, F.regexp_extract(path, r"(\.[^./]+)$", 1), F.lit("")))
+    return cases.export_names(rows)
+
+
 # --- findings
 
 

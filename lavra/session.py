@@ -47,13 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system when the driver ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write `df` once to the shared folder and read it back: later reads survive lost executors and
     the plan before it isn't run again. The table goes when the driver ends."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "lavra", f"{name}-{uuid.uuid4().hex}")
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    remove_at_exit(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -121,6 +121,9 @@ def json_records(spark: SparkSession, path: str, schema: StructType | str) -> Da
 
 
 def log_records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """An append-only JSONL log with ordem, which follows its lines within each file."""
+    """An append-only JSONL log with ordem, which sorts as the log was written: by the file's time and name, then by
+    place in the file. Lines that can't be read are left out."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return rows.withColumn("ordem", F.monotonically_increasing_id())
+    m = F.col("_metadata")
+    place = F.struct(m["file_modification_time"].alias("em"), m["file_path"].alias("arquivo"), m["file_block_start"].alias("bloco"), F.monotonically_increasing_id().alias("linha"))
+    return rows.select("*", place.alias("ordem"))

@@ -74,7 +74,7 @@ def test_kinds(spark):
 
 def test_priorities(spark):
     rows = spark.createDataFrame([(1, "Carlos Lima e Maria Souza"), (2, "neutro"), (3, None)], "id long, t string")
-    got = {r["id"]: (r["prioridade"], r["motivos"]) for r in lexicon.priorities(rows, "id", "t").collect()}
+    got = {r["id"]: (r["prioridade"], r["motivos"]) for r in lexicon.priorities(rows, "id", "t", first_names=["carlos", "maria"]).collect()}
     assert got == {1: (True, ["2 pessoas"]), 2: (False, []), 3: (False, [])}
 
 
