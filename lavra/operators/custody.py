@@ -31,7 +31,7 @@ def moved(done: DataFrame, current: DataFrame) -> DataFrame:
 
 def manifest(documents: DataFrame, extraction: list[str]) -> DataFrame:
     """One row per document: sha256_original, caminhos, extracao_sha256 (of the named columns), situacao."""
-    return documents.select(F.col("sha256").alias("sha256_original"), "caminhos", F.sha2(F.to_json(F.struct(*extraction)).cast("binary"), 256).alias("extracao_sha256"), "situacao")
+    return documents.select(F.col("sha256").alias("sha256_original"), "caminhos", F.sha2(F.to_json(F.struct(*extraction), {"ignoreNullFields": "false"}).cast("binary"), 256).alias("extracao_sha256"), "situacao")
 
 
 def manifest_hash(rows: DataFrame) -> DataFrame:

@@ -78,20 +78,38 @@ def term_counts(texts: DataFrame, key: str, text: str, lexicon: dict[str, list[t
     return hits.withColumn("pontos", F.least("ocorrencias", F.lit(MOST_PER_TERM)) * F.col("peso"))
 
 
+def category_points(folded: Column, lexicon: dict[str, list[tuple[str, int]]] | None = None) -> Column:
+    """The points of each category in a folded text, in one expression: array of (categoria, pontos), those without
+    points left out."""
+    points = lambda all_: reduce(lambda a, b: a + b, (F.least(F.regexp_count(folded, F.lit(p)), F.lit(MOST_PER_TERM)) * F.lit(w) for p, w in all_))
+    each = F.array(*(F.struct(F.lit(c).alias("categoria"), points(all_).cast("long").alias("pontos")) for c, all_ in (lexicon or TERMS).items() if all_))
+    return F.filter(each, lambda x: x["pontos"] > 0)
+
+
+def scored(texts: DataFrame, key: str, text: str, lexicon: dict[str, list[tuple[str, int]]] | None = None) -> DataFrame:
+    """key, termos (points of all terms, 0 for none) and categoria (the strongest, ties to the later name). Every text is
+    read and folded once; nothing is shuffled."""
+    counted = texts.select(key, fold(F.coalesce(F.col(text), F.lit(""))).alias("_d")).select(key, category_points(F.col("_d"), lexicon).alias("_c"))
+    strongest = F.element_at(F.array_sort(F.transform("_c", lambda x: F.struct(x["pontos"].alias("p"), x["categoria"].alias("categoria")))), -1)
+    total = F.aggregate("_c", F.lit(0).cast("long"), lambda acc, x: acc + x["pontos"])
+    return counted.select(key, total.alias("termos"), F.when(F.size("_c") > 0, strongest["categoria"]).alias("categoria"))
+
+
 def triage(texts: DataFrame, key: str, text: str, lexicon: dict[str, list[tuple[str, int]]] | None = None) -> DataFrame:
     """Every text with its score, density by 1,000 words, strongest category and place in the order of reading.
 
     key, pontos, palavras, densidade, categoria, firmas, dominios, posicao. Firms' numbers and domains add their
     bonus. Texts with no hit have 0 points and come last; null texts count as empty."""
     base = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    found = term_counts(base, key, "_t", lexicon)
-    by_category = found.groupBy(key, "categoria").agg(F.sum("pontos").alias("p"))
-    scored = by_category.groupBy(key).agg(F.sum("p").alias("termos"), F.max_by("categoria", F.struct("p", F.col("categoria"))).alias("categoria"))
     words = F.size(F.filter(F.split("_t", r"\s+"), lambda w: w != ""))
     domains = F.array_distinct(F.filter(F.transform(identifiers.emails(F.col("_t")), identifiers.domain), lambda d: d.isNotNull()))
-    facts = base.select(key, words.alias("palavras"), F.size(F.array_distinct(identifiers.cnpjs(F.col("_t")))).alias("firmas"), F.size(domains).alias("dominios"))
-    joined = facts.join(scored, key, "left").withColumn("pontos", F.coalesce("termos", F.lit(0)) + F.when(F.col("firmas") >= 2, BONUS_FIRMS).otherwise(0) + F.when(F.col("dominios") >= 2, BONUS_DOMAINS).otherwise(0))
-    return rank(joined.withColumn("densidade", F.round(F.col("pontos") * 1000.0 / F.greatest("palavras", F.lit(1)), 1)), F.desc("pontos"), F.asc(key)).select(key, "pontos", "palavras", "densidade", "categoria", "firmas", "dominios", "posicao")
+    facts = base.select(key, words.alias("palavras"), F.size(F.array_distinct(identifiers.cnpjs(F.col("_t")))).alias("firmas"), F.size(domains).alias("dominios"), fold(F.col("_t")).alias("_d"))
+    counted = facts.select(key, "palavras", "firmas", "dominios", category_points(F.col("_d"), lexicon).alias("_c"))
+    strongest = F.element_at(F.array_sort(F.transform("_c", lambda x: F.struct(x["pontos"].alias("p"), x["categoria"].alias("categoria")))), -1)
+    terms = F.aggregate("_c", F.lit(0).cast("long"), lambda acc, x: acc + x["pontos"])
+    points = terms + F.when(F.col("firmas") >= 2, BONUS_FIRMS).otherwise(0) + F.when(F.col("dominios") >= 2, BONUS_DOMAINS).otherwise(0)
+    full = counted.select(key, points.alias("pontos"), "palavras", F.when(F.size("_c") > 0, strongest["categoria"]).alias("categoria"), "firmas", "dominios")
+    return rank(full.withColumn("densidade", F.round(F.col("pontos") * 1000.0 / F.greatest("palavras", F.lit(1)), 1)), F.desc("pontos"), F.asc(key)).select(key, "pontos", "palavras", "densidade", "categoria", "firmas", "dominios", "posicao")
 
 
 def rank(df: DataFrame, *order: Column, name: str = "posicao") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words of a passage and from one to the next, and words of a chunk.
 WORDS, STEP, CHUNK_WORDS = 250, 210, 1200
@@ -33,6 +35,25 @@ def passage_offsets(pages: DataFrame, key: list[str], text: str, words: int = WO
     return cut.select(*key, (F.col("_k") + 1).alias("n"), begin.alias("inicio"), length(last).alias("fim"), "_t").withColumn("texto", F.substring(F.col("_t"), F.col("inicio") + 1, F.col("fim") - F.col("inicio"))).drop("_t")
 
 
+def _packed(most: int):
+    """The number (from 1) of the chunk that each part falls into, given the sizes of a document's parts in order."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def pack(sizes: pd.Series) -> pd.Series:
+        out = []
+        for row in sizes:
+            chunk, filled, numbers = 1, 0, []
+            for w in row:
+                if filled and filled + w > most:
+                    chunk, filled = chunk + 1, 0
+                filled += w
+                numbers.append(chunk)
+            out.append(numbers)
+        return pd.Series(out, dtype=object)
+
+    return pack
+
+
 def chunks(pages: DataFrame, document: str, n: str, text: str, most: int = CHUNK_WORDS) -> DataFrame:
     """Whole pages packed in order into chunks of at most `most` words: document, trecho (from 1), paginas, palavras,
     texto. A page beyond that goes by its paragraphs, a paragraph beyond that by its words; empty ones are left out."""
@@ -42,18 +63,10 @@ def chunks(pages: DataFrame, document: str, n: str, text: str, most: int = CHUNK
     fine = parts.where(F.trim("_p") != "").select(document, n, "_i", F.posexplode(F.when(size > most, sliced).otherwise(F.array("_p"))).alias("_j", "_q"))
     place = ["n", "_i", "_j"]
     fine = fine.select(document, F.col(n).cast("int").alias("n"), "_i", "_j", F.size(_words(F.col("_q"))).alias("w"), F.col("_q").alias("t"))
-    # Packing goes in order, so a document's parts are folded together: their sizes alone, not their texts. The
-    # fold carries the words of the open chunk and its number; no window function restarts a sum.
+    # Packing goes in order, so a document's parts come together: their sizes alone, not their texts.
     items = fine.groupBy(document).agg(F.array_sort(F.collect_list(F.struct(*place, "w"))).alias("_l"))
-    zero = F.from_json(F.lit('{"c":1,"w":0,"o":[]}'), "struct<c:int,w:int,o:array<struct<c:int,n:int,_i:int,_j:int>>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["w"] > 0) & (acc["w"] + x["w"] > most)
-        c = acc["c"] + full.cast("int")
-        one = F.struct(c.alias("c"), *(x[k].alias(k) for k in place))
-        return F.struct(c.alias("c"), (F.when(full, 0).otherwise(acc["w"]) + x["w"]).alias("w"), F.concat(acc["o"], F.array(one)).alias("o"))
-
-    placed = items.select(document, F.explode(F.aggregate("_l", zero, step)["o"]).alias("x")).select(document, "x.*")
+    numbers = _packed(most)(F.transform("_l", lambda x: x["w"]))
+    placed = items.select(document, F.explode(F.arrays_zip("_l", numbers.alias("c"))).alias("x")).select(document, *(F.col("x._l")[k].alias(k) for k in place), F.col("x.c").alias("c"))
     marked = F.concat(F.lit("<pagina "), F.col("n").cast("string"), F.lit(">\n"), F.col("t"))
     joined = fine.join(placed, [document, *place])
     out = joined.groupBy(document, F.col("c").alias("trecho")).agg(

@@ -37,6 +37,11 @@ def strongest_pairs(pairs: DataFrame, most: int = PAIRS_SHOWN, crossing: bool =
     return (pairs.where("cruzada") if crossing else pairs).orderBy(F.desc("total"), "a", "b").limit(most)
 
 
+def strongest_organisations(organisations: DataFrame, most: int = ORGANISATIONS_SHOWN) -> DataFrame:
+    """The report's pairs of organisations: most messages first."""
+    return organisations.orderBy(F.desc("mensagens"), "org_a", "org_b").limit(most)
+
+
 def entities_shown(values: DataFrame, most: int = VALUES_SHOWN) -> DataFrame:
     """The report's values of each type: the `most` in most documents, their places, and how many more documents."""
     listed = entity_directory(values)

@@ -54,10 +54,8 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def triage_lexicon_rank(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    points = lexicon.term_counts(docs, "doc_id", "text").groupBy("doc_id").agg(F.sum("pontos").alias("pontos"))
-    scored = docs.select("doc_id").join(points, "doc_id", "left").select("doc_id", F.coalesce("pontos", F.lit(0)).alias("pontos"))
-    return lexicon.rank(scored, F.desc("pontos"), F.asc("doc_id"))
+    scored = lexicon.scored(table(spark, sf, "documents"), "doc_id", "text")
+    return lexicon.rank(scored.select("doc_id", F.col("termos").alias("pontos")), F.desc("pontos"), F.asc("doc_id"))
 
 
 @query
@@ -69,9 +67,9 @@ def triage_full(spark: SparkSession, sf: str) -> DataFrame:
 def triage_density(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    points = lexicon.term_counts(docs, "doc_id", "text").groupBy("doc_id").agg(F.sum("pontos").alias("p"))
-    joined = docs.select("doc_id", words.alias("palavras")).join(points, "doc_id", "left")
-    return joined.select("doc_id", "palavras", F.round(F.coalesce("p", F.lit(0)) * 1000.0 / F.greatest("palavras", F.lit(1)), 1).alias("densidade"))
+    points = F.aggregate(lexicon.category_points(F.col("dobrado")), F.lit(0).cast("long"), lambda acc, x: acc + x["pontos"])
+    counted = docs.select("doc_id", words.alias("palavras"), text.fold(F.col("text")).alias("dobrado")).select("doc_id", "palavras", points.alias("p"))
+    return counted.select("doc_id", "palavras", F.round(F.col("p") * 1000.0 / F.greatest("palavras", F.lit(1)), 1).alias("densidade"))
 
 
 @query
@@ -204,8 +202,13 @@ def entity_ids_validated(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def entity_ids_in_text(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _pages(spark, sf).select("pagina_id", identifiers.cpfs(F.col("texto")).alias("cpfs"), identifiers.cnpjs(F.col("texto")).alias("cnpjs"))
-    return rows.where("size(cpfs) > 0 or size(cnpjs) > 0")
+    """Numbers found again in sentences that are made of the extracted ones, each once with and once without its signs."""
+    rows = table(spark, sf, "entidades").where("entidade_id is not null").dropDuplicates(["entidade_id"])
+    said = lambda c, form: F.array_join(F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<valor:string,paginas:array<int>>>")), lambda x: F.concat(F.lit("nº "), form(x["valor"]), F.lit(", "))), "")
+    bare = lambda v: F.regexp_replace(v, r"\D", "")
+    made = F.concat(F.lit("Sócio "), said("cpfs", lambda v: v), said("cpfs", bare), F.lit("firma "), said("cnpjs", lambda v: v), said("cnpjs", bare), F.lit("chave 11222333000181123."))
+    found = rows.select("entidade_id", identifiers.cpfs(made).alias("a"), identifiers.cnpjs(made).alias("b")).where("size(a) > 0 or size(b) > 0")
+    return found.select("entidade_id", F.array_join(F.array_sort("a"), ",").alias("cpfs"), F.array_join(F.array_sort("b"), ",").alias("cnpjs"))
 
 
 @query
@@ -358,17 +361,6 @@ def search_pages_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("pagina_id", "documento_id", "nome", "n", F.round("pontos", 6).alias("pontos"))
 
 
-@query
-def hybrid_passages(spark: SparkSession, sf: str) -> DataFrame:
-    """Search by words over pages and by vectors over passages, fused by document and page; only known documents count."""
-    pages = _pages(spark, sf).select("pagina_id", "documento_id", F.col("n").alias("pagina"))
-    words = search.search_index(_index(spark, sf, "paginas", "pagina_id", "texto", _pages(spark, sf)), PAGE_WORDS, limit=vectors.LISTED).join(pages, "pagina_id").select("documento_id", "pagina", "posicao")
-    stored = table(spark, sf, "passagens").where("passagem_id is not null and documento_id is not null and pagina is not null").dropDuplicates(["passagem_id"])
-    near = vectors.top_k(stored, "passagem_id", "vetor", ASKED).join(stored.select("passagem_id", "documento_id", "pagina"), "passagem_id").select("documento_id", "pagina", "posicao")
-    fused = vectors.fuse(words, near, ["documento_id", "pagina"], documents=_files(spark, sf).select("documento_id", "nome"))
-    return fused.select("documento_id", "pagina", "nome", F.round("pontos", 9).alias("pontos"), F.array_join("origens", "+").alias("origens"))
-
-
 @query
 def substring_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.contains_search(table(spark, sf, "documents"), "doc_id", "text", "carta de fiança")
@@ -386,10 +378,13 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    words = search.search_index(_index(spark, sf, "documents", "doc_id", "text"), WORDS, limit=vectors.LISTED).select("doc_id", "posicao")
-    near = vectors.top_k(table(spark, sf, "embeddings"), "vec_id", "embedding", ASKED).select(F.col("vec_id").alias("doc_id"), "posicao")
-    fused = vectors.fuse(words, near, ["doc_id"])
-    return fused.select("doc_id", F.round("pontos", 9).alias("pontos"), F.array_join("origens", "+").alias("origens"))
+    """Search by words over pages and by vectors over passages, fused by document and page; only known documents count."""
+    pages = _pages(spark, sf).select("pagina_id", "documento_id", F.col("n").alias("pagina"))
+    words = search.search_index(_index(spark, sf, "paginas", "pagina_id", "texto", _pages(spark, sf)), PAGE_WORDS, limit=vectors.LISTED).join(pages, "pagina_id").select("documento_id", "pagina", "posicao")
+    stored = table(spark, sf, "passagens").where("passagem_id is not null and documento_id is not null and pagina is not null").dropDuplicates(["passagem_id"])
+    near = vectors.top_k(stored, "passagem_id", "vetor", ASKED).join(stored.select("passagem_id", "documento_id", "pagina"), "passagem_id").select("documento_id", "pagina", "posicao")
+    fused = vectors.fuse(words, near, ["documento_id", "pagina"], documents=_files(spark, sf).select("documento_id", "nome"))
+    return fused.select("documento_id", "pagina", "nome", F.round("pontos", 9).alias("pontos"), F.array_join("origens", "+").alias("origens"))
 
 
 @query
@@ -450,7 +445,7 @@ def network_dot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def mail_headers(spark: SparkSession, sf: str) -> DataFrame:
-    return headers.headers(_pages(spark, sf), "pagina_id", "texto")
+    return headers.headers(_pages(spark, sf), "pagina_id", "texto").drop("data_iso")
 
 
 @query
@@ -549,6 +544,23 @@ def quote_verification(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("achado_id", F.col("lugar.pagina").alias("pagina"), F.col("lugar.similaridade").alias("similaridade"), F.col("lugar.literal").alias("literal"))
 
 
+@query
+def quote_literal(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings whose quote stands word for word on a page of their document, and the first such page."""
+    quotes = findings.first_seen(table(spark, sf, "achados")).where("trecho_fonte is not null").select("achado_id", "documento_id", "trecho_fonte")
+    found = citations.locate(quotes, _pages(spark, sf).where("documento_id is not null"))
+    return found.where("lugar.literal").select("achado_id", F.col("lugar.pagina").alias("pagina"))
+
+
+@query
+def event_verification(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with a date, participants and a category that a model may have made up, held against their page."""
+    rows = findings.first_seen(table(spark, sf, "achados")).where("tipo = 'eventos'").select("achado_id", "documento_id", "pagina", "tipo", "nome", "cargo", "empresa", "trecho_fonte", F.date_format("criado_em", "yyyy-MM-dd").alias("data"))
+    pages = _pages(spark, sf).where("documento_id is not null and n is not null and texto <> ''").groupBy("documento_id", F.col("n").alias("pagina")).agg(F.min_by("texto", "pagina_id").alias("trecho"))
+    held = rows.join(pages, ["documento_id", "pagina"], "left").withColumns({"participantes": F.array(F.lit("fornecedor"), F.lit("ninguém de nome Zoroastro")), "categoria": F.lit("festa")})
+    return citations.verify_proposals(held).select("achado_id", "aceito", "motivo", "data", "categoria", F.array_join("participantes", "; ").alias("participantes"), F.array_join("alertas", "; ").alias("alertas"))
+
+
 @query
 def proposal_verification(spark: SparkSession, sf: str) -> DataFrame:
     """Each finding held against the text of the page that it names, or of all its document where it names none."""
@@ -596,7 +608,9 @@ def dramatis_personae(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def firms_consolidated(spark: SparkSession, sf: str) -> DataFrame:
-    rows = findings.first_seen(table(spark, sf, "achados")).where("tipo = 'empresas' and trim(nome) <> ''").select("nome", F.lit(None).cast("string").alias("cnpj"))
+    """Firms of findings with the number that their document holds, where it holds a single one."""
+    numbers = reports.entity_values(table(spark, sf, "entidades")).where("tipo = 'cnpjs'").groupBy("documento_id").agg(F.min("valor").alias("cnpj"), F.max("valor").alias("_b")).where("cnpj = _b").drop("_b")
+    rows = findings.first_seen(table(spark, sf, "achados")).where("tipo = 'empresas' and trim(nome) <> ''").select("nome", "documento_id").join(numbers, "documento_id", "left").select("nome", "cnpj")
     return findings.firms_by_number(rows.distinct()).select("chave", "cnpj", F.size("nomes").alias("grafias"))
 
 
@@ -608,12 +622,16 @@ def findings_timeline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def person_sheets(spark: SparkSession, sf: str) -> DataFrame:
+    """A sheet for every person of the findings: addresses and counterparts of the network, and the events of the
+    documents that name the person."""
     messages, known = _network(spark, sf)
     persons = network.people(known)
     linked = network.pairs(network.edges(known), messages, persons)
-    asked = table(spark, sf, "achados").where("tipo = 'pessoas' and trim(nome) <> ''").select("nome").distinct()
-    events = findings.first_seen(table(spark, sf, "achados")).where("tipo = 'eventos'").select(F.array("empresa").alias("participantes"), "localizador", F.date_format("criado_em", "yyyy-MM-dd").alias("data"))
-    return findings.person_sheet(asked.select(text.name_key(F.col("nome")).alias("ficha"), "nome"), persons, linked, events)
+    first = findings.first_seen(table(spark, sf, "achados"))
+    named = first.where("tipo = 'pessoas' and trim(nome) <> ''")
+    events = first.where("tipo = 'eventos'").select("documento_id", "localizador", F.date_format("criado_em", "yyyy-MM-dd").alias("data")).join(named.select("documento_id", "nome").distinct(), "documento_id")
+    asked = named.select(text.name_key(F.col("nome")).alias("ficha"), "nome").distinct()
+    return findings.person_sheet(asked, persons, linked, events.select(F.array("nome").alias("participantes"), "localizador", "data"))
 
 
 @query
@@ -651,10 +669,16 @@ def orphan_archive(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def manifest_full_outer(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _pages(spark, sf).groupBy("documento_id").agg(F.count("*").alias("k"))
-    names = table(spark, sf, "passagens").dropDuplicates(["passagem_id"]).groupBy("documento_id").agg(F.count("*").alias("k"))
-    side = lambda d: d.where("documento_id is not null").select(F.col("documento_id").alias("caminho"), F.col("documento_id").alias("sha256"), F.col("k").cast("string").alias("extracao_sha256"))
-    return custody.verify(side(pages), side(names))
+    """A manifest of all but text files against a later state: files in error are gone, and pages were extracted anew by
+    a reader that tidies line breaks."""
+    rows = _files(spark, sf).select("documento_id", "sha256", "tipo", "situacao")
+    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "pagina_id", F.coalesce(c, F.lit("")).alias("t")))), lambda x: x["t"]), "\f")
+    digest = lambda c: F.sha2(ordered(c).cast("binary"), 256)
+    read = _pages(spark, sf).where("documento_id is not null").groupBy("documento_id").agg(digest(F.col("texto")).alias("a"), digest(text.clean_breaks(F.col("texto"))).alias("b"))
+    both = materialize(rows.join(read, "documento_id", "left"), "manifesto")
+    before = both.where("tipo is null or tipo <> 'txt'").select(F.col("documento_id").alias("caminho"), "sha256", F.col("a").alias("extracao_sha256"))
+    after = both.where("situacao is null or situacao <> 'erro'").select(F.col("documento_id").alias("caminho"), "sha256", F.col("b").alias("extracao_sha256"))
+    return custody.verify(before, after)
 
 
 @query
@@ -664,10 +688,10 @@ def custody_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def files_moved(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "arquivos").where("sha256 is not null")
-    first = rows.groupBy("sha256").agg(F.min_by("caminhos", "extraido_em").alias("caminhos"))
-    last = rows.groupBy("sha256").agg(F.max_by("caminhos", "extraido_em").alias("caminhos"))
-    return custody.moved(first, last).select("sha256")
+    """What a move of all PDF files to another folder renews."""
+    rows = table(spark, sf, "arquivos").where("sha256 is not null").groupBy("sha256").agg(F.min("tipo").alias("tipo"), F.min("caminhos").alias("caminhos"))
+    moved = F.transform("caminhos", lambda c: F.regexp_replace(c, "^originais/", "arquivo/"))
+    return custody.moved(rows, rows.select("sha256", F.when(F.col("tipo") == "pdf", moved).otherwise(F.col("caminhos")).alias("caminhos"))).select("sha256")
 
 
 @query
