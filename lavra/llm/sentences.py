@@ -331,6 +331,8 @@ _EVENTS = "antes string, classe_antes string, depois string, classe_depois strin
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: Counter[tuple[str, str, str, str]] = Counter()
+        inner: Counter[str] = Counter()  # pairs of Chinese or Japanese signs, but for those before an end
+        ending: Counter[str] = Counter()
         for text in batch.column(0).to_pylist():
             for begin, stop in paragraphs(text):
                 for _, _, *kinds in events(text, begin, stop):
@@ -344,13 +346,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen[(PARAGRAPH, PARAGRAPH, *_right(text, begin))] += 1
                 for match in _CJK.finditer(text, begin, stop):
                     run, last = match[0], match.end()
-                    seen.update(("z" + run[k : k + 2], "CJKz", INSIDE, INSIDE) for k in range(len(run) - 2))
+                    inner.update(map(str.__add__, run[:-2], run[1:-1]))
                     if len(run) > 1:
-                        ended = last < stop and text[last] in "。！？｡"
-                        seen[(f"z{run[-2:]}", "CJKz", *((PARAGRAPH, PARAGRAPH) if ended else (INSIDE, INSIDE)))] += 1
+                        (ending if last < stop and text[last] in "。！？｡" else inner)[run[-2:]] += 1
                 part = text[begin:stop]
                 for match in _INNER.finditer(part):
                     seen[(INSIDE, INSIDE, *_right(part, match.start()))] += 1
+        for pairs, kind in ((inner, INSIDE), (ending, PARAGRAPH)):
+            seen.update({(f"z{pair}", "CJKz", kind, kind): n for pair, n in pairs.items()})
         columns = list(zip(*seen)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array([float(n) for n in seen.values()], pa.float64())], names=["antes", "classe_antes", "depois", "classe_depois", "n"])
 

@@ -57,8 +57,6 @@ for _name, _all in NICKNAMES.items():
     for _n in _all:
         _NICK.setdefault(_n, set()).add(_name)
 
-_PARTS = "tipo string, primeiro string, meios array<string>, ultimo string, sufixo string, genero string, atividade array<string>"
-
 
 def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
