@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
+from functools import lru_cache, reduce
+from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,15 +74,49 @@ def term_counts(texts: DataFrame, key: str, text: str, lexicon: dict[str, list[t
     are literals of one projection, so every text is folded and read once, without a join and without Python."""
     flat = [(c, p, w) for c, all_ in (lexicon or TERMS).items() for p, w in all_]
     folded = texts.where(F.col(text).isNotNull()).select(key, fold(F.col(text)).alias("_dobrado"))
-    counts = F.array(*(F.struct(F.lit(c).alias("categoria"), F.lit(p).alias("padrao"), F.lit(w).alias("peso"), F.regexp_count("_dobrado", F.lit(p)).alias("ocorrencias")) for c, p, w in flat))
+    counts = F.array(*(F.struct(F.lit(c).alias("categoria"), F.lit(p).alias("padrao"), F.lit(w).alias("peso"), _count(F.col("_dobrado"), p).alias("ocorrencias")) for c, p, w in flat))
     hits = folded.select(key, F.explode(F.filter(counts, lambda x: x["ocorrencias"] > 0)).alias("t")).select(key, "t.*")
     return hits.withColumn("pontos", F.least("ocorrencias", F.lit(MOST_PER_TERM)) * F.col("peso"))
 
 
+@lru_cache(maxsize=1000)
+def needles(pattern: str) -> tuple[str, ...]:
+    """Literals of which every match of a pattern holds one: the most telling ones, so the longest. () for none."""
+
+    def of(tokens) -> list[str] | None:
+        found: list[list[str]] = []
+        run = ""
+        for op, value in [*tokens, (None, None)]:
+            if op is _parser.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                found.append([run])
+                run = ""
+            if op is _parser.BRANCH:
+                branches = [of(b) for b in value[1]]
+                if all(branches):
+                    found.append([x for b in branches for x in b])
+            elif op is _parser.SUBPATTERN and (inner := of(value[3])):
+                found.append(inner)
+            elif op is _parser.MAX_REPEAT and value[0] >= 1 and (inner := of(value[2])):
+                found.append(inner)
+        return max(found, key=lambda x: min(map(len, x)), default=None)
+
+    return tuple(dict.fromkeys(of(_parser.parse(pattern)) or ()))
+
+
+def _count(folded: Column, pattern: str) -> Column:
+    """How often a pattern occurs. Where a text lacks the literals that it needs, a plain search tells so at once."""
+    all_ = F.regexp_count(folded, F.lit(pattern))
+    wanted = needles(pattern)
+    return F.when(reduce(lambda a, b: a | b, (F.contains(folded, F.lit(x)) for x in wanted)), all_).otherwise(0) if wanted else all_
+
+
 def category_points(folded: Column, lexicon: dict[str, list[tuple[str, int]]] | None = None) -> Column:
     """The points of each category in a folded text, in one expression: array of (categoria, pontos), those without
     points left out."""
-    points = lambda all_: reduce(lambda a, b: a + b, (F.least(F.regexp_count(folded, F.lit(p)), F.lit(MOST_PER_TERM)) * F.lit(w) for p, w in all_))
+    points = lambda all_: reduce(lambda a, b: a + b, (F.least(_count(folded, p), F.lit(MOST_PER_TERM)) * F.lit(w) for p, w in all_))
     each = F.array(*(F.struct(F.lit(c).alias("categoria"), points(all_).cast("long").alias("pontos")) for c, all_ in (lexicon or TERMS).items() if all_))
     return F.filter(each, lambda x: x["pontos"] > 0)
 
@@ -116,6 +151,7 @@ def rank(df: DataFrame, *order: Column, name: str = "posicao") -> DataFrame:
     """A global place for every row without one task sorting all of them: ranges are sorted apart, and their
     sizes, one row each, tell where each range begins."""
     spark = df.sparkSession
+    df = materialize(df, "sem_ordem")  # ranges are found by sampling, which would compute the rows twice
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kept = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_parte", F.spark_partition_id()), "ordem")
     sizes = kept.groupBy("_parte").count()

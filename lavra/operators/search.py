@@ -64,36 +64,45 @@ PARTS, VERSION = 32, 1
 
 @dataclass(frozen=True)
 class Index:
-    """termos (parte, termo, key, lugares, tamanho), textos (key, tamanho) and estado (one row: versao, textos, media)."""
+    """termos (parte, termo, key, lugares, tamanho) and estado (one row: versao, textos, media). The empty term stands
+    for a text as such, so that texts without words are in it too."""
 
     termos: DataFrame
-    textos: DataFrame
     estado: DataFrame
     key: str
 
+    @property
+    def textos(self) -> DataFrame:
+        """key and tamanho of every text."""
+        return self.termos.where((F.col("parte") == _part(F.lit(""))) & (F.col("termo") == "")).select(self.key, "tamanho")
+
 
 def _part(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
+def _state(texts: DataFrame) -> DataFrame:
+    return texts.agg(F.lit(VERSION).alias("versao"), F.count("*").alias("textos"), F.avg("tamanho").alias("media"))
+
+
 def build_index(texts: DataFrame, key: str, text: str) -> Index:
-    """The index as frames: one row per term and text, with the places of the term in the text. Texts of one term meet
-    as partial results; null texts aren't in it."""
-    sizes = texts.where(F.col(text).isNotNull()).select(key, F.size(tokens(unhyphenate(F.col(text)))).alias("tamanho"))
-    terms = postings(texts, key, text).groupBy("termo", key).agg(F.sort_array(F.collect_list("lugar")).alias("lugares"), F.first("tamanho").alias("tamanho"))
-    state = sizes.agg(F.lit(VERSION).alias("versao"), F.count("*").alias("textos"), F.avg("tamanho").alias("media"))
-    return Index(terms.withColumn("parte", _part(F.col("termo"))), sizes, state, key)
+    """The index as frames: one row per term and text, with the places of the term in the text; null texts aren't in it.
+    Every text is read once, and its words are shuffled once, to the part of their term and a share of its texts."""
+    words = texts.where(F.col(text).isNotNull()).select(key, tokens(unhyphenate(F.col(text))).alias("_w"))
+    each = words.select(key, F.size("_w").alias("tamanho"), F.posexplode(F.concat(F.array(F.lit("")), F.col("_w"))).alias("lugar", "termo"))
+    share = F.pmod(F.xxhash64(key), F.lit(max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // PARTS)))
+    dealt = each.withColumns({"parte": _part(F.col("termo")), "_s": share}).repartition("parte", "_s")
+    places = F.transform(F.sort_array(F.collect_list(F.when(F.col("termo") != "", F.col("lugar")))), lambda x: x - 1)
+    terms = dealt.groupBy("parte", "_s", "termo", key).agg(places.alias("lugares"), F.first("tamanho").alias("tamanho")).drop("_s")
+    return Index(terms, _state(words.select(F.size("_w").alias("tamanho"))), key)
 
 
 def write_index(texts: DataFrame, key: str, text: str, path: str) -> Index:
     """Write the index: terms in parts by their hash, sorted, so that a query reads the row groups of its words alone.
     The state comes last; an index without one, or of another version, doesn't count as written."""
-    made = build_index(texts, key, text)
-    spread = F.pmod(F.xxhash64(key), F.lit(max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // PARTS)))
-    made.termos.repartition("parte", spread).sortWithinPartitions("parte", "termo").write.mode("overwrite").partitionBy("parte").parquet(f"{path}/termos")
-    made.textos.write.mode("overwrite").parquet(f"{path}/textos")
+    build_index(texts, key, text).termos.sortWithinPartitions("parte", "termo").write.mode("overwrite").partitionBy("parte").parquet(f"{path}/termos")
     spark = texts.sparkSession
-    spark.read.parquet(f"{path}/textos").agg(F.lit(VERSION).alias("versao"), F.count("*").alias("textos"), F.avg("tamanho").alias("media")).write.mode("overwrite").parquet(f"{path}/estado")
+    _state(Index(spark.read.parquet(f"{path}/termos"), None, key).textos).write.mode("overwrite").parquet(f"{path}/estado")
     return open_index(spark, key, path)
 
 
@@ -103,7 +112,7 @@ def open_index(spark: SparkSession, key: str, path: str) -> Index | None:
         state = spark.read.parquet(f"{path}/estado")
         if [r["versao"] for r in state.select("versao").limit(2).collect()] != [VERSION]:
             return None
-        return Index(spark.read.parquet(f"{path}/termos"), spark.read.parquet(f"{path}/textos"), state, key)
+        return Index(spark.read.parquet(f"{path}/termos"), state, key)
     except AnalysisException:
         return None
 
@@ -132,7 +141,7 @@ def _matches(index: Index, phrase: list[str]) -> DataFrame:
     def rows(word: str) -> DataFrame:
         bare = folded_word(word)
         if word.endswith("*"):
-            return index.termos.where(F.col("termo").startswith(bare))
+            return index.termos.where(F.col("termo").startswith(bare) & (F.col("termo") != ""))
         return index.termos.where((F.col("parte") == _part(F.lit(bare))) & (F.col("termo") == bare))
 
     if len(phrase) == 1:
