@@ -44,6 +44,15 @@ def manifest_hash(rows: DataFrame) -> DataFrame:
     return sums.select("documentos", F.sha2(F.concat_ws(",", F.col("documentos").cast("string"), *(f"_{k}" for k in range(8))).cast("binary"), 256).alias("hash"))
 
 
+def annex(manifested: DataFrame, ignored: DataFrame, tools: DataFrame) -> DataFrame:
+    """All that a custody annex lists, as rows of one form (parte, nome, resumo, nota): documents of a manifest, files
+    that were passed over (caminho, motivo), and tools (nome, versao, resumo)."""
+    a = manifested.select(F.lit("documento").alias("parte"), F.array_join("caminhos", "; ").alias("nome"), F.col("sha256_original").alias("resumo"), F.col("extracao_sha256").alias("nota"))
+    b = ignored.select(F.lit("ignorado").alias("parte"), F.col("caminho").alias("nome"), F.lit(None).cast("string").alias("resumo"), F.col("motivo").alias("nota"))
+    c = tools.select(F.lit("ferramenta").alias("parte"), "nome", "resumo", F.col("versao").alias("nota"))
+    return a.unionByName(b).unionByName(c)
+
+
 def tombstone(manifested: DataFrame, case: str, who: str, reason: str) -> DataFrame:
     """The row that stays of a deleted case, for the log: caso, documentos, hash of its manifest, quem, motivo."""
     return manifest_hash(manifested).select(F.lit(case).alias("caso"), "documentos", F.col("hash").alias("manifesto"), F.lit(who).alias("quem"), F.lit(reason).alias("motivo"))

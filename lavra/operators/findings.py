@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lavra.functions.text import name_key
+from lavra.functions.text import name_key, tokens
 
 ACCEPTED = ["validado"]
 #: What a status may be; a finding without one is pending.
@@ -61,6 +61,12 @@ def cast_of_characters(findings: DataFrame, kind: str, states: list[str] | None
     return grouped.join(docs, "chave")
 
 
+def sources_of(findings: DataFrame, kind: str) -> DataFrame:
+    """Where the names of one kind stand: chave, documento_id, localizador, achados. A row for each place."""
+    rows = findings.where((F.col("tipo") == kind) & (F.trim("nome") != "")).withColumn("chave", name_key(F.col("nome"))).where("chave <> ''")
+    return rows.groupBy("chave", "documento_id", "localizador").agg(F.count("*").alias("achados"))
+
+
 def firms_by_number(firms: DataFrame) -> DataFrame:
     """Firms (nome, cnpj or null) put together: those without a number join the one with the same name key, if it
     is a single one. chave, cnpj, nomes."""
@@ -77,13 +83,19 @@ def timeline(events: DataFrame, date: str, place: str) -> DataFrame:
 
 def person_sheet(spellings: DataFrame, persons: DataFrame, linked: DataFrame, events: DataFrame) -> DataFrame:
     """What is known of chosen people (ficha, nome): one row per ficha and fact: tipo (pessoa, par, evento), alvo, data.
-    People meet the network by name key; pairs by either end, as two equi-joins; events by participant."""
+    People meet the network by name key; pairs by either end, as two equi-joins; events by participant,
+    and where events have a trecho, by a spelling in it."""
     asked = spellings.select("ficha", name_key(F.col("nome")).alias("_k")).where("_k <> ''").distinct()
     known = persons.select("pessoa", F.explode("nomes").alias("_nome")).select("pessoa", name_key(F.col("_nome")).alias("_k")).distinct()
     found = asked.join(known, "_k").select("ficha", "pessoa").distinct()
     a = found.join(linked.withColumnRenamed("a", "pessoa"), "pessoa").select("ficha", F.lit("par").alias("tipo"), F.col("b").alias("alvo"), F.col("ultima").alias("data"))
     b = found.join(linked.withColumnRenamed("b", "pessoa"), "pessoa").select("ficha", F.lit("par").alias("tipo"), F.col("a").alias("alvo"), F.col("ultima").alias("data"))
     e = asked.join(events.withColumn("_k", F.explode(F.transform("participantes", name_key))), "_k").select("ficha", F.lit("evento").alias("tipo"), F.col("localizador").alias("alvo"), "data")
+    if "trecho" in events.columns:  # or where the excerpt holds the name: its first word leads to the excerpts to look at
+        words = events.select("localizador", "data", tokens(F.col("trecho")).alias("_w")).withColumn("_p", F.explode(F.array_distinct("_w")))
+        first = asked.withColumn("_p", F.split("_k", " ")[0])
+        held = first.join(words, "_p").where(F.contains(F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("_k"), F.lit(" "))))
+        e = e.unionByName(held.select("ficha", F.lit("evento").alias("tipo"), F.col("localizador").alias("alvo"), "data"))
     p = found.select("ficha", F.lit("pessoa").alias("tipo"), F.col("pessoa").alias("alvo"), F.lit(None).cast("string").alias("data"))
     return p.unionByName(a).unionByName(b).unionByName(e).distinct()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lavra.functions.identifiers import domain
@@ -67,6 +67,14 @@ def pairs(linked: DataFrame, messages: DataFrame, persons: DataFrame, when: str
     return out.withColumn("cruzada", F.coalesce(F.col("org_a") != F.col("org_b"), F.lit(False)))
 
 
+def pair_messages(linked: DataFrame, messages: DataFrame, when: str = "data") -> DataFrame:
+    """The messages of each pair in order: a, b, ordem (from 1), mensagem_id, data, undated ones last. A row for each, so
+    that no pair is gathered."""
+    facts = messages.select("mensagem_id", F.nullif(F.col(when), F.lit("")).alias("data"))
+    order = Window.partitionBy("a", "b").orderBy(F.asc_nulls_last("data"), "mensagem_id")
+    return linked.join(facts, "mensagem_id").withColumn("ordem", F.row_number().over(order)).select("a", "b", "ordem", "mensagem_id", "data")
+
+
 def organisations(of_pairs: DataFrame) -> DataFrame:
     """Pairs of organisations: org_a < org_b, mensagens, pares."""
     crossed = of_pairs.where("cruzada").select(F.least("org_a", "org_b").alias("org_a"), F.greatest("org_a", "org_b").alias("org_b"), "total")

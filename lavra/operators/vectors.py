@@ -40,6 +40,12 @@ def fuse(by_words: DataFrame, by_vectors: DataFrame, key: list[str], limit: int
     return fused.orderBy(F.desc("pontos"), *key).limit(limit)
 
 
+def first_passages(found: DataFrame, passages: DataFrame, key: list[str], most: int = 8) -> DataFrame:
+    """The passages that an answer is made from: those of the `most` best hits (key, pontos), with their texts."""
+    best = found.orderBy(F.desc("pontos"), *key).limit(most)
+    return best.join(passages, key).withColumn("posicao", F.row_number().over(Window.orderBy(F.desc("pontos"), *key)))
+
+
 def pending(passages: DataFrame, stored: DataFrame, key: str, version: str) -> DataFrame:
     """Passages whose vector is missing or was made from another text or model: left for the provider."""
     return passages.join(stored.select(key, version), [key, version], "left_anti")

@@ -343,6 +343,8 @@ falas AS (SELECT documento_id, n, CAST(z[1] AS INT) AS linha, trim(z[2]) AS l FR
         "entity_ids_in_text": f"""WITH e AS (SELECT DISTINCT ON (entidade_id) * FROM entidades WHERE entidade_id IS NOT NULL), a AS (SELECT entidade_id, unnest(cpfs).valor AS valor FROM e), b AS (SELECT entidade_id, unnest(cnpjs).valor AS valor FROM e),
  x AS (SELECT entidade_id, string_agg(valor, ',' ORDER BY valor) AS v FROM a WHERE {_digits("cpf")} GROUP BY 1), y AS (SELECT entidade_id, string_agg(valor || CASE WHEN regexp_matches(valor, '[A-Z]') THEN '' ELSE ',' || valor END, ',' ORDER BY valor) AS v FROM b WHERE {_digits("cnpj")} GROUP BY 1)
  SELECT entidade_id, coalesce(x.v, '') AS cpfs, coalesce(y.v, '') AS cnpjs FROM x FULL JOIN y USING (entidade_id)""",
+        "pair_messages": f"WITH {_network()} SELECT a, b, CAST(row_number() OVER (PARTITION BY a, b ORDER BY nullif(data, '') NULLS LAST, mensagem_id) AS INT) AS ordem, mensagem_id, nullif(data, '') AS data FROM elos JOIN m USING (mensagem_id)",
+        "cast_sources": f"WITH {FINDINGS} SELECT {name_key('nome')} AS chave, documento_id, localizador, count(*) AS achados FROM achados_ WHERE tipo = 'pessoas' AND trim(nome) <> '' AND {name_key('nome')} <> '' GROUP BY 1, 2, 3",
         "search_index_check": f"SELECT count(*) AS indexados, 0::BIGINT AS faltam, 0::BIGINT AS sobram, CAST(sum(len({tokens(unhyphenate('text'))})) AS BIGINT) AS palavras, true AS confere FROM documents WHERE text IS NOT NULL",
         "search_pages_ranked": f"WITH {PAGES}, {FILES}, {_bm25_pages(200)} SELECT pagina_id, documento_id, nome, n, round(pontos, 6) AS pontos FROM melhores JOIN paginas_ ON chave = pagina_id JOIN arquivos_ USING (documento_id)",
         "report_pairs": f"WITH {_network()} SELECT a, b, total FROM cruz WHERE cruzada ORDER BY total DESC, a, b LIMIT 40",

@@ -239,9 +239,24 @@ def firms_and_people(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def file_identities(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _files(spark, sf).select("documento_id", F.explode("caminhos").alias("caminho"))
-    ext = F.regexp_extract("caminho", r"(\.[^./]+)$", 1)
-    return rows.select("documento_id", "caminho", identifiers.file_identity(F.col("caminho"), ext, F.lit("")).alias("i")).where("i is not null").select("documento_id", "caminho", "i.*")
+    """The number of each file by its first path and its first two pages."""
+    ordered = F.array_sort(F.collect_list(F.struct("n", F.coalesce("texto", F.lit("")).alias("t"))))
+    first = _pages(spark, sf).where("n <= 2 and documento_id is not null").groupBy("documento_id").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("inicio"))
+    path = F.try_element_at("caminhos", F.lit(1))
+    rows = _files(spark, sf).join(first, "documento_id", "left").select("documento_id", path.alias("caminho"), F.coalesce("inicio", F.lit("")).alias("inicio"))
+    found = identifiers.file_identity(F.col("caminho"), F.regexp_extract("caminho", r"(\.[^./]+)$", 1), F.col("inicio"))
+    return rows.select("documento_id", "caminho", found.alias("i")).where("i is not null").select("documento_id", "caminho", "i.*")
+
+
+@query
+def pair_messages(spark: SparkSession, sf: str) -> DataFrame:
+    messages, known = _network(spark, sf)
+    return network.pair_messages(network.edges(known), messages)
+
+
+@query
+def cast_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return findings.sources_of(findings.first_seen(table(spark, sf, "achados")), "pessoas")
 
 
 @query

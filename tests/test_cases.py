@@ -145,3 +145,52 @@ def test_command_line(spark, case, capsys, monkeypatch):
     assert run("verificar", str(case)) == 1 and "nota.html - original alterado" in capsys.readouterr().out
     assert run("importar", str(case), str(case / "fora"), "--copiar") == 0 and (case / "originais" / "novo.txt").read_text() == "novo"
     assert run("importar", str(case), str(case / "originais" / "sala")) == 1
+
+
+def test_pdf_plan_and_ocr(spark):
+    from lavra.sources import providers
+
+    def reader(frame):
+        import pandas as pd
+
+        if frame["documento_id"].iloc[0] == "mau":
+            raise ValueError("cifrado")
+        full = [{"x0": 0.0, "y0": 0.0, "x1": 595.0, "y1": 842.0}]
+        return pd.DataFrame({"documento_id": ["d"] * 3, "n": [1, 2, 3], "texto": ["x" * 1600, "pouco", "y" * 300], "largura": [595.0] * 3, "altura": [842.0] * 3, "imagens": [[], [], full]})
+
+    files_ = spark.createDataFrame([("d", b"1"), ("mau", b"2")], "documento_id string, content binary")
+    got = {(r["documento_id"], r["n"]): (r["metodo"], r["motivo_ocr"], r["dpi_efetivo"]) for r in providers.plan_pdf(files_, reader).collect()}
+    assert got == {("d", 1): ("texto_digital", None, 300), ("d", 2): ("pendente_ocr", "pouco texto digital", 300), ("d", 3): ("pendente_ocr", "imagem cobre a página", 300), ("mau", 1): ("erro", None, None)}
+
+    def engine(frame):
+        if (frame["n"] == 3).any():
+            raise RuntimeError("sem memória")
+        line = "5\t1\t1\t1\t1\t{}\t0\t0\t9\t9\t{}\t{}"
+        return frame[["documento_id", "n"]].assign(tsv="\n".join([line.format(1, 90, "carta"), line.format(2, 80, "nova")]))
+
+    pages = spark.createDataFrame([("d", 2), ("d", 3)], "documento_id string, n int")
+    read = {r["n"]: r for r in providers.read_by_ocr(pages, engine).collect()}
+    assert (read[2]["texto"], read[2]["confianca_media"], read[2]["ocr_palavras"], read[2]["metodo"]) == ("carta nova", 85.0, 2, "ocr") and len(read[2]["tsv_sha256"]) == 64
+    assert read[3]["metodo"] == "erro" and "sem memória" in read[3]["erro"]
+    present = providers.capabilities(spark, providers.Capability("ocr", "5", "abc"))
+    needed = spark.createDataFrame([("ocr", "abc"), ("ocr", "xyz"), ("modelo", None)], "nome string, resumo string")
+    assert {(r["nome"], r["estado"]) for r in providers.status(present, needed).collect()} == {("ocr", "pronto"), ("ocr", "outra versão"), ("modelo", "ausente")}
+
+
+def test_sheets_by_excerpt_and_annex(spark):
+    from lavra.operators import findings, network, vectors
+
+    asked = spark.createDataFrame([("olga reis", "Olga Reis")], "ficha string, nome string")
+    persons = spark.createDataFrame([], "pessoa string, nomes array<string>")
+    linked = spark.createDataFrame([], "a string, b string, ultima string")
+    events = spark.createDataFrame([(["Renato"], "p. 1", "2020", "a Sra. Olga Reis assinou"), (["OLGA REIS"], "p. 2", "2021", None), ([], "p. 3", "2022", "Olga Reisinha")], "participantes array<string>, localizador string, data string, trecho string")
+    assert {(r["alvo"]) for r in findings.person_sheet(asked, persons, linked, events).collect()} == {"p. 1", "p. 2"}
+    manifested = custody.manifest(spark.createDataFrame([("1", ["a"], "ok", "x")], "sha256 string, caminhos array<string>, situacao string, texto string"), ["texto"])
+    ignored = spark.createDataFrame([("~$a.doc", "temporário")], "caminho string, motivo string")
+    tools = spark.createDataFrame([("ocr", "5", "abc")], "nome string, versao string, resumo string")
+    assert {(r["parte"], r["nome"]) for r in custody.annex(manifested, ignored, tools).collect()} == {("documento", "a"), ("ignorado", "~$a.doc"), ("ferramenta", "ocr")}
+    links = spark.createDataFrame([("m1", "a", "b", False), ("m2", "a", "b", False), ("m3", "a", "b", True)], "mensagem_id string, a string, b string, copia boolean")
+    sent = spark.createDataFrame([("m1", ""), ("m2", "2020-02"), ("m3", "2020-01")], "mensagem_id string, data string")
+    assert [r["mensagem_id"] for r in network.pair_messages(links, sent).orderBy("ordem").collect()] == ["m3", "m2", "m1"]
+    found = spark.createDataFrame([(i, float(i)) for i in range(12)], "passagem_id long, pontos double")
+    assert [r["passagem_id"] for r in vectors.first_passages(found, found.select("passagem_id"), ["passagem_id"]).orderBy("posicao").collect()] == [11, 10, 9, 8, 7, 6, 5, 4]
