@@ -149,6 +149,8 @@ def events(text: str, begin: int, stop: int) -> list[tuple[int, int, str, str, s
 
 def _unmarked(text: str, begin: int, stop: int) -> bool:
     """Whether a paragraph is of Chinese or Japanese signs and holds no end mark."""
+    if stop - begin < UNMARKED or not _CJK.search(text, begin, stop):
+        return False
     signs = sum(m.end() - m.start() for m in _CJK.finditer(text, begin, stop))
     return signs >= UNMARKED and 2 * signs > stop - begin and not _CJK_END.search(text, begin, stop)
 
@@ -232,13 +234,12 @@ def train(rows: list[tuple[str, str, str, str, float]]) -> Model:
         rights[right] += n
         total += n
     model = Model()
+    rows = [r for r in rows if r[1] != "CJKz"]
     for turn in range(ROUNDS):
         new, sure = Model(), [[0.0, 0.0], [0.0, 0.0]]
         new.known_left = {k for k, n in lefts.items() if n >= max(LEAST_SEEN, total * SHARE) and k[0] not in "?"}
         new.known_right = {k for k, n in rights.items() if n >= max(LEAST_SEEN, total * SHARE) and k[0] != "?"}
         for left, lc, right, rc, n in rows:
-            if lc == "CJKz":
-                continue
             r = right if right in new.known_right else f"#{rc}"
             if left == PARAGRAPH:  # how sentences begin is seen at the beginnings of paragraphs
                 new.start[r] += n
@@ -268,7 +269,7 @@ def train(rows: list[tuple[str, str, str, str, float]]) -> Model:
         new.rate = [CAUTION * min(1.0, max(0.005, (a + 1) / (b + 5))) for a, b in sure]
         model = new
     model.left, model.start, model.inside = dict(model.left), dict(model.start), dict(model.inside)
-    model.signs = {k: (a, b) for k, (a, b) in signs.items()}
+    model.signs = {k: (a, b) for k, (a, b) in signs.items() if a + b >= LEAST_SEEN or not k}
     model.cache = {}
     return model
 
