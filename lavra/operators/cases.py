@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lavra.functions.people import participants
 from lavra.functions.text import stable_id
 from lavra.operators.findings import latest
 from lavra.operators.lexicon import rank
@@ -78,21 +79,19 @@ def all_messages(mails: DataFrame, chats: DataFrame) -> DataFrame:
     return both.withColumn("mensagem_id", stable_id(F.col("documento_id"), F.col("pagina"), F.col("data"), F.to_json(F.struct("de", "para", "cc")), F.col("assunto")))
 
 
-def corrected_messages(messages: DataFrame, corrections: DataFrame, participants: Column | None = None) -> DataFrame:
+def corrected_messages(messages: DataFrame, corrections: DataFrame) -> DataFrame:
     """Messages with the last correction (alvo, campo, valor, ordem) of each field over them: data and assunto as they
     are; de and para as names and addresses in one field, where para takes the place of all recipients. A correction
     of de that names nobody changes nothing. `correcoes` holds what was changed."""
-    from lavra.functions.people import participants as read
-
     last = latest(corrections.where(F.col("campo").isin("de", "para", "data", "assunto")), ["alvo", "campo"], ["ordem"])
     changes = last.groupBy(F.col("alvo").alias("mensagem_id")).agg(F.map_from_entries(F.collect_list(F.struct("campo", F.coalesce("valor", F.lit("")).alias("valor")))).alias("correcoes"))
     joined = messages.join(changes, "mensagem_id", "left")
     has = lambda f: F.coalesce(F.map_contains_key("correcoes", F.lit(f)), F.lit(False))
     new = lambda f: F.element_at("correcoes", F.lit(f))
     none = F.array().cast(f"array<{_PERSON}>")
-    sender = F.try_element_at(read(F.coalesce(new("de"), F.lit(""))), F.lit(1))
+    sender = F.try_element_at(participants(F.coalesce(new("de"), F.lit(""))), F.lit(1))
     return joined.withColumns({
-        "de": F.when(has("de") & sender.isNotNull(), sender).otherwise(F.col("de")), "para": F.when(has("para"), read(F.coalesce(new("para"), F.lit("")))).otherwise(F.col("para")),
+        "de": F.when(has("de") & sender.isNotNull(), sender).otherwise(F.col("de")), "para": F.when(has("para"), participants(F.coalesce(new("para"), F.lit("")))).otherwise(F.col("para")),
         "cc": F.when(has("para"), none).otherwise(F.col("cc")), "data": F.when(has("data"), new("data")).otherwise(F.col("data")), "assunto": F.when(has("assunto"), new("assunto")).otherwise(F.col("assunto")),
     })
 

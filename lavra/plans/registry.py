@@ -479,7 +479,7 @@ def chat_adjacency_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _page_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages of e-mail headers and chats on the pages, with corrections of the log put over them."""
+    """Messages of e-mail headers and chats on the pages."""
     pages = _pages(spark, sf).where("documento_id is not null and n is not null")
     blocks = headers.headers(pages, "pagina_id", "texto")
     mails = headers.mail_messages(blocks, "pagina_id").join(pages.select("pagina_id", "documento_id", F.col("n").alias("pagina")), "pagina_id")
