@@ -4,9 +4,9 @@ Method: each page's lines are first told apart by layout (header fields, separat
 marks, closing blocks, notices). All sentences of the earlier messages of a thread, by their instants, and the lines
 of each sender's closing blocks are patterns. A later message is scanned, over its line breaks, with an automaton of
 these sentences and their runs of words; matched intervals are merged and subtracted, so that quotes are found
-without marks, wrapped anew, joined to other words or in part. The automaton of a page holds those sentences of its
-thread that share a run of words with it, which come by an equi-join on thread and run: no thread, however long, is
-gathered in one place.
+without marks, wrapped anew, joined to other words or in part. The automaton of a page holds, of each run of its
+words, the sentence of its thread that held the run first, which comes by an equi-join on thread and run: no thread,
+however long, is gathered in one place.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavra.operators.timestamps import normalize
@@ -26,8 +26,8 @@ from lavra.session import materialize
 from .leaks import words
 
 NEW, HEADER, QUOTE, SIGNATURE, NOTICE = "novo", "cabecalho", "citacao", "assinatura", "aviso"
-#: Words of a run, neighbouring runs of which one is a mark, and words from which a copied stretch counts by itself.
-RUN, SPAN, LONG = 5, 4, 12
+#: Words of a run, and words from which a copied stretch counts by itself.
+RUN, LONG = 5, 12
 #: The zone of dates without one, and what undated messages have in place of an instant (later than any).
 ZONE, UNDATED = "America/Sao_Paulo", "~"
 
@@ -182,16 +182,12 @@ def _key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(re.sub(r"\s+", " ", text).strip().lower()) - (1 << 63)
 
 
-def _runs(tokens: list[str]) -> list[int]:
-    """A hash of each run of `RUN` words; of the whole where there are fewer."""
-    return [_key(" ".join(tokens[i : i + RUN])) for i in range(max(1, len(tokens) - RUN + 1))] if tokens else []
-
-
-def _marks(tokens: list[str]) -> list[int]:
-    """Of every `SPAN` neighbouring runs the least: a stretch of RUN + SPAN - 1 words holds one of them wherever it
-    recurs."""
-    runs = _runs(tokens)
-    return sorted({min(runs[i : i + SPAN]) for i in range(max(1, len(runs) - SPAN + 1))}) if runs else []
+def _runs(texts: Column) -> Column:
+    """A hash of each run of `RUN` words of a text of words, and of the whole text."""
+    words_ = F.split(texts, " ")
+    places = F.sequence(F.lit(1), F.greatest(F.size(words_) - (RUN - 1), F.lit(1)))
+    runs = F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(words_, i, RUN), " ")))
+    return F.array_distinct(F.concat(runs, F.array(F.xxhash64(texts))))
 
 
 def sentences(lines: list[str], labels: list[str], kinds: tuple[str, ...]) -> list[list[str]]:
@@ -211,36 +207,35 @@ def sentences(lines: list[str], labels: list[str], kinds: tuple[str, ...]) -> li
 
 
 _LAYOUT = (
-    "pagina_id long, fio long, remetente long, instante string, frases array<struct<frase long, texto string, marcas array<long>>>, "
-    "sondas array<long>, finais array<struct<chave long, texto string>>, linhas array<long>"
+    "pagina_id long, fio long, remetente long, instante string, frases array<struct<frase long, texto string>>, "
+    "novas array<string>, finais array<struct<chave long, texto string>>, linhas array<long>"
 )
 
 
 def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (pagina_id, caso_id, texto): the keys of thread and sender, the instant, all sentences, the runs of words of
-    the new lines, the closing lines, and the new lines."""
-    sentence = pa.list_(pa.struct([("frase", pa.int64()), ("texto", pa.string()), ("marcas", pa.list_(pa.int64()))]))
+    """Of (pagina_id, caso_id, texto): the keys of thread and sender, the instant, all sentences, the words of the new
+    lines (all in one, and each sentence), the closing lines, and the new lines."""
+    sentence = pa.list_(pa.struct([("frase", pa.int64()), ("texto", pa.string())]))
     closing = pa.list_(pa.struct([("chave", pa.int64()), ("texto", pa.string())]))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), sentence, pa.list_(pa.int64()), closing, pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), sentence, pa.list_(pa.string()), closing, pa.list_(pa.int64()))
     for batch in batches:
         out: list[list] = [[] for _ in kinds]
         for page, case, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             lines, labels, header = label_lines(text)
             subject = _REPLY.sub("", header.get("assunto") or "").strip().lower()
             sender = _ADDRESS.search(header.get("de") or "")
-            said = {" ".join(x): x for x in sentences(lines, labels, (NEW, QUOTE))}
-            fresh = sentences(lines, labels, (NEW,))
-            whole = [w for line, label in zip(lines, labels) if label == NEW for w in words(line)]
-            probes = {*_runs(whole), *(k for x in fresh if len(x) < RUN for k in _runs(x))}
+            said = {" ".join(x) for x in sentences(lines, labels, (NEW, QUOTE))}
+            fresh = {" ".join(x) for x in sentences(lines, labels, (NEW,))}
+            whole = " ".join(w for line, label in zip(lines, labels) if label == NEW for w in words(line))
             row = (
                 page, _key(f"{case}\n{subject}") if subject else None, _key(sender[0]) if sender else None, normalize(header.get("data"), False, ZONE),
-                [{"frase": _key(x), "texto": x, "marcas": _marks(w)} for x, w in said.items()], list(probes),
+                [{"frase": _key(x), "texto": x} for x in said], [*({whole} if whole else ()), *fresh],
                 [{"chave": _key(x), "texto": x} for x in {" ".join(words(line)) for line, label in zip(lines, labels) if label == SIGNATURE} if x],
                 list({_key(" ".join(words(line))) for line, label in zip(lines, labels) if label == NEW}),
             )
             for column, value in zip(out, row):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["pagina_id", "fio", "remetente", "instante", "frases", "sondas", "finais", "linhas"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["pagina_id", "fio", "remetente", "instante", "frases", "novas", "finais", "linhas"])
 
 
 def matched_lines(lines: list[str], labels: list[str], patterns: list[str], closings: list[str]) -> set[int]:
@@ -323,15 +318,17 @@ def page_patterns(pages: DataFrame) -> DataFrame:
     # a page without a header goes on with the message that its file begins with
     heads = laid.where("fio is not null").groupBy("documento_id").agg(F.min_by(F.struct("fio", "remetente", "instante"), F.struct(F.coalesce("n", F.lit(0)), "pagina_id")).alias("h"))
     own = laid.join(heads, "documento_id", "left").withColumn("h", F.when(F.col("fio").isNull() & F.col("remetente").isNull(), F.col("h")).otherwise(F.struct("fio", "remetente", "instante")))
-    own = own.select("pagina_id", F.col("h.fio").alias("fio"), F.col("h.remetente").alias("remetente"), F.coalesce("h.instante", F.lit(UNDATED)).alias("instante"), "frases", "sondas", "finais", "linhas")
+    own = own.select("pagina_id", F.col("h.fio").alias("fio"), F.col("h.remetente").alias("remetente"), F.coalesce("h.instante", F.lit(UNDATED)).alias("instante"), "frases", "novas", "finais", "linhas")
     threaded = own.where("fio is not null")
     # each sentence of a thread once, with the message that held it first: a thread of any length stays small
     when = F.struct("instante", "pagina_id", "remetente")
-    said = threaded.select("fio", when.alias("quando"), F.explode("frases").alias("f")).groupBy("fio", "f.frase").agg(F.min("quando").alias("primeira"), F.first("f.texto").alias("texto"), F.first("f.marcas").alias("marcas"))
-    marks = said.select("fio", "frase", "primeira", F.explode("marcas").alias("marca"))
-    probes = threaded.select("fio", "pagina_id", "instante", "remetente", F.explode("sondas").alias("marca"))
+    said = threaded.select("fio", when.alias("quando"), F.explode("frases").alias("f")).groupBy("fio", "f.frase").agg(F.min("quando").alias("primeira"), F.first("f.texto").alias("texto"))
+    # of each run of words, and of each whole sentence, the sentence that held it first: one row for each, however many
+    # sentences share it, so that the join is linear in the words of the thread
+    first = said.select("fio", F.explode(_runs(F.col("texto"))).alias("marca"), F.struct("primeira", "frase").alias("f")).groupBy("fio", "marca").agg(F.min("f").alias("f")).select("fio", "marca", "f.*")
+    probes = threaded.select("fio", "pagina_id", "instante", "remetente", F.explode(F.array_distinct(F.flatten(F.transform("novas", _runs)))).alias("marca"))
     earlier = (F.col("primeira.instante") < F.col("instante")) | ((F.col("primeira.instante") == F.col("instante")) & (F.col("primeira.pagina_id") < F.col("pagina_id")) & ~F.col("primeira.remetente").eqNullSafe(F.col("remetente")))
-    hits = probes.join(marks, ["fio", "marca"]).where(earlier).select("pagina_id", "fio", "frase").distinct()
+    hits = probes.join(first, ["fio", "marca"]).where(earlier).select("pagina_id", "fio", "frase").distinct()
     of_thread = hits.join(said.select("fio", "frase", "texto"), ["fio", "frase"]).select("pagina_id", "texto", F.lit(1).alias("de"))
     closing = own.where("remetente is not null").select("remetente", "pagina_id", F.explode("finais").alias("f")).groupBy("remetente", "f.chave").agg(F.countDistinct("pagina_id").alias("n"), F.first("f.texto").alias("texto")).where("n >= 2")
     of_sender = own.where("remetente is not null").select("remetente", "pagina_id", F.explode("linhas").alias("chave")).join(closing, ["remetente", "chave"]).select("pagina_id", "texto", F.lit(2).alias("de"))

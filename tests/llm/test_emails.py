@@ -74,3 +74,15 @@ def test_hot_thread(spark):
     pages = spark.createDataFrame(rows, "pagina_id long, documento_id string, n int, texto string")
     files = spark.createDataFrame([(f"d{i}", "C", "e-mail") for i in range(600)], "documento_id string, caso_id string, tipo_comunicacao string")
     assert {tuple(r) for r in emails.new_lines(pages, files).collect()} == {(0, 5), *((i, 4) for i in range(600))}
+
+
+def test_thread_of_sentences_that_share_runs(spark):
+    """Very many different sentences of one thread begin with the same words: each run counts once, where it came first."""
+    text = "De: P{0} <p{0}@x.example>\nEnviado em: 10/10/2020 {1:02d}:{2:02d}\nAssunto: Lote 3\nSegue em anexo o relatório de medição número {0} da obra da ponte."
+    rows = [(i, f"d{i}", 1, text.format(i, i // 60, i % 60)) for i in range(900)]
+    rows.append((5000, "d5000", 1, text.format(5000, 23, 59).replace("Segue", "Ele disse:\nsegue").replace("5000 da obra", "7 da\nobra")))
+    pages = spark.createDataFrame(rows, "pagina_id long, documento_id string, n int, texto string")
+    files = spark.createDataFrame([(d, "C", "e-mail") for _, d, _, _ in rows], "documento_id string, caso_id string, tipo_comunicacao string")
+    assert emails.page_patterns(emails._pages(pages, files)).agg({"pagina_id": "count"}).first()[0] == 900
+    got = {tuple(r) for r in emails.new_lines(pages, files).collect()}
+    assert got == {*((i, 4) for i in range(900)), (5000, 4)}
